@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questmill.llm.common import table
+from questmill.llm.common import fresh_path, table
 from questmill.llm.exact_dedup import exact_dedup
+from questmill.llm.packing import pack_sequences, pieces_of
+from questmill.llm.token_store import crc_of_tokens, read_tokens, write_tokens
 from questmill.llm.url_filter import judge_urls
 
+#: The tokenizer files of the contracts; another folder may be set.
+TOKENIZERS = os.environ.get("QUESTMILL_TOKENIZERS", "/opt/tokenizers")
+BYTE_BPE, BYTE_VOCABULARY, END = f"{TOKENIZERS}/byte_bpe_50k.json", 50_257, 0
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+
 # Fixed values of the URL contract.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -62,5 +71,21 @@ SELECT page_id, host, path, rule, CASE
 """
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op5_url_filter": op5_url_filter}
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, BYTE_BPE, BYTE_VOCABULARY, END)
+    return crc_of_tokens(read_tokens(spark, path))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pieces_of(table(spark, sf_dir, "documents"), BYTE_BPE, END)
+    return pack_sequences(pieces).withColumn("length", F.col("length").cast("long"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op5_url_filter": op5_url_filter,
+    "op7_token_store": op7_token_store,
+    "op8_best_fit_packing": op8_best_fit_packing,
+}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL}
