@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from questmill.llm.bpe import bpe_decode, bpe_encode
 from questmill.llm.common import fresh_path, table
 from questmill.llm.exact_dedup import exact_dedup
 from questmill.llm.packing import pack_sequences, pieces_of
@@ -43,6 +44,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.norm) AS
 """
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = [f"{name}.{domain}" for name in BLOCKED_NAMES for domain in BLOCKED_DOMAINS]
     blocked = spark.createDataFrame([(h,) for h in hosts], "key string")
@@ -84,6 +95,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_bpe": op4_bpe,
     "op5_url_filter": op5_url_filter,
     "op7_token_store": op7_token_store,
     "op8_best_fit_packing": op8_best_fit_packing,
