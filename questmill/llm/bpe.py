@@ -24,21 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from questmill.llm.common import small_batches
+from questmill.llm.tokens import byte_characters
 
 #: Words a worker remembers between batches.
 MOST_WORDS = 300_000
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next free above 255."""
-    kept = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    out, free = [""] * 256, 256
-    for b in range(256):
-        out[b] = chr(b) if b in kept else chr(free)
-        free += b not in kept
-    return out
-
-
 class PairIndex:
     """Positions of all mergeable pairs of a batch of words, by rank."""
 
