@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from questmill.llm.bpe import bpe_decode, bpe_encode
 from questmill.llm.common import fresh_path, table
+from questmill.llm.embed_dedup import embedding_components
 from questmill.llm.exact_dedup import exact_dedup
 from questmill.llm.ngram_join import ngram_components
 from questmill.llm.packing import pack_sequences, pieces_of
@@ -94,6 +95,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(pieces).withColumn("length", F.col("length").cast("long"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -104,6 +109,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op7_token_store": op7_token_store,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL}
