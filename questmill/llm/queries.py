@@ -11,8 +11,10 @@ from questmill.llm.bpe import bpe_decode, bpe_encode
 from questmill.llm.common import fresh_path, table
 from questmill.llm.embed_dedup import embedding_components
 from questmill.llm.exact_dedup import exact_dedup
+from questmill.llm.lm_score import backoff_scores
 from questmill.llm.ngram_join import ngram_components
 from questmill.llm.packing import pack_sequences, pieces_of
+from questmill.llm.quality import score, train
 from questmill.llm.token_store import crc_of_tokens, read_tokens, write_tokens
 from questmill.llm.url_filter import judge_urls
 
@@ -46,6 +48,27 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.norm) AS
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "lang", "n_symbols", "perplexity", F.col("good").alias("kept"))
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(table(spark, sf_dir, "documents")).withColumn("log10_score", F.round("log10_score", 6))
+
+
+OP3_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(w) AS b, unnest(list_concat([NULL], w[:-2])) AS a FROM t WHERE len(w) > 0),
+c1 AS (SELECT b AS w, count(*) AS c FROM g GROUP BY b),
+c2 AS (SELECT a, b, count(*) AS c FROM g WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+s AS (SELECT doc_id, CASE WHEN c2.c IS NOT NULL THEN log10(c2.c / x.c) WHEN g.a IS NULL THEN log10(y.c / (SELECT count(*) FROM g)) ELSE log10(0.4 * y.c / (SELECT count(*) FROM g)) END AS s
+  FROM g JOIN c1 y ON y.w = g.b LEFT JOIN c1 x ON x.w = g.a LEFT JOIN c2 ON c2.a = g.a AND c2.b = g.b)
+SELECT t.doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(z, 0), 6) AS log10_score FROM t LEFT JOIN (SELECT doc_id, count(*) AS n, sum(s) AS z FROM s GROUP BY doc_id) q ON q.doc_id = t.doc_id
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
     return decoded.select(
@@ -105,6 +128,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
+    "op3_lm_score": op3_lm_score,
     "op4_bpe": op4_bpe,
     "op5_url_filter": op5_url_filter,
     "op7_token_store": op7_token_store,
@@ -112,4 +137,4 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_lm_score": OP3_SQL, "op5_url_filter": OP5_SQL}
