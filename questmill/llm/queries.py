@@ -11,6 +11,7 @@ from questmill.llm.bpe import bpe_decode, bpe_encode
 from questmill.llm.common import fresh_path, table
 from questmill.llm.embed_dedup import embedding_components
 from questmill.llm.exact_dedup import exact_dedup
+from questmill.llm.html_extract import extract, fit
 from questmill.llm.lm_score import backoff_scores
 from questmill.llm.ngram_join import ngram_components
 from questmill.llm.packing import pack_sequences, pieces_of
@@ -107,6 +108,11 @@ SELECT page_id, host, path, rule, CASE
 """
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract(table(spark, sf_dir, "pages"), fit(spark))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, BYTE_BPE, BYTE_VOCABULARY, END)
@@ -132,6 +138,7 @@ QUERIES = {
     "op3_lm_score": op3_lm_score,
     "op4_bpe": op4_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_html_extract": op6_html_extract,
     "op7_token_store": op7_token_store,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
