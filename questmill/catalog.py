@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from questmill.plans import text_queries
+
+_PLANS = [text_queries]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _plan in _PLANS:
+    QUERIES |= _plan.QUERIES
+    ORACLE_SQL |= _plan.ORACLE_SQL
 
 
-def flagship(spark, sf_dir):
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
