@@ -40,8 +40,8 @@ SKETCH, SLICES = 1 << 20, 64
 HOT, SALTS = 4096, 64
 #: Bits of the filter for the documents that have candidates at all.
 FILTER_BITS = 1 << 24
-#: Rows that one comparison of a list's members is worth.
-COST_OF_PAIR = 0.25
+#: What one more member of a list costs its scan, in rows dealt to lists.
+COST_OF_PAIR = 0.02
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
