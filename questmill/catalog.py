@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from questmill.plans import library_queries, text_queries
+from questmill.plans.library_queries import flagship
 
-from questmill.plans import text_queries
-
-_PLANS = [text_queries]
+_PLANS = [library_queries, text_queries]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _plan in _PLANS:
     QUERIES |= _plan.QUERIES
     ORACLE_SQL |= _plan.ORACLE_SQL
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
