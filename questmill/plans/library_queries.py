@@ -376,7 +376,7 @@ def win_next_head(s, d):
 
 @query(
     "win_number_columns",
-    "WITH h AS (SELECT user_id, event_id AS ord, value / 500 AS x FROM events), g AS (SELECT *, row_number() OVER w AS n, x - lag(x) OVER w AS gap FROM h WINDOW w AS (PARTITION BY user_id ORDER BY x, ord)), b AS (SELECT user_id, max(gap) AS gap, arg_max(n, (gap, -n)) AS pos, count(*) AS c FROM g GROUP BY user_id) SELECT ord, CASE WHEN c >= 4 AND b.gap >= 0.02 AND pos - 1 >= 2 AND c - pos + 1 >= 2 AND n >= pos THEN 1 ELSE 0 END AS side FROM g JOIN b USING (user_id)",
+    "WITH h AS (SELECT user_id, event_id AS ord, value / 500 AS x FROM events), g AS (SELECT *, row_number() OVER w AS n, x - lag(x) OVER w AS gap FROM h WINDOW w AS (PARTITION BY user_id ORDER BY x, ord)), b AS (SELECT user_id, max(gap) AS gap, arg_max(n, (gap, -n)) FILTER (gap IS NOT NULL) AS pos, count(*) AS c FROM g GROUP BY user_id) SELECT ord, CASE WHEN c >= 4 AND b.gap >= 0.02 AND pos - 1 >= 2 AND c - pos + 1 >= 2 AND n >= pos THEN 1 ELSE 0 END AS side FROM g JOIN b USING (user_id)",
 )
 def win_number_columns(s, d):
     heads = table(s, d, "events").select("user_id", c("event_id").alias("ord"), (c("value") / 500).alias("x"))
