@@ -39,7 +39,7 @@ class PairIndex:
         made = np.array([m[1] for m in merges.values()], np.int64)
         order = np.argsort(keys)
         self.size, self.keys, self.ranks = size, keys[order], ranks[order]
-        self.made = np.empty(len(ranks), np.int64)
+        self.made = np.empty(int(ranks.max()) + 1 if len(ranks) else 0, np.int64)
         self.made[ranks] = made
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -112,13 +112,14 @@ def _meet(part: pa.Table, books: Codebooks, cosine: float, radius: float) -> pa.
     ids, sizes, own = (part.column(c).to_numpy() for c in ("id", "size", "own"))
     vecs = _matrix(part.column("vec").combine_chunks(), dim)
     m, q = np.flatnonzero(member), np.flatnonzero(~member)
+    unit = vecs / np.sqrt((vecs**2).sum(1))[:, None]
     codes = np.frombuffer(b"".join(part.column("codes").take(pa.array(m)).to_pylist()), np.uint8).reshape(len(m), -1)
     over, of = part.column("over").to_numpy()[m], int(part.column("list")[0].as_py())
     xs, ys = [], []
     for rows in np.array_split(q, max(1, len(q) // 512)):
         if not len(rows) or not len(m):
             continue
-        near = books.distances(vecs[rows], of, codes) <= radius + over + 1e-6
+        near = books.distances(unit[rows], of, codes) <= radius + over + 1e-6
         near &= (own[rows] != of)[:, None] | (ids[rows][:, None] < ids[m])  # each pair once
         i, j = np.nonzero(near)
         x, y = rows[i], m[j]

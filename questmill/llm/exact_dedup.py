@@ -1,8 +1,8 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
-A text without its white space is cut where its own content says so (after the
-first sentence mark behind CHUNK_MIN characters, after CHUNK_MAX characters at
-the latest). Chunks are deduplicated by content to identifiers: the 64-bit hash,
+A text without its white space is cut where its own content says so (at the first
+sentence mark behind CHUNK_MIN characters that follows one of a few characters,
+after CHUNK_MAX characters at the latest), so cuts meet again soon after a change. Chunks are deduplicated by content to identifiers: the 64-bit hash,
 and for different chunks that share a hash (found by comparing their contents)
 also the chunk's rank among them. A document's recipe is its ordered list of
 identifiers; two texts are equal exactly when their recipes are. Only recipes
@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from questmill.llm.common import ASCII_SPACE, written
 
-CHUNK_MIN, CHUNK_MAX = 400, 8192
+CHUNK_MIN, CHUNK_MAX = 128, 8192
+#: A cut lies behind these: rare enough that two texts fall into step again.
+CUT = r"[a-fA-F0-2à-é\u4e00-\u62ff][.!?;。！？]"
 
 
 def chunks_of(norm: Column, least: int = CHUNK_MIN, most: int = CHUNK_MAX) -> Column:
     """The content-defined chunks of a text, in order; none of an empty text."""
-    pattern = rf"(?s).{{{least - 1},{most - 1}}}?[.!?;。！？]|.{{1,{most}}}"
+    pattern = rf"(?s).{{{least - 2},{most - 2}}}?{CUT}|.{{1,{most}}}"
     return F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
 
 

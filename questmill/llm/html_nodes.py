@@ -224,7 +224,7 @@ def text_of(nodes: list[Node], keep: np.ndarray) -> str:
                 work.append((i, k))
                 work.append((p, 0))
                 break
-            elif nodes[p].tag not in INLINE:
+            elif nodes[p].tag not in INLINE and nodes[p].tag not in HIDDEN:
                 end()
         else:
             if block:
