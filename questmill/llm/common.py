@@ -36,6 +36,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    # The step's shuffle files are no longer needed. Spark drops them once the driver has collected
+    # its own garbage, which a driver with little to do may not do for hours.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
