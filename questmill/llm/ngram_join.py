@@ -165,8 +165,8 @@ def _entries(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, light: int,
         )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by key, those whose key stands more than once, and all that may be hot."""
+def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by key and size, those with a possible partner under their key, and all that may be hot."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -175,51 +175,58 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = pa.concat_tables([held, now]) if held is not None else now
         key = now.column("key").to_numpy()
         last = int(np.searchsorted(key, key[-1]))  # the last run may go on
-        yield from _repeated(now.slice(0, last))
+        yield from _partnered(now.slice(0, last), percent)
         held = now.slice(last).combine_chunks()
     if held is not None:
-        yield from _repeated(held)
+        yield from _partnered(held, percent)
 
 
-def _repeated(part: pa.Table) -> Iterator[pa.RecordBatch]:
-    if part.num_rows:
-        key = part.column("key").to_numpy()
-        same = key[1:] == key[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | part.column("hot").to_numpy()
-        yield from part.filter(pa.array(keep)).combine_chunks().to_batches()
+def _partnered(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Entries for which another of their list has a size that their own size and largest overlap allow."""
+    if not part.num_rows:
+        return
+    key, n, most = (part.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "most"))
+    run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    place = run << 31 | n  # ascending, as the entries are
+    least = -(-percent * n // 100)
+    largest = np.minimum(100 * n // percent, most * (100 + percent) // percent - n)
+    others = np.searchsorted(place, run << 31 | largest, side="right") - np.searchsorted(place, run << 31 | least)
+    keep = (others > (largest >= n)) | part.column("hot").to_numpy()
+    yield from part.filter(pa.array(keep)).combine_chunks().to_batches()
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-class _Sets:
-    """The shingle sets of the documents that have candidates."""
+def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sets are similar enough. pairs: a written table.
 
-    def __init__(self, docs: DataFrame, wanted: DataFrame):
-        bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-        words = wanted.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))").alias("b"))
-        words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most FILTER_BITS / 64 rows
-        held = np.zeros(FILTER_BITS // 64, np.int64)
-        held[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-        held = docs.sparkSession.sparkContext.broadcast(held.view(np.uint64))
-
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(2).to_numpy().astype(np.int64)
-                hit = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-                part = batch.filter(pa.array(hit.astype(bool)))
-                sets = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
-
-        self.sets = written(docs.select("id", "text", bit.alias("bit")).mapInArrow(rows, "id long, set array<long>"), "sets")
-
-    def links(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """Those pairs (a, b) whose sets are similar enough."""
-        both = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-        both = both.join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        overlap = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("n"))
-        return overlap.where(F.col("o") * (100 + percent) >= F.col("n") * percent).select("a", "b")
+    Sets are made again from the texts, for the documents that stand in pairs: a
+    filter of fixed size lets most others pass by unread, the joins the rest.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    words = ids.select(F.shiftright(bit, 6).alias("w"), one.alias("o")).groupBy("w").agg(F.bit_or("o").alias("o"))
+    words = words.toPandas()  # at most FILTER_BITS / 64 rows
+    held = np.zeros(FILTER_BITS // 64, np.int64)
+    held[words["w"].to_numpy(np.int64)] = words["o"].to_numpy(np.int64)
+    held = docs.sparkSession.sparkContext.broadcast(held.view(np.uint64))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.int64)
+            hit = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            part = batch.filter(pa.array(hit.astype(bool)))
+            sets = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+
+    sets = docs.select("id", "text", bit.alias("bit")).mapInArrow(rows, "id long, set array<long>")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    overlap = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("n"))
+    return overlap.where(F.col("o") * (100 + percent) >= F.col("n") * percent).select("a", "b")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -251,10 +258,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = docs.where("id is not null")
     entries = known.mapInArrow(lambda b: _entries(b, held.value, light, percent), "key long, id long, n int, most int, hot boolean")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
-    dealt = entries.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key")
-    shared = dealt.mapInArrow(_shared, "key long, id long, n int, most int, hot boolean, salt long").select("key", "id", "n", "most")
+    dealt = entries.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key", "n")
+    shared = dealt.mapInArrow(lambda b: _shared(b, percent), "key long, id long, n int, most int, hot boolean, salt long").select("key", "id", "n", "most")
     lists = written(shared.join(copies, "id", "left_anti"), "lists")
-    sets = _Sets(known, lists.select("id").distinct())
 
     # First step: two members of each list, per size class, against the others.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
@@ -264,7 +270,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = sized.join(heads.drop("c"), ["key", "class"]).select("id", "n", "most", F.explode(F.array("lo", "hi")).alias("head"))
     met = met.where(_fits("n", "head.n", "most", "head.most", percent) & (F.col("id") != F.col("head.id")))
     tried = written(met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct(), "tried")
-    links = written(sets.links(tried, percent), "links")
+    links = written(_links(known, tried, percent), "links")
     found = components(links, "found")
 
     # Second step: members of a list that the first left in different components.
@@ -274,7 +280,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "most", "component_id")]) for s in "xy")
     apart = x.join(y, "key").where((F.col("id_x") < F.col("id_y")) & (F.col("component_id_x") != F.col("component_id_y")) & _fits("n_x", "n_y", "most_x", "most_y", percent))
     fresh = apart.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(sets.links(fresh, percent), "links")
+    more = written(_links(known, written(fresh, "fresh"), percent), "links")
 
     edges = links.union(more).union(copies.select("id", "first"))
     final = components(edges, "components")
