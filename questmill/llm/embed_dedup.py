@@ -28,6 +28,8 @@ SAMPLE = 20_000
 #: Members and searchers of a list that meet in one task.
 BLOCK = 4096
 SUBSPACES, WORDS = 8, 64
+#: Inverted lists at most; more would not narrow the search among unclustered vectors, only copy vectors to more lists.
+MOST_LISTS = 64
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -191,7 +193,7 @@ def _search(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
         sample = np.array([r[0] for r in classes.select("vec").limit(SAMPLE).collect()], np.float64)
     sample /= np.sqrt((sample**2).sum(1))[:, None]
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-6
-    books = spark.sparkContext.broadcast(Codebooks(sample, max(1, min(1024, n // 512))))
+    books = spark.sparkContext.broadcast(Codebooks(sample, max(1, min(MOST_LISTS, n // 512))))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
