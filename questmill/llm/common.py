@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,25 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that connect what a task's edges connect, at most one a vertex: each vertex to its root."""
+    up: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (p := up.setdefault(v, v)) != v:
+            up[v] = up[p]
+            v = p
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    pairs = [(v, r) for v in list(up) if (r := find(v)) != v]
+    columns = zip(*pairs, strict=True) if pairs else ([], [])
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
@@ -55,11 +76,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Returns one row per vertex that has an edge to another one: id, component_id
     (the smallest vertex reachable). Each step takes minima per vertex and joins
     them back, so a hub is never gathered in one place; tables are written
-    between the rounds.
+    between the rounds. Before the first, each task leaves out edges that its
+    others make needless.
     """
-    now = written(
-        edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
-    )
+    flat = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = written(flat.repartition("a").mapInArrow(_forest, "a long, b long").distinct(), name)
     spark, before = edges.sparkSession, None
     while True:
         n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
