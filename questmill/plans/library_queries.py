@@ -221,7 +221,7 @@ def agg_progress(s, d):
 
 @query("agg_syllabus_totals", "SELECT r_name AS subject, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT 'all', count(*) FROM nation JOIN region ON n_regionkey = r_regionkey")
 def agg_syllabus_totals(s, d):
-    n = table(s, d, "nation").join(F.broadcast(table(s, d, "region")), c("n_regionkey") == c("r_regionkey"))
+    n = table(s, d, "nation").join(table(s, d, "region"), c("n_regionkey") == c("r_regionkey"))
     return n.rollup("r_name").agg(F.count("*").alias("n")).select(F.coalesce("r_name", F.lit("all")).alias("subject"), "n")
 
 
@@ -463,7 +463,7 @@ def top_profile_limit(s, d):
 @query("top_bias_lookup", "SELECT c_custkey, coalesce(CASE WHEN n_regionkey IN (1, 3) THEN n_regionkey - 2 END, 0) AS bias FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def top_bias_lookup(s, d):
     profile = table(s, d, "nation").where("n_regionkey in (1, 3)").select("n_nationkey", (c("n_regionkey") - 2).alias("difficulty_bias"))
-    return table(s, d, "customer").join(F.broadcast(profile), c("c_nationkey") == c("n_nationkey"), "left").select("c_custkey", F.coalesce("difficulty_bias", F.lit(0)).alias("bias"))
+    return table(s, d, "customer").join(profile, c("c_nationkey") == c("n_nationkey"), "left").select("c_custkey", F.coalesce("difficulty_bias", F.lit(0)).alias("bias"))
 
 
 @query("top_one_crop", "SELECT l_orderkey, arg_max(l_partkey, (CAST(l_returnflag = 'R' AS INT), l_quantity, l_extendedprice, -l_partkey)) AS best FROM lineitem GROUP BY l_orderkey")
@@ -665,7 +665,7 @@ def jn_index_to_question(s, d):
 
 @query("jn_skill_dim", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def jn_skill_dim(s, d):
-    return table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), c("c_nationkey") == c("n_nationkey"), "left").select("c_custkey", "n_name")
+    return table(s, d, "customer").join(table(s, d, "nation"), c("c_nationkey") == c("n_nationkey"), "left").select("c_custkey", "n_name")
 
 
 @query("jn_catalog_name", "SELECT p_partkey, min(n_nationkey) AS id FROM (SELECT p_partkey, 'nation_' || (p_partkey % 30) AS name FROM part) JOIN (SELECT n_nationkey, unnest([lower(trim(n_name)), 'nation_' || n_nationkey]) AS alias FROM nation) ON lower(trim(name)) = alias GROUP BY p_partkey")
@@ -673,7 +673,7 @@ def jn_catalog_name(s, d):
     aliases = F.array(F.lower(F.trim("n_name")), F.concat(F.lit("nation_"), c("n_nationkey").cast("string")))
     names = table(s, d, "nation").select("n_nationkey", F.explode(aliases).alias("alias"))
     asked = table(s, d, "part").select("p_partkey", F.concat(F.lit("nation_"), (c("p_partkey") % 30).cast("string")).alias("name"))
-    return asked.join(F.broadcast(names), F.lower(F.trim("name")) == c("alias")).groupBy("p_partkey").agg(F.min("n_nationkey").alias("id"))
+    return asked.join(names, F.lower(F.trim("name")) == c("alias")).groupBy("p_partkey").agg(F.min("n_nationkey").alias("id"))
 
 
 @query("jn_push_unit", "SELECT o_orderkey, count(l_partkey) AS children, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
@@ -791,7 +791,7 @@ def jn_attach_blocks(s, d):
 def jn_option_figure(s, d):
     token = F.upper(F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""))
     n = table(s, d, "nation").select("n_nationkey", F.concat(F.lit("BRAND"), c("n_nationkey").cast("string")).alias("t"))
-    return table(s, d, "part").join(F.broadcast(n), token == c("t")).select("p_partkey", "n_nationkey")
+    return table(s, d, "part").join(n, token == c("t")).select("p_partkey", "n_nationkey")
 
 
 @query("fn_clamp_box", f"WITH {BOXES} SELECT page, id, floor(greatest(0.0, least(1.0, y * 3 - 0.5)) * 10000 + 0.5) / 10000 AS y FROM b")
@@ -885,7 +885,7 @@ def gen_matching_items(s, d):
 
 @query("gen_syllabus_slots", "SELECT r_name AS subject, n_name AS section, c_mktsegment AS skill, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def gen_syllabus_slots(s, d):
-    t = table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), c("c_nationkey") == c("n_nationkey")).join(F.broadcast(table(s, d, "region")), c("n_regionkey") == c("r_regionkey"))
+    t = table(s, d, "customer").join(table(s, d, "nation"), c("c_nationkey") == c("n_nationkey")).join(table(s, d, "region"), c("n_regionkey") == c("r_regionkey"))
     return t.groupBy(c("r_name").alias("subject"), c("n_name").alias("section"), c("c_mktsegment").alias("skill")).agg(F.count("*").alias("n"))
 
 

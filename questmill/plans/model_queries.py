@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from questmill.functions import rules, text
@@ -381,12 +381,13 @@ def val_comprehension(s, d):
     return table(s, d, "conversations").groupBy("conv_id").agg(((F.count("*") > 1) & F.bool_or((c("turn") == 0) & (F.length("text") > 0))).alias("ok"))
 
 
-@query("val_finalize_mock", "SELECT conv_id, turn, (conv_id + 1) || chr(CAST(97 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT)) AS label FROM conversations WHERE turn < 26")
+@query("val_finalize_mock", "SELECT conv_id, turn, (conv_id + 1) || CASE WHEN p <= 26 THEN chr(CAST(96 + p AS INT)) ELSE '.' || p END AS label FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)")
 def val_finalize_mock(s, d):
-    from pyspark.sql import Window
-
+    """Parts of a set are numbered 12a, 12b, and from the 27th on 12.27."""
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(s, d, "conversations").where("turn < 26").select("conv_id", "turn", F.concat((c("conv_id") + 1).cast("string"), F.char(place + 96)).alias("label"))
+    t = table(s, d, "conversations").select("conv_id", "turn", place.alias("p"))
+    part = F.when(c("p") <= 26, F.char(c("p") + 96)).otherwise(F.concat(F.lit("."), c("p").cast("string")))
+    return t.select("conv_id", "turn", F.concat((c("conv_id") + 1).cast("string"), part).alias("label"))
 
 
 @query("st_ensure_items", "SELECT c_custkey, n FROM (SELECT c_custkey, unnest(generate_series(1, 3)) AS n FROM customer)")
