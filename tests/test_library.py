@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ def con():
 
 def cells(df):
     def cell(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT:
+            return None
+        if isinstance(v, float) and v != v:
             return None
         if hasattr(v, "tolist"):
             v = v.tolist()
