@@ -42,6 +42,10 @@ HOT, SALTS = 4096, 64
 FILTER_BITS = 1 << 24
 #: What one more member of a list costs its scan, in rows dealt to lists.
 COST_OF_PAIR = 0.02
+#: Rounds of comparing lists with two of their members, while more than CROSS pairs a list entry lie between components.
+ROUNDS, CROSS = 6, 3
+#: Documents with candidates that are joined by broadcast, checked by count; more pass a filter of fixed size.
+FEW_IDS = 200_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -205,9 +209,28 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     Sets are made again from the texts, for the documents that stand in pairs: a
     filter of fixed size lets most others pass by unread, the joins the rest.
     """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+
+    if ids.count() <= FEW_IDS:
+        wanted = docs.select("id", "text").join(F.broadcast(ids), "id", "left_semi")
+    else:
+        wanted = _filtered(docs, ids)
+    sets = wanted.mapInArrow(of, "id long, set array<long>")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    overlap = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("n"))
+    return overlap.where(F.col("o") * (100 + percent) >= F.col("n") * percent).select("a", "b")
+
+
+def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the documents with these ids, and of some others, by one bit each of a filter of fixed size."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     words = ids.select(F.shiftright(bit, 6).alias("w"), one.alias("o")).groupBy("w").agg(F.bit_or("o").alias("o"))
     words = words.toPandas()  # at most FILTER_BITS / 64 rows
     held = np.zeros(FILTER_BITS // 64, np.int64)
@@ -218,15 +241,20 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy().astype(np.int64)
             hit = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            part = batch.filter(pa.array(hit.astype(bool)))
-            sets = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            yield batch.filter(pa.array(hit.astype(bool))).select(["id", "text"])
 
-    sets = docs.select("id", "text", bit.alias("bit")).mapInArrow(rows, "id long, set array<long>")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    overlap = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("n"))
-    return overlap.where(F.col("o") * (100 + percent) >= F.col("n") * percent).select("a", "b")
+    return docs.select("id", "text", bit.alias("bit")).mapInArrow(rows, "id long, text string")
+
+
+def _starred(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a list with two of its members of about their size that lie in other components."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
+    sized = placed.withColumn("class", size_class)
+    h = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "most", "component_id")
+    heads = sized.groupBy("key", "class").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.count("*").alias("c")).where("c > 1")
+    met = sized.join(heads.drop("c"), ["key", "class"]).select("id", "n", "most", "component_id", F.explode(F.array("lo", "hi")).alias("head"))
+    met = met.where(_fits("n", "head.n", "most", "head.most", percent) & (F.col("component_id") != F.col("head.component_id")))
+    return met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -262,21 +290,25 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = dealt.mapInArrow(lambda b: _shared(b, percent), "key long, id long, n int, most int, hot boolean, salt long").select("key", "id", "n", "most")
     lists = written(shared.join(copies, "id", "left_anti"), "lists")
 
-    # First step: two members of each list, per size class, against the others.
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    sized = lists.withColumn("class", size_class)
-    h = F.struct(F.xxhash64("id").alias("h"), "id", "n", "most")
-    heads = sized.groupBy("key", "class").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.count("*").alias("c")).where("c > 1")
-    met = sized.join(heads.drop("c"), ["key", "class"]).select("id", "n", "most", F.explode(F.array("lo", "hi")).alias("head"))
-    met = met.where(_fits("n", "head.n", "most", "head.most", percent) & (F.col("id") != F.col("head.id")))
-    tried = written(met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct(), "tried")
-    links = written(_links(known, tried, percent), "links")
-    found = components(links, "found")
-
-    # Second step: members of a list that the first left in different components.
-    placed = lists.join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    mixed_lists = placed.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi")
-    rest = written(placed.join(mixed_lists.select("key"), "key", "left_semi"), "rest")
+    # First step: two members of each list, per size class, against the others; again with other
+    # members while many pairs lie between components, as one star rarely links a large group whole.
+    rest = lists.withColumn("component_id", F.col("id"))
+    tried = links = spark.createDataFrame([], "a long, b long")
+    for turn in range(ROUNDS):
+        pairs = written(_starred(rest, turn, percent).join(tried, ["a", "b"], "left_anti"), "tried")
+        links = links.union(written(_links(known, pairs, percent), "links"))
+        tried = tried.union(pairs)
+        found = components(links, "found")
+        placed = lists.join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+        mixed_lists = placed.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi")
+        rest = written(placed.join(mixed_lists.select("key"), "key", "left_semi"), "rest")
+        sizes = rest.groupBy("key", "component_id").agg(F.count("*").cast("double").alias("c"))
+        sizes = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        members, cross = sizes.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("own")) / 2)).first()
+        if (cross or 0) <= CROSS * (members or 0):
+            break
+
+    # Second step: all members of a list that lie in different components.
     x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "most", "component_id")]) for s in "xy")
     apart = x.join(y, "key").where((F.col("id_x") < F.col("id_y")) & (F.col("component_id_x") != F.col("component_id_y")) & _fits("n_x", "n_y", "most_x", "most_y", percent))
     fresh = apart.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
