@@ -107,6 +107,31 @@ def test_quality(spark, docs):
     assert quality.score(docs, none).where("not good").count() == 0
 
 
+def test_every_language_with_trusted_documents_has_its_own_model(spark, monkeypatch):
+    """A rare language beside a common one, and one whose table is not broadcast, are judged by all of their own."""
+    monkeypatch.setattr(quality, "MOST_BROADCAST", 1)
+    monkeypatch.setattr(quality, "GROUP_CHARS", 2_000)
+    monkeypatch.setattr(quality, "SAMPLE", 500, raising=False)
+    monkeypatch.setattr(quality, "MOST_LANGUAGES", 1, raising=False)
+    r = random.Random(3)
+    parts = {"big": ["ta", "ne", "ri", "so"], "rare": ["ku", "wo", "gy", "zha"]}
+    text = lambda lang: " ".join("".join(r.choice(parts[lang]) for _ in range(r.randint(1, 4))) for _ in range(40))
+    rows = [(i, text("big"), "big") for i in range(3000)] + [(3000 + i, text("rare"), "rare") for i in range(100)]
+    wrong = [(4000 + i, text("big"), "rare") for i in range(20)]
+    all_ = spark.createDataFrame(rows + wrong, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    model = quality.train(all_, labels)
+    assert set(model.bounds) == {"big", "rare", quality.ALL}
+    out = quality.score(all_, model).toPandas()
+    assert len(out) == len(rows) + len(wrong)
+    assert not out[out.doc_id >= 4000].good.any()
+    assert out[out.doc_id < 3000].good.mean() > 0.98 and out[out.doc_id.between(3000, 3999)].good.mean() > 0.95
+    # The way of the table does not change the figures.
+    tables = model.tables | {x["lang"]: np.frombuffer(x["table"], "<f4") for x in model.others.collect()}
+    both = quality.score(all_, quality.Model(tables, model.mean, model.bounds)).toPandas()
+    assert np.allclose(out.sort_values("doc_id").nll, both.sort_values("doc_id").nll)
+
+
 def test_kneser_ney_shares(spark):
     """The shares and weights of an order against the formula."""
     counts = spark.createDataFrame([("xx", c, n) for c, n in ((33, 1), (34, 2), (35, 3), (66, 1), (67, 5), (99, 4))], "lang string, code long, n long")
