@@ -132,6 +132,35 @@ def test_every_language_with_trusted_documents_has_its_own_model(spark, monkeypa
     assert np.allclose(out.sort_values("doc_id").nll, both.sort_values("doc_id").nll)
 
 
+#: Letters of each script in an order that makes neighbours rare or common.
+SCRIPTS = {"ru": "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэф", "el": "αοιετσνηυρπκμλωδγχθφβξζψ", "ar": "اليمونترعبدسفحقكجشصخطذزضثءغظ", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 1500)))}
+
+
+def test_junk_in_other_scripts(spark):
+    """Random letters of a script in words as long as clean ones do not pass, and clean text does."""
+    rows, junk = [], []
+    for k, (lang, letters) in enumerate(SCRIPTS.items()):
+        r = random.Random(k)
+        pool = ["".join(r.choice(letters[:10] if lang != "zh" else letters) for _ in range(r.randint(2, 7))) for _ in range(150)]
+        rows += [(1000 * k + i, " ".join(r.choice(pool) for _ in range(60)), lang) for i in range(400)]
+        junk += [(100_000 + 1000 * k + i, " ".join("".join(r.choice(letters) for _ in r.choice(pool)) for _ in range(60)), lang) for i in range(30)]
+    all_ = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    model = quality.train(all_, spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int"))
+    out = quality.score(all_, model).toPandas()
+    clean = out.doc_id < 100_000
+    print(out.assign(clean=clean).groupby(["lang", "clean"]).good.agg(["mean", "size"]))
+    assert out[clean].groupby("lang").good.mean().min() > 0.97
+    assert out[~clean].groupby("lang").good.mean().max() < 0.05
+
+
+def test_symbols():
+    spell = lambda t: quality.symbols(t)[quality.ORDER - 1 :].tolist()
+    assert spell("Ab 1.") == [31, 0, 1, 27, 26, 28] and spell(None) == []
+    e = [(0xE9 >> 5) & 31, 0xE9 & 31]
+    assert spell("é") == [29, *e] and spell("É") == [31, 29, *e] and spell("aéé") == [0, 29, *e, *e]
+    assert len({tuple(spell(c)) for c in SCRIPTS["ru"]}) == len(SCRIPTS["ru"])
+
+
 def test_kneser_ney_shares(spark):
     """The shares and weights of an order against the formula."""
     counts = spark.createDataFrame([("xx", c, n) for c, n in ((33, 1), (34, 2), (35, 3), (66, 1), (67, 5), (99, 4))], "lang string, code long, n long")
