@@ -337,6 +337,22 @@ def test_plan_holds_every_piece(seed):
     assert sum(n for _, n in found) <= 1.02 * max(np.ceil(lengths.sum() / 2048), (lengths > 1024).sum()) + 2
 
 
+def test_plan_reaches_every_length_of_a_flat_histogram():
+    need = np.full(packing.CAPACITY + 1, 300)
+    need[0] = 0
+    found = packing.plan(need)
+    held = sum(n * np.bincount(f, minlength=len(need)) for f, n in found)
+    assert (held == need).all() and max(sum(f) for f, _ in found) <= packing.CAPACITY
+    best_fit = sum(n for _, n in packing._best_fit(np.append(need[:-1], 0), packing.CAPACITY)) + 300
+    assert sum(n for _, n in found) <= best_fit
+
+
+def test_bounded_knapsack():
+    prices = np.array([-np.inf, -np.inf, 2.0, -np.inf, -np.inf, 5.0, *[-np.inf] * 15])
+    found = packing.knapsack(prices, 20, np.array([0, 0, 9, 0, 0, 1] + [0] * 15))
+    assert found.count(5) == 1 and found.count(2) == 7
+
+
 def test_knapsack():
     r = np.random.default_rng(3)
     for _ in range(20):
