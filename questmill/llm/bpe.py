@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from questmill.llm.common import small_batches
+from questmill.llm.common import in_slices
 from questmill.llm.tokens import byte_characters
 
 #: Words a worker remembers between batches.
@@ -224,10 +224,9 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     A null text is an empty one, without ids. A null id, repeated rows and very
     long texts are encoded like any other; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, sizes = bpe(tokenizer).encode(batch.column(1).to_pylist())
             edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(edges, pa.array(ids))], names=["doc_id", "ids"])
@@ -239,7 +238,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """encoded (doc_id, ids) with text: what decoding the ids gives, special tokens included."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             text = bpe(tokenizer).decode(batch.column("ids")).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), text], names=["doc_id", "ids", "text"])
 

@@ -8,11 +8,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Deletes the white space of the contracts: space, tab, newline, vertical tab, form feed, carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
+#: Vertices that are joined by broadcast, checked by count (16 bytes each).
+FEW_VERTICES = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a folder of this machine serves where it is the only one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "questmill-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -44,10 +47,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch of documents holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def written_with(df: DataFrame, name: str, totals: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """As written, and totals over the rows that were written."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(k) for k, c in totals.items()]), name)
+    return out, seen.get
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, to bound what a Python worker makes of one."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,38 +81,25 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+    """Connected components by local forests and pointer jumping.
 
     edges: columns a and b (long), any direction, repeats and loops allowed.
     Returns one row per vertex that has an edge to another one: id, component_id
-    (the smallest vertex reachable). Each step takes minima per vertex and joins
-    them back, so a hub is never gathered in one place; tables are written
-    between the rounds. Before the first, each task leaves out edges that its
-    others make needless.
+    (the smallest vertex reachable). Edges lead from the greater to the smaller
+    vertex and are dealt by the greater, so a hub, which is small once it is a
+    root, is no key of a shuffle; each task leaves out edges that its others make
+    needless. Then edges to a vertex that has a parent itself are led to that
+    parent: only such vertices are joined, and those of a star are none.
     """
-    flat = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = written(flat.repartition("a").mapInArrow(_forest, "a long, b long").distinct(), name)
-    spark, before = edges.sparkSession, None
+    now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
-        n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not n:
-            return spark.createDataFrame([], "id long, component_id long")
-        if before == (n, mark):
-            break
-        before = (n, mark)
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        now = written(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(least.select("a", F.col("m").alias("b")))
-            .where("a != b")
-            .distinct(),
-            name,
-        )
-    # At the fixed point every edge leads from a vertex to the root of its star.
-    leaves = now.groupBy("a").agg(F.min("b").alias("component_id")).withColumnRenamed("a", "id")
-    return leaves.union(now.select("b", "b").distinct())
+        now = written(now.repartition("a").mapInArrow(_forest, "a long, b long"), name)
+        up = now.groupBy("a").agg(F.min("b").alias("to"), F.max("b").alias("most"))
+        below = now.groupBy(F.col("b").alias("a")).agg(F.lit(True).alias("has_children"))
+        inner = up.join(below, "a", "left").where("has_children or to < most").select(F.col("a").alias("b"), "to")
+        inner, total = written_with(inner, name, {"n": F.count("*")})
+        if not total["n"]:
+            # Every vertex with a parent has one, and that is a root.
+            return up.select(F.col("a").alias("id"), F.col("to").alias("component_id")).union(below.select("a", "a"))
+        inner = F.broadcast(inner) if total["n"] <= FEW_VERTICES else inner
+        now = now.join(inner, "b", "left").select("a", F.coalesce("to", "b").alias("b"))

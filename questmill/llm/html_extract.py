@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questmill.llm.common import small_batches, written
+from questmill.llm.common import in_slices, written
 from questmill.llm.html_nodes import INLINE, Node, features, parse, shown, text_of
 
 #: Made-up pages to fit on, trees, and their depth.
@@ -279,13 +279,12 @@ def extract(pages: DataFrame, trees: Trees, html_col: str = "html") -> DataFrame
     A null or empty page has the empty text. Columns of pages with the names of
     the new ones are replaced; all others stay, rows too.
     """
-    small_batches(pages.sparkSession, 100)
     held = pages.sparkSession.sparkContext.broadcast(trees)
     kept = pages.drop("main_text", "n_chars")
     names = kept.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 100):
             parsed = [parse(h) for h in batch.column(names.index(html_col)).to_pylist()]
             asked = [_asked(n) for n in parsed]
             x = [features(n)[a] for n, a in zip(parsed, asked, strict=True)]

@@ -13,12 +13,14 @@ The boundary is where a set's subsets would cost more rows than scanning its lis
 whose expected length the sketch gives. Each entry also carries the largest overlap
 still possible, which prunes pairs without looking at the sets.
 
-Pairs are found in two steps, so that a group of thousands of similar texts does
-not become millions of pairs. First every member of a list is compared with two of
-the list's members (of about its size); the links found give components. Then all
-pairs of members in different components are compared. Pairs within a component
-need no comparison: they would change no component. All comparisons are exact, on
-the sets; no list, pair or partner is dropped.
+Each list is one run of a sorted partition; one that may be long is dealt to parts.
+A list with few members, or with few pairs across components, has those pairs
+compared and is done. Of a longer one, every member is compared with a few
+others of about its size; the links found give components, and the list goes
+into the next round only where it still holds several. So a group of thousands of
+similar texts does not become millions of pairs. Pairs within a component need no
+comparison: they would change no component. All comparisons are exact, on the
+sets; no list, pair or partner is dropped.
 """
 
 from __future__ import annotations
@@ -28,24 +30,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questmill.llm.common import components, small_batches, written
+from questmill.llm.common import components, in_slices, written, written_with
 
 WORDS, PERCENT = 5, 75
 #: Counters of the sketch, in slices; its size does not grow with the input.
 SKETCH, SLICES = 1 << 20, 64
-#: A list whose shingle may occur more often is dealt to SALTS parts.
-HOT, SALTS = 4096, 64
+#: A list is dealt to parts of about so many entries.
+HOT = 4096
 #: Bits of the filter for the documents that have candidates at all.
 FILTER_BITS = 1 << 24
 #: What one more member of a list costs its scan, in rows dealt to lists.
 COST_OF_PAIR = 0.02
-#: Rounds of comparing lists with two of their members, while more than CROSS pairs a list entry lie between components.
-ROUNDS, CROSS = 6, 3
-#: Documents with candidates that are joined by broadcast, checked by count; more pass a filter of fixed size.
-FEW_IDS = 200_000
+#: Lists of so many members, or so many pairs a member across components, have all those compared at once.
+SHORT, CROSS = 8, 3
+#: Rounds of comparing members of the other lists with a few of their size, before all that lie apart are compared.
+ROUNDS = 6
+#: Digests that a task remembers, to leave out repeats.
+MOST_SEEN = 500_000
+
+PAIR = ["a", "da", "b", "db"]
+ENTRY = ["key", "part", "parts", "meta", "digest", "id"]
+#: meta: the size of the set, shifted by 32 bits, and the largest overlap possible from here on.
+ENTRY_SCHEMA = "key long, part int, parts int, meta long, digest long, id long"
+ENTRY_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+MET_SCHEMA = f"a long, da long, b long, db long, {ENTRY_SCHEMA}"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,14 +101,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and digest of every set, then this task's sketch in slices."""
     names, kinds = ["id", "n", "digest", "slice", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
     sketch = np.zeros(SKETCH, np.int64)
-    for batch in batches:
+    for batch in in_slices(batches):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         sketch += np.bincount((every & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         none = [None] * len(sets)
         values = [batch.column(0), [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], none, none]
         yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
-    parts = [p.astype("<u4").tobytes() for p in np.split(np.minimum(sketch, 0xFFFFFFFF), SLICES)]
+    parts = [pa.compress(p.astype("<u4").tobytes(), "zstd", asbytes=True) for p in np.split(np.minimum(sketch, 0xFFFFFFFF), SLICES)]
     none = [None] * SLICES
     values = [none, none, none, range(SLICES), parts]
     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
@@ -106,7 +118,7 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for s, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(counts, "<u4").astype(np.int64)
+            part = np.frombuffer(pa.decompress(counts, SKETCH // SLICES * 4, "zstd"), "<u4").astype(np.int64)
             total[s] = total[s] + part if s in total else part
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "counts"]
@@ -131,130 +143,180 @@ def boundary(sketch: np.ndarray, percent: int = PERCENT) -> int:
 
 
 def _entries(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, light: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The list entries of every set: key, id, size, largest overlap possible, and whether the list may be hot."""
-    for batch in batches:
-        keys, ids, sizes, mosts, hots = [], [], [], [], []
+    """The list entries of every distinct set: key, part and parts of its list, size and largest overlap possible, digest, id."""
+    noise = float(np.median(sketch))
+    beyond = noise + 4 * noise**0.5
+    seen: dict[int, int] = {}
+    for batch in in_slices(batches):
+        keys, most, oftens, docs = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             h = shingles(text)
             n = len(h)
             if n < 2:  # similar to equal sets only
                 continue
+            digest = xxhash.xxh3_64_intdigest(h.tobytes())
+            if seen.get(digest, doc + 1) <= doc:  # an equal set with no larger id has gone ahead
+                continue
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            seen[digest] = doc
             often = sketch[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
             order = np.lexsort((h, often))
             rare = n - -(-percent * n // 100) + 1
+            count = 0
             if n < light:
                 own = order[: min(n, rare + 1)]
                 i, j = np.triu_indices(len(own), 1)
                 keys.append(_mix(h[own[i]] * _P + h[own[j]]))
-                hots.append(np.minimum(often[own[i]], often[own[j]]) > HOT)
-                mosts.append(n - j + 1)
-                ids.append(doc), sizes.append((n, len(i)))
+                oftens.append(np.minimum(often[own[i]], often[own[j]]))
+                most.append(n - j + 1)
+                count += len(i)
             if 100 * n >= percent * light:
                 own = order[:rare]
                 keys.append(h[own])
-                hots.append(often[own] > HOT)
-                mosts.append(n - np.arange(len(own)))
-                ids.append(doc), sizes.append((n, len(own)))
-        count = np.array([c for _, c in sizes], np.int64)
-        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(flat(keys, np.uint64).view(np.int64)),
-                pa.array(np.repeat(np.array(ids, np.int64), count)),
-                pa.array(np.repeat(np.array([n for n, _ in sizes], np.int32), count)),
-                pa.array(flat(mosts, np.int32)),
-                pa.array(flat(hots, bool)),
-            ],
-            names=["key", "id", "n", "most", "hot"],
-        )
-
-
-def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by key and size, those with a possible partner under their key, and all that may be hot."""
+                oftens.append(often[own])
+                most.append(n - np.arange(len(own)))
+                count += len(own)
+            docs.append((doc, digest, n, count))
+        if not docs:
+            continue
+        of = np.repeat(np.arange(len(docs)), [d[3] for d in docs])
+        digest = np.array([d[1] for d in docs], np.uint64)[of]
+        parts = np.maximum(1, np.ceil((np.concatenate(oftens) - beyond) / HOT)).astype(np.int64)
+        values = [
+            np.concatenate(keys).view(np.int64),
+            (digest % parts.astype(np.uint64)).astype(np.int32),
+            parts.astype(np.int32),
+            np.array([d[2] for d in docs], np.int64)[of] << 32 | np.concatenate(most).astype(np.int64),
+            digest.view(np.int64),
+            np.array([d[0] for d in docs], np.int64)[of],
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=ENTRY)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], turn: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by list and size: pairs to compare, and the entries of lists that are not done with them."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         now = pa.Table.from_batches([batch])
         now = pa.concat_tables([held, now]) if held is not None else now
-        key = now.column("key").to_numpy()
-        last = int(np.searchsorted(key, key[-1]))  # the last run may go on
-        yield from _partnered(now.slice(0, last), percent)
+        key, part = now.column("key").to_numpy(), now.column("part").to_numpy()
+        change = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+        last = int(change[-1]) + 1 if len(change) else 0  # the last run may go on
+        if last:
+            yield from _pairs_of(now.slice(0, last), turn, percent).to_batches()
         held = now.slice(last).combine_chunks()
-    if held is not None:
-        yield from _partnered(held, percent)
+    if held is not None and held.num_rows:
+        yield from _pairs_of(held, turn, percent).to_batches()
+
 
+def _pairs_of(table: pa.Table, turn: int, percent: int) -> pa.Table:
+    """Columns of MET_SCHEMA: rows of pairs, then rows of entries, the other half null."""
+    e = {c: table.column(c).to_numpy() for c in table.column_names}
+    run = _runs(e["key"], e["part"])
+    repeat = np.zeros(len(run), bool)
+    repeat[1:] = (run[1:] == run[:-1]) & (e["meta"][1:] == e["meta"][:-1]) & (e["digest"][1:] == e["digest"][:-1])
+    e, run = {c: v[~repeat] for c, v in e.items()}, run[~repeat]
 
-def _partnered(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """Entries for which another of their list has a size that their own size and largest overlap allow."""
-    if not part.num_rows:
-        return
-    key, n, most = (part.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "most"))
-    run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    # Entries for which another of their list has a size that their own size and largest overlap allow.
+    n, most = e["meta"] >> 32, e["meta"] & 0xFFFFFFFF
     place = run << 31 | n  # ascending, as the entries are
     least = -(-percent * n // 100)
     largest = np.minimum(100 * n // percent, most * (100 + percent) // percent - n)
     others = np.searchsorted(place, run << 31 | largest, side="right") - np.searchsorted(place, run << 31 | least)
-    keep = (others > (largest >= n)) | part.column("hot").to_numpy()
-    yield from part.filter(pa.array(keep)).combine_chunks().to_batches()
-
-
-def _similar_sizes(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    keep = (others > (largest >= n)) | (e["parts"] > 1)
+    e = {c: v[keep] for c, v in e.items()}
+    n, most, run = n[keep], most[keep], _runs(e["key"], e["part"])
+    label = e.get("component", e["id"])
+
+    def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        ok &= np.minimum(most[x], most[y]) * (100 + percent) >= (n[x] + n[y]) * percent
+        return x[ok], y[ok]
+
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
+    ends = np.append(starts[1:], len(run))
+    short = np.repeat(ends - starts <= SHORT, ends - starts)
+    found = [(np.empty(0, np.int64),) * 2]
+    for d in range(1, SHORT):
+        x = np.flatnonzero(short[d:] & (run[d:] == run[:-d]))
+        found.append(fit(x, x + d))
+    left = e["parts"] > 1
+    for s, t in zip(starts[ends - starts > SHORT], ends[ends - starts > SHORT], strict=True):
+        own = np.unique(label[s:t], return_counts=True)[1]
+        if len(own) == 1:
+            continue
+        if ((t - s) ** 2 - int((own**2).sum())) // 2 <= CROSS * (t - s):
+            x, y = np.triu_indices(t - s, 1)
+            found.append(fit(x + s, y + s))
+            continue
+        left[s:t] = True
+        kind = np.floor(np.log(n[s:t]) / np.log(100 / percent)).astype(np.int64)
+        h = _mix(e["digest"][s:t].view(np.uint64) ^ np.uint64(turn))
+        for k in np.unique(kind):
+            own, near = np.flatnonzero(kind == k), np.flatnonzero((kind == k) | (kind == k + 1)) + s
+            for head in {own[np.argmin(h[own])], own[np.argmax(h[own])]}:
+                found.append(fit(near, np.full(len(near), head + s)))
+    x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    x, y = np.where(e["digest"][x] < e["digest"][y], x, y), np.where(e["digest"][x] < e["digest"][y], y, x)
+    pairs = np.unique(np.stack([e["id"][x], e["digest"][x], e["id"][y], e["digest"][y]], 1), axis=0) if len(x) else np.empty((0, 4), np.int64)
+    none, rest = pa.nulls(int(left.sum()), pa.int64()), len(pairs)
+    columns = [pa.chunked_array([pa.array(np.ascontiguousarray(pairs[:, i])), none]) for i in range(4)]
+    columns += [pa.chunked_array([pa.nulls(rest, kind), pa.array(e[c][left])]) for c, kind in zip(ENTRY, ENTRY_TYPES, strict=True)]
+    return pa.Table.from_arrays(columns, names=[*PAIR, *ENTRY])
+
+
+def _runs(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The number of each entry's run of equal key and part."""
+    change = np.zeros(len(key), np.int64)
+    change[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+    return np.cumsum(change)
 
 
 def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough. pairs: a written table.
+    """Those of the pairs (a written table) whose sets are similar enough: a, b.
 
     Sets are made again from the texts, for the documents that stand in pairs: a
     filter of fixed size lets most others pass by unread, the joins the rest.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = _bits(pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
-
-    if ids.count() <= FEW_IDS:
-        wanted = docs.select("id", "text").join(F.broadcast(ids), "id", "left_semi")
-    else:
-        wanted = _filtered(docs, ids)
-    sets = wanted.mapInArrow(of, "id long, set array<long>")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        seen: set[int] = set()
+        for batch in in_slices(batches):
+            at = batch.column(2).to_numpy().astype(np.int64)
+            hit = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            digests, sets = [], []
+            for text in batch.column(1).filter(pa.array(hit.astype(bool))).to_pylist():
+                h = shingles(text)
+                digest = xxhash.xxh3_64_intdigest(h.tobytes())
+                if digest not in seen:
+                    if len(seen) > MOST_SEEN:
+                        seen.clear()
+                    seen.add(digest), digests.append(digest), sets.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "set"])
+
+    sets = docs.select("id", "text", _bit("id").alias("bit")).mapInArrow(of, "digest long, set array<long>")
+    both = pairs.join(sets.select(F.col("digest").alias("da"), F.col("set").alias("sa")), "da")
+    both = both.join(sets.select(F.col("digest").alias("db"), F.col("set").alias("sb")), "db")
     overlap = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("n"))
     return overlap.where(F.col("o") * (100 + percent) >= F.col("n") * percent).select("a", "b")
 
 
-def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and text of the documents with these ids, and of some others, by one bit each of a filter of fixed size."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def _bits(ids: DataFrame) -> Broadcast[np.ndarray]:
+    """A filter of fixed size, one bit an id, as words."""
     one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))")
-    words = ids.select(F.shiftright(bit, 6).alias("w"), one.alias("o")).groupBy("w").agg(F.bit_or("o").alias("o"))
+    words = ids.select(F.shiftright(_bit("id"), 6).alias("w"), one.alias("o")).groupBy("w").agg(F.bit_or("o").alias("o"))
     words = words.toPandas()  # at most FILTER_BITS / 64 rows
     held = np.zeros(FILTER_BITS // 64, np.int64)
     held[words["w"].to_numpy(np.int64)] = words["o"].to_numpy(np.int64)
-    held = docs.sparkSession.sparkContext.broadcast(held.view(np.uint64))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy().astype(np.int64)
-            hit = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.filter(pa.array(hit.astype(bool))).select(["id", "text"])
-
-    return docs.select("id", "text", bit.alias("bit")).mapInArrow(rows, "id long, text string")
-
-
-def _starred(placed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of a list with two of its members of about their size that lie in other components."""
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    sized = placed.withColumn("class", size_class)
-    h = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "most", "component_id")
-    heads = sized.groupBy("key", "class").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.count("*").alias("c")).where("c > 1")
-    met = sized.join(heads.drop("c"), ["key", "class"]).select("id", "n", "most", "component_id", F.explode(F.array("lo", "hi")).alias("head"))
-    met = met.where(_fits("n", "head.n", "most", "head.most", percent) & (F.col("component_id") != F.col("head.component_id")))
-    return met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+    return ids.sparkSession.sparkContext.broadcast(held.view(np.uint64))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -267,7 +329,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives an empty one.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     mixed = written(docs.mapInArrow(_profile, "id long, n int, digest binary, slice int, counts binary"), "profile")
     profile = mixed.where("slice is null").select("id", "n", "digest")
@@ -278,51 +339,63 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     light = boundary(sketch, percent)
     held = spark.sparkContext.broadcast(sketch)
 
-    # Equal sets: all but the first follow it.
+    # Equal sets are one vertex, their first id. The classes are written, so that Spark can split the join where a class holds many rows.
     classes = profile.where("n > 0 and id is not null").groupBy("n", "digest").agg(F.min("id").alias("first"), F.count("*").alias("c"))
-    copies = profile.join(classes.where("c > 1"), ["n", "digest"]).where("id != first")
-    copies = written(copies.select("id", "first").distinct(), "copies")
+    classes = written(classes.where("c > 1").drop("c"), "classes")
+    rows = profile.join(classes, ["n", "digest"], "left").select("id", "n", F.coalesce("first", "id").alias("first"))
+    rows = written(rows, "rows")
+    # An id with several texts links the classes of all of them.
+    several = rows.where("id is not null").groupBy("id").agg(F.min("first").alias("b"), F.max("first").alias("most")).where("b < most").select("id", "b")
+    found = rows.join(several, "id").select(F.col("first").alias("a"), "b")
 
     known = docs.where("id is not null")
-    entries = known.mapInArrow(lambda b: _entries(b, held.value, light, percent), "key long, id long, n int, most int, hot boolean")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
-    dealt = entries.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key", "n")
-    shared = dealt.mapInArrow(lambda b: _shared(b, percent), "key long, id long, n int, most int, hot boolean, salt long").select("key", "id", "n", "most")
-    lists = written(shared.join(copies, "id", "left_anti"), "lists")
-
-    # First step: two members of each list, per size class, against the others; again with other
-    # members while many pairs lie between components, as one star rarely links a large group whole.
-    rest = lists.withColumn("component_id", F.col("id"))
-    tried = links = spark.createDataFrame([], "a long, b long")
+    entries = known.mapInArrow(lambda b: _entries(b, held.value, light, percent), ENTRY_SCHEMA)
     for turn in range(ROUNDS):
-        pairs = written(_starred(rest, turn, percent).join(tried, ["a", "b"], "left_anti"), "tried")
-        links = links.union(written(_links(known, pairs, percent), "links"))
-        tried = tried.union(pairs)
-        found = components(links, "found")
-        placed = lists.join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-        mixed_lists = placed.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi")
-        rest = written(placed.join(mixed_lists.select("key"), "key", "left_semi"), "rest")
-        sizes = rest.groupBy("key", "component_id").agg(F.count("*").cast("double").alias("c"))
+        compared = entries.repartition("key", "part").sortWithinPartitions("key", "part", "meta", "digest", "id")
+        compared = compared.mapInArrow(lambda b, t=turn: _compared(b, t, percent), MET_SCHEMA)
+        met = written(compared, "met")
+        pairs = written(met.where("a is not null").select(*PAIR).distinct(), "pairs")
+        found = components(written(_links(known, pairs, percent), "links").union(found), "found")
+        placed = written(_placed(met.where("key is not null").select(*ENTRY), found), "placed")
+        found = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+
+        # Lists that still hold more than one component.
+        sizes = placed.groupBy("key", "component").agg(F.count("*").cast("double").alias("c"))
         sizes = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        members, cross = sizes.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("own")) / 2)).first()
-        if (cross or 0) <= CROSS * (members or 0):
+        apart = ((F.col("c") * F.col("c") - F.col("own")) / 2).alias("apart")
+        totals = {"lists": F.count("*"), "members": F.sum("c"), "apart": F.sum("apart")}
+        mixed, total = written_with(sizes.select("key", "c", apart).where("apart > 0"), "mixed", totals)
+        if not total["lists"]:
+            return _labelled(rows, found, id_col)
+        entries = placed.join(mixed.select("key"), "key", "left_semi")
+        if total["apart"] <= CROSS * total["members"]:
             break
+        # Long lists are dealt anew, so that others meet.
+        entries = entries.withColumn("part", F.pmod(F.xxhash64("digest", F.lit(turn + 1)), F.col("parts")).cast("int")).select(*ENTRY, "component")
+
+    # What lies apart in a list is compared as it is.
+    rest = written(entries, "rest")
+    x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "digest", "meta", "component")]) for s in "xy")
+    met = x.join(y, "key").where((F.col("digest_x") < F.col("digest_y")) & (F.col("component_x") != F.col("component_y")) & _fits("meta_x", "meta_y", percent))
+    pairs = written(met.select(*[F.col(c).alias(p) for c, p in zip(("id_x", "digest_x", "id_y", "digest_y"), PAIR, strict=True)]).distinct(), "pairs")
+    found = components(written(_links(known, pairs, percent), "links").union(found), "found")
+    return _labelled(rows, found.select(F.col("id").alias("a"), F.col("component_id").alias("b")), id_col)
+
+
+def _placed(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """List entries with the component of their id."""
+    labels = found.withColumnRenamed("component_id", "component")
+    return entries.join(labels, "id", "left").select(*ENTRY, F.coalesce("component", "id").alias("component"))
 
-    # Second step: all members of a list that lie in different components.
-    x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "most", "component_id")]) for s in "xy")
-    apart = x.join(y, "key").where((F.col("id_x") < F.col("id_y")) & (F.col("component_id_x") != F.col("component_id_y")) & _fits("n_x", "n_y", "most_x", "most_y", percent))
-    fresh = apart.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(_links(known, written(fresh, "fresh"), percent), "links")
 
-    edges = links.union(more).union(copies.select("id", "first"))
-    final = components(edges, "components")
-    return (
-        profile.join(final, "id", "left")
-        .select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    )
+def _labelled(rows: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    label = F.when(F.col("id").isNotNull(), F.coalesce("b", "first"))
+    out = rows.join(found.select(F.col("a").alias("first"), "b"), "first", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), label.alias("component_id"))
 
 
-def _fits(n: str, m: str, most_n: str, most_m: str, percent: int) -> Column:
+def _fits(x: str, y: str, percent: int) -> Column:
     """Whether two entries of a list can belong to similar sets, by their sizes and the overlap still possible."""
-    most = F.least(F.col(most_n), F.col(most_m))
-    return _similar_sizes(n, m, percent) & (most * (100 + percent) >= (F.col(n) + F.col(m)) * percent)
+    n, m = F.shiftright(x, 32), F.shiftright(y, 32)
+    most = F.least(F.col(x).bitwiseAND(0xFFFFFFFF), F.col(y).bitwiseAND(0xFFFFFFFF))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)

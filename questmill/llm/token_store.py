@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from questmill.llm.common import small_batches
+from questmill.llm.common import in_slices
 from questmill.llm.tokens import encoder
 
 #: Tokens of a block, when its last document ends.
@@ -69,7 +69,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, bits: int, end: int) -
         values = [[shard], [block], [start], [docs], [counts], [bits], [payload]]
         return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(values, schema, strict=True)], schema=schema)
 
-    for batch in batches:
+    for batch in in_slices(batches):
         ids, sizes = encoder(path).encode(batch.column(1).to_pylist())
         edges = np.concatenate([[0], np.cumsum(sizes)])
         for i, doc in enumerate(batch.column(0).to_pylist()):
@@ -94,7 +94,6 @@ def write_tokens(
     rows that repeat an id stand side by side. Other columns are ignored. An
     empty table gives a store without blocks.
     """
-    small_batches(docs.sparkSession)
     bits = bits_for(vocabulary)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
@@ -112,7 +111,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     placed = blocks.join(F.broadcast(bases), "shard").select((F.col("base") + F.col("start")).alias("start"), "doc_ids", "counts", "bits", "payload")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 64):
             for b in batch.to_pylist():
                 ids = unpack(b["payload"], b["bits"], sum(b["counts"]))
                 edges = np.concatenate([[0], np.cumsum(b["counts"])]).astype(np.int32)
@@ -133,7 +132,7 @@ def crc_of_tokens(store: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             tokens = batch.column("tokens")
             flat, edges = tokens.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(batch.column("n_tokens"))])
             crcs = [zlib.crc32(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]

@@ -424,3 +424,43 @@ def test_ngram_join(spark, monkeypatch, docs, rows, light):
             root[y] = x
     assert got == sorted(((i, len(s), find(i)) for i, s in every), key=repr)
     assert ngram_join.ngram_components(empty(spark, docs)).count() == 0
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    """Each text of an id counts, whichever of them are copies of others."""
+    r = random.Random(11)
+    a, b = words(r, 60, 10**6), words(r, 60, 10**6)
+    rows = [(3, a), (5, a), (5, b), (9, b + " tail"), (9, b + " tail"), (None, a), (None, b), (20, words(r, 50, 10**6))]
+    for left_out, want in ((None, {3: 3, 5: 3, 9: 3, None: None, 20: 20}), (0, {5: 5, 9: 5, None: None, 20: 20})):
+        frame = spark.createDataFrame([x for i, x in enumerate(rows) if i != left_out], "doc_id long, text string").repartition(3)
+        got = ngram_join.ngram_components(frame).collect()
+        assert {x.doc_id: x.component_id for x in got} == want and len(got) == frame.count()
+
+
+def test_ngram_join_of_long_lists(spark, monkeypatch):
+    """Lists beyond every bound of one round: a group whose members link in chains only, and a passage that links nothing."""
+    for name, value in (("HOT", 16), ("SHORT", 2), ("CROSS", 0.5), ("ROUNDS", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(100)]
+    # Member k differs from its neighbours in few words and from far ones in many.
+    chain = [(k, " ".join(f"c{i}" if i < k else w for i, w in enumerate(base))) for k in range(0, 100, 3)]
+    passage = words(r, 60, 10**6)
+    apart = [(1000 + k, passage + " " + words(r, 60, 10**6)) for k in range(60)]
+    texts = chain + apart
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in texts}
+    root = {i: i for i, _ in texts}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, j in itertools.combinations(sets, 2):
+        o = len(sets[i] & sets[j])
+        if 100 * o >= 75 * (len(sets[i]) + len(sets[j]) - o):
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    got = ngram_join.ngram_components(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: find(i) for i in root}
+    assert len({find(i) for i, _ in chain}) < len(chain)
