@@ -9,8 +9,9 @@ than the stage it was lost in.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from questmill.llm.common import table, written
+from questmill.llm.common import ASCII_SPACE, table, written, written_with
 from questmill.llm.exact_dedup import exact_dedup
 from questmill.llm.ngram_join import ngram_components
 from questmill.llm.packing import pack_sequences, pieces_of
@@ -24,15 +25,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; documents without an id stay."""
-    dropped = exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of equal texts: the longest, then that with the smallest id, then the smallest row.
+
+    Decisions hold for an id with a text, so a row that shares just its id with a
+    copy stays. Rows without an id are copies like others, and come last.
+    """
+    key = ["_id", "_sha"]
+    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), ASCII_SPACE, ""), 256)
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "_sha": sha})
+    judged = exact_dedup(docs).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
+    counts = judged.groupBy(*key, "kept").agg(F.count("*").alias("c"))
+    leave, total = written_with(counts.where("not kept or c > 1"), "leave", {"repeated": F.count_if("kept")})
+    kept = keyed.join(leave.select(*key), key, "left_anti").select(*docs.columns)
+    if not total["repeated"]:
+        return kept
+    # Rows with equal ids and texts: one of them.
+    again = keyed.join(leave.where("kept").select(*key), key)
+    first = F.min(F.struct((-F.length("text")).alias("_n"), *[F.col(c) for c in docs.columns])).alias("_first")
+    return kept.union(again.groupBy(*key).agg(first).select(*[F.col(f"_first.{c}").alias(c) for c in docs.columns]))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group linked by shingle similarity; documents without an id stay."""
-    dropped = ngram_components(docs).where("component_id != doc_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that with the smallest id, of each group linked by shingle similarity; rows without an id come last.
+
+    Rows get numbers of their own, so rows that share an id are told apart.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_components(rows, id_col="_row").select("_row", F.col("component_id").alias("_group"))
+    groups = groups.join(rows.select("_row", "doc_id"), "_row")
+    stays = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_row")).alias("_stays")
+    stays = groups.groupBy("_group").agg(stays).select(F.col("_stays._row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
