@@ -25,7 +25,7 @@ sets; no list, pair or partner is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +45,13 @@ HOT = 4096
 FILTER_BITS = 1 << 24
 #: What one more member of a list costs its scan, in rows dealt to lists.
 COST_OF_PAIR = 0.02
-#: Lists of so many members, or so many pairs a member across components, have all those compared at once.
-SHORT, CROSS = 8, 3
-#: Rounds of comparing members of the other lists with a few of their size, before all that lie apart are compared.
-ROUNDS = 6
+#: Lists of so many members, or so many pairs a member that can be similar and lie in different components, have all those compared at once.
+SHORT, CROSS = 8, 8
+#: Members of a list that all others of about their size are compared with in a round, besides one at random.
+HEADS = 2
+#: Rounds of comparing members of the other lists with a few of their size, while each finds a link for so many members,
+#: before all that lie apart are compared.
+ROUNDS, LEAST_FOUND = 4, 100
 #: Digests that a task remembers, to leave out repeats.
 MOST_SEEN = 500_000
 
@@ -248,16 +251,18 @@ def _pairs_of(table: pa.Table, turn: int, percent: int) -> pa.Table:
         own = np.unique(label[s:t], return_counts=True)[1]
         if len(own) == 1:
             continue
-        if ((t - s) ** 2 - int((own**2).sum())) // 2 <= CROSS * (t - s):
-            x, y = np.triu_indices(t - s, 1)
-            found.append(fit(x + s, y + s))
+        if (few := _few(s, t, fit)) is not None:
+            found.append(few)
             continue
         left[s:t] = True
         kind = np.floor(np.log(n[s:t]) / np.log(100 / percent)).astype(np.int64)
         h = _mix(e["digest"][s:t].view(np.uint64) ^ np.uint64(turn))
         for k in np.unique(kind):
             own, near = np.flatnonzero(kind == k), np.flatnonzero((kind == k) | (kind == k + 1)) + s
-            for head in {own[np.argmin(h[own])], own[np.argmax(h[own])]}:
+            # Members with few rarer shingles ahead of the list's are little changed and link with most others.
+            ranked = own[np.lexsort((h[own], (n - most)[s:t][own]))]
+            first = HEADS * turn % len(ranked)
+            for head in {*ranked[first : first + HEADS].tolist(), int(own[np.argmin(h[own])])}:
                 found.append(fit(near, np.full(len(near), head + s)))
     x, y = (np.concatenate(v) for v in zip(*found, strict=True))
     x, y = np.where(e["digest"][x] < e["digest"][y], x, y), np.where(e["digest"][x] < e["digest"][y], y, x)
@@ -268,6 +273,20 @@ def _pairs_of(table: pa.Table, turn: int, percent: int) -> pa.Table:
     return pa.Table.from_arrays(columns, names=[*PAIR, *ENTRY])
 
 
+def _few(s: int, t: int, fit: Callable[..., tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """All fitting pairs of the run from s to t, if they are few for its length."""
+    found, total, rows = [], 0, max(1, (1 << 18) // (t - s))
+    for a in range(s, t, rows):
+        x, y = np.meshgrid(np.arange(a, min(t, a + rows)), np.arange(a, t), indexing="ij")
+        later = y > x
+        found.append(fit(x[later], y[later]))
+        total += len(found[-1][0])
+        if total > CROSS * (t - s):
+            return None
+    x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    return x, y
+
+
 def _runs(key: np.ndarray, part: np.ndarray) -> np.ndarray:
     """The number of each entry's run of equal key and part."""
     change = np.zeros(len(key), np.int64)
@@ -355,7 +374,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         compared = compared.mapInArrow(lambda b, t=turn: _compared(b, t, percent), MET_SCHEMA)
         met = written(compared, "met")
         pairs = written(met.where("a is not null").select(*PAIR).distinct(), "pairs")
-        found = components(written(_links(known, pairs, percent), "links").union(found), "found")
+        links, new = written_with(_links(known, pairs, percent), "links", {"n": F.count("*")})
+        found = components(links.union(found), "found")
         placed = written(_placed(met.where("key is not null").select(*ENTRY), found), "placed")
         found = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
 
@@ -368,7 +388,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not total["lists"]:
             return _labelled(rows, found, id_col)
         entries = placed.join(mixed.select("key"), "key", "left_semi")
-        if total["apart"] <= CROSS * total["members"]:
+        if total["apart"] <= CROSS * total["members"] or new["n"] * LEAST_FOUND <= total["members"]:
             break
         # Long lists are dealt anew, so that others meet.
         entries = entries.withColumn("part", F.pmod(F.xxhash64("digest", F.lit(turn + 1)), F.col("parts")).cast("int")).select(*ENTRY, "component")
