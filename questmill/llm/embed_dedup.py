@@ -23,13 +23,11 @@ from pyspark.sql import functions as F
 
 from questmill.llm.common import components, written
 
-#: Vectors the codebooks are fitted on, at most about.
-SAMPLE = 20_000
-#: Members and searchers of a list that meet in one task.
-BLOCK = 4096
+#: Vectors the codebooks are fitted on: so many for each inverted list, but no fewer and no more than these, about.
+PER_LIST, LEAST_SAMPLE, MOST_SAMPLE = 8, 20_000, 200_000
+#: Members of a list that meet in one task with SEARCHERS as many searchers.
+BLOCK, SEARCHERS = 4096, 4
 SUBSPACES, WORDS = 8, 64
-#: Inverted lists at most; more would not narrow the search among unclustered vectors, only copy vectors to more lists.
-MOST_LISTS = 64
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -89,7 +87,12 @@ class Codebooks:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+
+
+def scaled(vecs: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that the largest component lies between a half and one and squares neither vanish nor overflow."""
+    return np.ldexp(vecs, -np.frexp(np.abs(vecs).max(1))[1][:, None])
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,19 +145,21 @@ def embedding_components(
     """One row per row of vectors: id, n_links (other vectors linked directly), component_id (smallest id reachable), kept.
 
     Only vectors with equal labels that are not null, and as many components,
-    are compared. A vector that is null, empty or zero, or holds a null or
-    non-finite component, links with nothing, as does a null id. Rows that repeat
-    an id are vectors of their own that share its component. An empty table gives
-    an empty one.
+    are compared, whatever their magnitude. A vector that is null, empty or zero,
+    or holds a null or non-finite component, links with nothing, as does a null
+    id. Rows that repeat an id are vectors of their own that share its component.
+    Other columns are ignored. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     cols = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("string").alias("label")]
     every = vectors.select(*cols)
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     sound = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vec", lambda v: v != 0), F.lit(False))
-    every = every.withColumn("sound", sound)
-    classes = every.where("sound").groupBy("label", "vec").agg(F.min("id").alias("first"), F.count("*").alias("size"))
-    classes = written(classes, "classes")
+    # Minus zero counts as zero. A vector is known by two hashes of 64 bits, so that only these are joined.
+    vec = F.transform("vec", lambda v: v + F.lit(0.0))
+    rows = every.where(sound).select("id", "label", vec.alias("vec")).withColumns({"h1": F.xxhash64(F.lit(1), "vec"), "h2": F.xxhash64(F.lit(2), "vec")})
+    key = ["label", "h1", "h2"]
+    classes = written(rows.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("size"), F.any_value("vec").alias("vec")), "classes")
     found = []
     for dim in [r[0] for r in classes.select(F.size("vec")).distinct().collect()]:
         found.append(_search(classes.where(F.size("vec") == dim), dim, cosine))
@@ -163,17 +168,15 @@ def embedding_components(
 
     comps = components(met.select(F.col("id").alias("a"), F.col("root").alias("b")), "vectors")
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
-    of_class = classes.join(links.withColumnRenamed("id", "first"), "first", "left").join(comps.withColumnRenamed("id", "first"), "first", "left")
-    of_class = of_class.select(
-        "label", "vec", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id")
-    )
-    out = every.join(of_class.withColumn("sound", F.lit(True)), ["label", "vec", "sound"], "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"),
+    of_class = classes.select(*key, "first", "size").join(links.withColumnRenamed("id", "first"), "first", "left")
+    of_class = of_class.join(comps.withColumnRenamed("id", "first"), "first", "left").select(
+        *key, (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id")
     )
+    # Written, so that Spark can split the join where many rows hold one vector.
+    linked = rows.select("id", *key).join(written(of_class, "linked"), key)
+    alone = every.where(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.select("id", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone)
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -183,17 +186,25 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _rows(vecs: DataFrame, dim: int) -> np.ndarray:
+    return _matrix(vecs.toArrow().column("vec").combine_chunks(), dim)
+
+
 def _search(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
     """id, links, root of the classes with one number of components, from every block of every list."""
-    spark, n = classes.sparkSession, classes.count()
-    share = min(1.0, SAMPLE / max(1, n))
-    picked = classes.where(F.pmod(F.xxhash64("first"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec")
-    sample = np.array([r[0] for r in picked.collect()], np.float64)  # about SAMPLE vectors
+    spark = classes.sparkSession
+    # A vector meets those of its label; as many lists as the square root of their mean number.
+    sizes = classes.groupBy("label").agg(F.count("*").cast("double").alias("n"))
+    n, squares = sizes.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    lists = max(1, min(MOST_SAMPLE // PER_LIST, int(np.sqrt(squares / n))))
+    share = min(1.0, min(MOST_SAMPLE, max(LEAST_SAMPLE, PER_LIST * lists)) / n)
+    picked = classes.where(F.pmod(F.xxhash64("first"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select("vec")
+    sample = _rows(picked, dim)  # about MOST_SAMPLE vectors at most
     if not len(sample):
-        sample = np.array([r[0] for r in classes.select("vec").limit(SAMPLE).collect()], np.float64)
+        sample = _rows(classes.select("vec").limit(LEAST_SAMPLE), dim)
     sample /= np.sqrt((sample**2).sum(1))[:, None]
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-6
-    books = spark.sparkContext.broadcast(Codebooks(sample, max(1, min(MOST_LISTS, n // 512))))
+    books = spark.sparkContext.broadcast(Codebooks(sample, lists))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +231,7 @@ def _search(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
     # Long lists meet in blocks: members and searchers are dealt evenly, and each block of one meets each of the other.
     lengths = listed.groupBy("label", "list").agg(F.count_if("member").alias("m"), F.count_if(~F.col("member")).alias("q"))
     blocks = lengths.select(
-        "label", "list", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb")
+        "label", "list", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / (SEARCHERS * BLOCK)).cast("int").alias("qb")
     ).where("mb > 0 and qb > 0")
     dealt = listed.join(blocks, ["label", "list"])
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -286,6 +287,79 @@ def test_decoding_keeps_whole_paths():
         assert all(keep[n.parent] for i, n in enumerate(nodes) if i and keep[i])
 
 
+def test_decoding_finds_the_highest_total():
+    """Against every set of nodes that holds the parent of each of its nodes."""
+    r = random.Random(6)
+    for _ in range(40):
+        page, depth = "", 0
+        for _ in range(r.randint(1, 9)):
+            if depth and r.random() < 0.4:
+                page, depth = page + "</div>", depth - 1
+            else:
+                page, depth = page + "<div>x", depth + 1
+        nodes = html_nodes.parse(page)
+        asked = html_extract._asked(nodes)
+        odds = {int(a): r.uniform(-2, 2) for a in asked}
+        best = 0.0
+        for picked in itertools.product([False, True], repeat=len(asked)):
+            kept = {0, *(int(a) for a, k in zip(asked, picked, strict=True) if k)}
+            if all(nodes[i].parent in kept for i in kept if i):
+                best = max(best, sum(odds[i] for i in kept if i))
+        keep = html_extract.decode(nodes, asked, np.array(list(odds.values())))
+        assert sum(odds[i] for i in np.flatnonzero(keep) if i) == pytest.approx(best)
+
+
+def test_html_attributes_and_nesting():
+    read = lambda page: html_nodes.text_of(nodes := html_nodes.parse(page), html_nodes.shown(nodes))
+    assert read("<p data-x=don't>Hello</p><p>It's third</p>") == "Hello\nIt's third"
+    assert read("<div a=b/c d = 'x>y' e=\"q'r\" f>t<img src=a.png/>u</div>") == "tu"
+    assert read("<p class=a\"b>one</p><p title='never closed>two</p>") == "one\ntwo"
+    assert read("<p>E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>tex</annotation></math> holds") == "E = mc2 holds"
+    assert read("<ul><li>a<div>b<li>c</ul>d") == "a\nb\nc\nd"
+    assert read("<i>x<p>y</i>z") == "x\nyz"
+    began = time.time()
+    deep = html_nodes.parse("<p><button>" + "<div>" * 100_000 + "deep" + "<b>" * 1000 + "</i>" * 1000)
+    html_nodes.features(deep)
+    assert len(deep) > 100_000 and html_nodes.text_of(deep, html_nodes.shown(deep)) == "deep" and time.time() - began < 60
+    assert [n.place for n in html_nodes.parse("<ul>" + "<li>" * 200)][-1] == 199
+
+
+#: Pages written by hand, and their main text.
+PAGES = [
+    (
+        """<!doctype html><html><head><title>Site - A bridge</title><style>.x{}</style></head><body>
+        <header class="site-header"><a href="/">Site</a><nav><ul><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul></nav></header>
+        <main><article class="post"><h1>A new bridge opens</h1><p>The bridge over the river was opened on <b>Monday</b>, after four years of work.</p>
+        <p>It carries two lanes of traffic, a cycle path and a footway. The mayor thanked the workers &amp; the town.</p>
+        <div class="ad">Buy boots now, half price!</div><p>Trams will follow in the spring, the council said, once the tracks are laid.</p></article></main>
+        <aside class="sidebar"><h3>Popular</h3><ul><li><a href="/1">First</a></li><li><a href="/2">Second</a></li></ul></aside>
+        <section id="comments"><h3>Comments</h3><div class="comment"><p>I like it a lot, well done to all of them.</p></div></section>
+        <footer class="site-footer"><p>Copyright Site. All rights reserved.</p></footer></body></html>""",
+        "A new bridge opens\nThe bridge over the river was opened on Monday, after four years of work.\n"
+        "It carries two lanes of traffic, a cycle path and a footway. The mayor thanked the workers & the town.\n"
+        "Trams will follow in the spring, the council said, once the tracks are laid.",
+    ),
+    (
+        """<body><div id=cookie-notice><p>We use cookies. <button>Accept</button></div><div class=menu><a href=a>Home</a> | <a href=b>About</a></div>
+        <div class=content><h1>Soup</h1><p>Cut the onions and fry them until they are soft and brown.<p>Add water, salt and a bay leaf; cook for an hour.
+        <ul><li>3 onions, peeled and cut in rings</li><li>1 litre of cold water from the tap</li></ul></div>
+        <form action=/s><label>Search</label><input name=q></form><div class=footer>Imprint and contact</div>""",
+        "Soup\nCut the onions and fry them until they are soft and brown.\nAdd water, salt and a bay leaf; cook for an hour.\n"
+        "3 onions, peeled and cut in rings\n1 litre of cold water from the tap",
+    ),
+]
+
+
+def test_html_extract_on_pages_written_by_hand(spark):
+    trees = html_extract.fit(spark)
+    frame = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(PAGES)], "page_id long, html string")
+    got = {r.page_id: r.main_text for r in html_extract.extract(frame, trees).collect()}
+    for i, (_, want) in enumerate(PAGES):
+        assert got[i] == want
+    again = html_extract.fit(spark)
+    assert (again.value == trees.value).all() and (again.feature == trees.feature).all() and (again.cut == trees.cut).all()
+
+
 def test_bit_packing():
     r = np.random.default_rng(1)
     for bits in range(1, 33):
@@ -372,6 +446,7 @@ def test_embeddings(spark, monkeypatch, block):
     base = r.normal(size=(60, 16))
     vecs = [(i, (base[i % 60] + r.normal(size=16) * r.choice([0, 0.02, 0.05, 0.06, 0.2])).tolist(), int(i % 3) if i % 60 else 1) for i in range(400)]
     vecs += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [None] * 16, 1), (1004, [], 1), (1005, base[0].tolist(), None), (1006, [1.0, 2.0], 1), (1007, [2.0, 4.0], 1)]
+    vecs += [(1010, [-0.0, 3.0], 2), (1011, [0.0, 3.0], 2)]
     frame = spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").withColumns({"size": F.lit(1), "first": F.lit("x")})
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embed_dedup.embedding_components(frame).collect()}
     sound = [(i, np.array(v, np.float32).astype(float), lab) for i, v, lab in vecs if v and lab is not None and None not in v and np.isfinite(v).all() and any(v)]
@@ -386,6 +461,14 @@ def test_embeddings(spark, monkeypatch, block):
     assert embed_dedup.embedding_components(frame.where("false")).count() == 0
 
 
+def test_embeddings_of_extreme_magnitude(spark):
+    """Only the direction counts, even where squares vanish or overflow."""
+    vecs = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.001, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1e-200, 0.0, 0.0]), (5, [1e200, 1e198, 0.0]), (6, [0.0, 5e-324, 0.0]), (7, [1.7e308] * 3), (8, [1e-310] * 3)]
+    frame = spark.createDataFrame([(i, v, "l") for i, v in vecs], "vec_id long, embedding array<double>, label string")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embed_dedup.embedding_components(frame).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 4: (3, 1), 5: (3, 1), 3: (1, 3), 6: (1, 3), 7: (1, 7), 8: (1, 7)}
+
+
 @pytest.mark.parametrize("light", [None, 40])
 def test_ngram_join(spark, monkeypatch, docs, rows, light):
     if light:
