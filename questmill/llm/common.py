@@ -32,9 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared one."""
+    return f"{shared_dir(spark)}/questmill-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/questmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

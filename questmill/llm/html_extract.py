@@ -18,12 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questmill.llm.common import in_slices, written
+from questmill.llm.common import in_slices, session_dir, written
 from questmill.llm.html_nodes import INLINE, Node, features, parse, shown, text_of
 
 #: Made-up pages to fit on, trees, and their depth.
@@ -249,11 +251,18 @@ def _read(model: object, depth: int) -> Trees:
 
 
 def fit(spark: SparkSession, pages: int = PAGES, seed: int = 1, trees: int = TREES, depth: int = DEPTH) -> Trees:
-    """Trees fitted on made-up pages."""
+    """Trees fitted on made-up pages, once a session for the same parameters: the model is kept in the shared folder."""
+    path = f"{session_dir(spark)}/trees-{pages}-{seed}-{trees}-{depth}"
+    try:
+        return _read(GBTClassificationModel.load(path), depth)
+    except (AnalysisException, Py4JJavaError):  # not fitted yet
+        pass
     seeds = spark.range(seed * 1_000_000, seed * 1_000_000 + pages, 1, 8)
     rows = written(seeds.mapInArrow(_examples, "x array<double>, label double"), "nodes")
     model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=32, seed=7)
-    return _read(model.fit(rows.select(array_to_vector("x").alias("v"), "label")), depth)
+    fitted = model.fit(rows.select(array_to_vector("x").alias("v"), "label"))
+    fitted.write().overwrite().save(path)
+    return _read(fitted, depth)
 
 
 def decode(nodes: list[Node], asked: np.ndarray, odds: np.ndarray) -> np.ndarray:
@@ -276,8 +285,9 @@ def decode(nodes: list[Node], asked: np.ndarray, odds: np.ndarray) -> np.ndarray
 def extract(pages: DataFrame, trees: Trees, html_col: str = "html") -> DataFrame:
     """pages with main_text (blocks in page order, one a line) and n_chars (its code points).
 
-    A null or empty page has the empty text. Columns of pages with the names of
-    the new ones are replaced; all others stay, rows too.
+    A null or empty page has the empty text. Deeply nested and very long pages
+    are read in time proportional to their length, and whole. Columns of pages
+    with the names of the new ones are replaced; all others stay, repeated rows too.
     """
     held = pages.sparkSession.sparkContext.broadcast(trees)
     kept = pages.drop("main_text", "n_chars")

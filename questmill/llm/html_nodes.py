@@ -12,18 +12,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>?|/\s*([a-zA-Z][^\s/>]*)[^>]*>?|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+#: An attribute: a value without quotes runs to white space or the end of the tag, whatever else it holds.
+_VALUE = r"\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+"
+_TAG = re.compile(
+    r"<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>?|/\s*([a-zA-Z][^\s/>]*)[^>]*>?"
+    rf"|([a-zA-Z][^\s/>]*)((?:[\s/=]++|[^\s/>=]++(?:\s*+=\s*+(?:{_VALUE})?)?)*+)>?)", re.S,
+)
+_ATTR = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*+))?)?")
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are never shown as text of the page.
-HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video map select datalist noembed noframes".split())
+HIDDEN = frozenset("head script style template noscript iframe object canvas audio video map select datalist noembed noframes annotation annotation-xml desc metadata".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong "
-    "sub sup time tt u var wbr".split()
+    "sub sup time tt u var wbr "
+    # Formulas and drawings stand within a line.
+    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose "
+    "mtable mtr mtd svg g text tspan textpath path rect circle ellipse line polyline polygon use defs".split()
 )
 #: What a start tag ends, if it is open: these elements, up to the nearest of those.
 CLOSES = {
@@ -67,19 +75,33 @@ class Node:
 def parse(page: str | None) -> list[Node]:
     """The nodes of a page in document order; the first is the root."""
     nodes, text = [Node("#root", frozenset(), -1, 0, 0)], page or ""
-    stack, at = [0], 0
+    children, stack, at = [0], [0], 0
+    #: Where elements of each tag, and block elements, stand in the stack, so that no search walks it.
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
 
     def put(s: str) -> None:
         if s:
             nodes[stack[-1]].parts.append(s)
 
-    def close(tags: set[str] | frozenset[str], barrier: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if nodes[stack[k]].tag in tags:
-                del stack[k:]
-                return
-            if nodes[stack[k]].tag in barrier:
-                return
+    def nearest(tags: set[str] | frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(k: int) -> None:
+        """Close the element at this place of the stack, and all in it."""
+        while len(stack) > k:
+            tag = nodes[stack.pop()].tag
+            places[tag].pop()
+            if tag not in INLINE:
+                blocks.pop()
+
+    def close(tags: set[str] | frozenset[str], barrier: set[str] | frozenset[str]) -> bool:
+        """Close the nearest of these elements that is open inside the nearest barrier."""
+        k = nearest(tags)
+        if not k or nearest(barrier - tags) > k:
+            return False
+        cut(k)
+        return True
 
     while (m := _TAG.search(text, at)) is not None:
         put(html.unescape(text[at : m.start()]))
@@ -89,13 +111,10 @@ def parse(page: str | None) -> list[Node]:
             if tag == "br":
                 put("\n")
             else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        del stack[k:]
-                        break
-                    # An inline end tag does not close blocks; others do.
-                    if tag in INLINE and nodes[stack[k]].tag not in INLINE:
-                        break
+                k = nearest({tag})
+                # An inline end tag does not close blocks; others do.
+                if k and not (tag in INLINE and blocks and blocks[-1] > k):
+                    cut(k)
         elif m[2] is not None:
             tag = m[2].lower()
             if tag in _ENDS_P:
@@ -104,11 +123,8 @@ def parse(page: str | None) -> list[Node]:
                     close({"h1", "h2", "h3", "h4", "h5", "h6"}, _ENDS_P | _BARRIER)
             if tag in CLOSES:
                 inner, outer = CLOSES[tag]
-                while True:
-                    before = len(stack)
-                    close(inner, outer)
-                    if len(stack) == before:
-                        break
+                while close(inner, outer):
+                    pass
             if tag == "br":
                 put("\n")
                 continue
@@ -120,14 +136,18 @@ def parse(page: str | None) -> list[Node]:
                 elif a[1].lower() == "hidden" or a[1].lower() == "style" and "display:none" in (a[2] or a[3] or "").replace(" ", "").lower():
                     words.add("#hidden")
             up = stack[-1]
-            place = sum(isinstance(p, int) for p in nodes[up].parts[-64:])
-            nodes.append(Node(tag, frozenset(words), up, nodes[up].depth + 1, place))
+            nodes.append(Node(tag, frozenset(words), up, nodes[up].depth + 1, children[up]))
+            children[up] += 1
+            children.append(0)
             nodes[up].parts.append(len(nodes) - 1)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(text, at)
                 nodes[-1].parts.append(html.unescape(text[at : end.start() if end else len(text)]) if tag in ("textarea", "title") else "")
                 at = end.end() if end else len(text)
             elif tag not in VOID:
+                places.setdefault(tag, []).append(len(stack))
+                if tag not in INLINE:
+                    blocks.append(len(stack))
                 stack.append(len(nodes) - 1)
     put(html.unescape(text[at:]))
     return nodes
