@@ -7,6 +7,8 @@ CASE expressions in chunks, so no generated method grows too long.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,81 +45,119 @@ def question_type(stem: Column, options: Column) -> Column:
     )
 
 
-#: Skill and pattern over the whole text, from the top; fixed values. A pattern may need figures or their absence.
-TEXT_RULES = [
-    ("water_image", r"\bwater\s+image\b|\bwater\s+reflection\b|\breflection\s+in\s+water\b|\breflected\s+in\s+water\b"),
-    ("mirror_image", r"\bmirror(?:\s|-)?image\b|\bwater\s+image\b|\breflection of the figure\b"),
-    ("embedded_figure", r"exactly embedded"),
-    ("figure_pattern", r"complete the pattern"),
-    ("figure_analogy", r"first two question figures"),
-    ("venn_diagram", r"relationship between the following elements|\bvenn\b"),
-    ("matrix_coding", r"position in the alphabet|matrix coding"),
-    ("syllogism", r"syllogism|definitely follows"),
-    ("letter_series", r"letter series|gaps in the given letter|set of letters when sequentially"),
-    ("coding_decoding", r"coded as|code language|code for|means ['\"]?\d"),
-    ("symbol_operations", r"means\s*['\"]?[+÷\-x×]|means\s*['\"]?\+"),
-    ("meaningful_order", r"most meaningful arrangement"),
-    ("blood_relations", r"brother of|sister of|how is .+ related|female members"),
-    ("symbol_arrangement", r"consonants and the numbers|study the following arrangement"),
-    ("dictionary_order", r"order as found in the dictionary|dictionary order"),
-    ("calendar", r"how many (?:mondays|tuesdays|wednesdays|thursdays|fridays|saturdays|sundays)"),
-    ("odd_one_out", r"odd element|odd one out"),
-    ("number_analogy", r"related number"),
-    ("word_analogy", r"related word"),
-    ("word_formation", r"cannot be formed using the letters"),
-    ("direction_sense", r"facing towards|becomes north|in which direction"),
-    ("seating_arrangement", r"sitting to the|sits second|who is sitting"),
-    ("date_puzzle", r"birthday|born before|born after"),
-    ("ranking", r"in a row of \d+"),
-]
-SERIES = r"\bnumber\s+series\b|\bfind the next\b|\bwhat comes next\b|\bmissing number\b"
+#: Words of language lessons; fixed values.
 GRAMMAR = (
     r"\bgrammar\b|\btenses?\b|\bprepositions?\b|\barticles?\b|\bactive and passive\b|\breported speech\b|\bparts of speech\b"
-    r"|\bsynonyms?\b|\bantonyms?\b|\bsubject[- ]verb\b"
-)
-OPPOSITES = (
-    r"\bopposite (?:word|word to|to|in meaning)\b|\bantonym\b|\bsynonym\b|\bsame meaning\b|\bsame in meaning\b|\bsimilar in meaning\b|\bcloses?t in meaning\b"
+    r"|\bsynonyms?\b|\bantonyms?\b|\bsubject[- ]verb\b|\b(?:idiom|phrase)\b"
 )
-#: The rules of arithmetic and geometry, from the top; fixed values.
-MATH_RULES = [
-    ("compound_interest", r"compound interest"),
-    ("discount", r"discount|marked price"),
-    ("probability", r"probability"),
-    ("statistics", r"\bmean of\b|\bmedian\b|\bmode of\b"),
-    ("triangle_properties", r"hypotenuse|pythagoras"),
-    ("quadrilaterals", r"quadrilateral"),
-    ("parallel_lines", r"parallel lines|co-interior|transversal"),
-    ("euler_formula", r"euler"),
-    ("surface_area_volume", r"surface area|volume of"),
-    ("squares_roots", r"square root|squared|²"),
-    ("cubes_roots", r"cube root|cubed|³"),
-    ("rational_numbers", r"rational number"),
-    ("factorization", r"factorise|factorize|factorisation"),
-    ("proportion", r"directly proportional|inversely proportional|inverse proportion|direct proportion"),
-    ("algebraic_identities", r"suitable identity|\bidentity\b"),
-    ("exponents", r"\bexponent|\^"),
-    ("graphs", r"line graph|graph represents|graph of"),
-    ("profit_loss", r"profit|loss|selling price|cost price"),
-    ("division", r"dividend|divisor|quotient|remainder"),
-    ("fractions", r"\bfraction\b"),
-    ("mensuration", r"rectangle|perimeter|fencing"),
-    ("percentage", r"percentage|\bpercent\b|% of"),
-    ("ratio_hcf", r"h\.?c\.?f|ratio of three|simplest form"),
-    ("triangle_area", r"triangle(?s:.)*(?:area|sides)|(?:area|sides)(?s:.)*triangle"),
-    ("speed_time", r"km/h|speed of|train leaves|crosses a bridge"),
-    ("factors", r"factors of|sum of all factors"),
-    ("divisibility", r"divisible by"),
-    ("average", r"\baverage\b"),
-    ("simple_interest", r"simple interest|\bs\.?\s*i\.?\b"),
-    ("angles", r"quadrilateral|supplementary angle"),
-    ("linear_equation", r"value of x|equation"),
-    ("work_rate", r"cows|graze a field"),
-    ("unitary_method", r"weighs|uniform rod"),
-    ("mean_proportion", r"mean proportion"),
-    ("rounding", r"round off|nearest ten"),
-    ("number_formation", r"largest \d+ digit"),
-    ("metric_measures", r"metric|decagram|kilogram"),
+#: The skill rules from the top: skill, patterns that the whole text must all hold, a pattern of the stem, and whether
+#: figures must be there (True), must not (False) or do not matter. Fixed values. A few rules have a test of their own besides.
+SKILL_RULES: list[tuple[str, tuple[str, ...], str | None, bool | None]] = [
+    ("water_image", (r"\bwater\s+image\b|\bwater\s+reflection\b|\breflection\s+in\s+water\b|\breflected\s+in\s+water\b",), None, None),
+    ("mirror_image", (r"\bmirror(?:\s|-)?image\b|\bwater\s+image\b|\breflection of the figure\b",), None, None),
+    ("mirror_image", (r"\bmirror\b",), None, True),
+    ("embedded_figure", (r"exactly embedded",), None, None),
+    ("figure_pattern", (r"complete the pattern",), None, None),
+    ("figure_analogy", (r"first two question figures",), None, None),
+    ("figure_series", (r"option figure that will replace|following series",), None, True),
+    ("venn_diagram", (r"relationship between the following elements|\bvenn\b",), None, None),
+    ("missing_number_figure", (r"missing number",), None, True),
+    ("figure_identity", (), None, None),
+    ("matrix_coding", (r"position in the alphabet|matrix coding",), None, None),
+    ("syllogism", (r"syllogism|definitely follows",), None, None),
+    ("letter_series", (r"letter series|gaps in the given letter|set of letters when sequentially",), None, None),
+    ("coding_decoding", (r"coded as|code language|code for|means ['\"]?\d",), None, None),
+    ("symbol_operations", (r"means\s*['\"]?[+÷\-x×]",), None, None),
+    ("clock_direction", (r"clock", r"minute hand|hour hand"), None, None),
+    ("meaningful_order", (r"most meaningful arrangement",), None, None),
+    ("blood_relations", (r"brother of|sister of|how is .+ related|female members",), None, None),
+    ("symbol_arrangement", (r"consonants and the numbers|study the following arrangement",), None, None),
+    ("dictionary_order", (r"order as found in the dictionary|dictionary order",), None, None),
+    ("calendar", (r"how many (?:mondays|tuesdays|wednesdays|thursdays|fridays|saturdays|sundays)",), None, None),
+    ("odd_one_out", (r"odd element|odd one out",), None, None),
+    ("number_analogy", (r"related number",), None, None),
+    ("word_analogy", (r"related word",), None, None),
+    ("word_formation", (r"cannot be formed using the letters",), None, None),
+    ("direction_sense", (r"facing towards|becomes north|in which direction",), None, None),
+    ("seating_arrangement", (r"sitting to the|sits second|who is sitting",), None, None),
+    ("date_puzzle", (r"birthday|born before|born after",), None, None),
+    ("ranking", (r"in a row of \d+",), None, None),
+    ("number_series", (r"\bnumber\s+series\b|\bfind the next\b|\bwhat comes next\b|\bmissing number\b",), None, False),
+    ("printed_series", (), None, False),
+    ("jumbled_sentences", (), r"/[^/]*/[^/]*/", None),
+    ("cloze", (), r"__", None),
+    ("spelling", (), r"^correct spelling$", None),
+    ("one_word_substitution", (), r"^(one who|someone who|one whom)\b", None),
+    ("comprehension", (r"who said these words|what lesson did|came to the help",), None, None),
+    ("parts_of_speech", (), None, None),
+    ("idioms", (GRAMMAR,), r"\bidiom|piece of one's mind|kill two birds|fool's paradise", None),
+    ("synonym_antonym", (GRAMMAR, r"\bsynonym|\bantonym|\bopposite to\b|\bopposite in meaning\b"), None, None),
+    ("grammar", (GRAMMAR,), None, None),
+    ("lone_word", (), r"^\p{L}[\p{L}\s'-]{2,40}$", None),
+    (
+        "synonym_antonym",
+        (
+            r"\bopposite (?:word|word to|to|in meaning)\b|\bantonym\b|\bsynonym\b|\bsame meaning\b|\bsame in meaning\b|\bsimilar in meaning\b"
+            r"|\bcloses?t in meaning\b",
+        ),
+        None,
+        None,
+    ),
+    ("compound_interest", (r"compound interest",), None, None),
+    ("discount", (r"discount|marked price",), None, None),
+    ("probability", (r"probability",), None, None),
+    ("statistics", (r"\bmean of\b|\bmedian\b|\bmode of\b",), None, None),
+    ("triangle_properties", (r"hypotenuse|pythagoras",), None, None),
+    ("quadrilaterals", (r"quadrilateral",), None, None),
+    ("parallel_lines", (r"parallel lines|co-interior|transversal",), None, None),
+    ("euler_formula", (r"euler",), None, None),
+    ("surface_area_volume", (r"surface area|volume of",), None, None),
+    ("squares_roots", (r"square root|squared|²",), None, None),
+    ("cubes_roots", (r"cube root|cubed|³",), None, None),
+    ("rational_numbers", (r"rational number",), None, None),
+    ("factorization", (r"factorise|factorize|factorisation",), None, None),
+    ("proportion", (r"directly proportional|inversely proportional|inverse proportion|direct proportion",), None, None),
+    ("algebraic_identities", (r"suitable identity|\bidentity\b",), None, None),
+    ("exponents", (r"\bexponent|\^",), None, None),
+    ("graphs", (r"line graph|graph represents|graph of",), None, None),
+    ("profit_loss", (r"profit|loss|selling price|cost price",), None, None),
+    ("division", (r"dividend|divisor|quotient|remainder",), None, None),
+    ("fractions", (r"\bfraction\b",), None, None),
+    ("mensuration", (r"rectangle|perimeter|fencing",), None, None),
+    ("percentage", (r"percentage|\bpercent\b|% of",), None, None),
+    ("ratio_hcf", (r"h\.?c\.?f|ratio of three|simplest form",), None, None),
+    ("triangle_area", (r"triangle", r"area|sides"), None, None),
+    ("speed_time", (r"km/h|speed of|train leaves|crosses a bridge",), None, None),
+    ("factors", (r"factors of|sum of all factors",), None, None),
+    ("divisibility", (r"divisible by",), None, None),
+    ("average", (r"\baverage\b",), None, None),
+    ("simple_interest", (r"simple interest|\bs\.?\s*i\.?\b",), None, None),
+    ("angles", (r"quadrilateral|supplementary angle",), None, None),
+    ("linear_equation", (r"value of x|equation",), None, None),
+    ("work_rate", (r"cows|graze a field",), None, None),
+    ("unitary_method", (r"weighs|uniform rod",), None, None),
+    ("mean_proportion", (r"mean proportion",), None, None),
+    ("rounding", (r"round off|nearest ten",), None, None),
+    ("number_formation", (r"largest \d+ digit",), None, None),
+    ("metric_measures", (r"metric|decagram|kilogram",), None, None),
+    ("general_knowledge", (), r"^(which|who|where|when|what)\b", None),
 ]
+#: Outcomes of rules that go by another name in the table.
+RENAMED = {"printed_series": "number_series", "lone_word": "synonym_antonym"}
+#: The skills there are; fixed values.
+CATALOGUE = (
+    "algebraic_identities angles arithmetic average blood_relations bodmas calendar circle clock_direction cloze coding_decoding compound_interest "
+    "comprehension counting_triangles critical_thinking cubes_roots data_interpretation date_puzzle decimals dictionary_order direction_sense discount "
+    "divisibility division embedded_figure euler_formula exponents factorization factors figure_analogy figure_identity figure_pattern figure_series "
+    "fractions general_knowledge grammar graphs idioms jumbled_sentences lcm_hcf letter_series linear_equation matrix_coding mean_proportion "
+    "meaningful_order mensuration metric_measures mirror_image missing_number missing_number_figure multiplication number_analogy number_figure "
+    "number_formation number_properties number_series odd_one_out one_word_substitution parallel_lines parts_of_speech percentage probability "
+    "profit_loss proportion quadrilaterals question_tags ranking ratio_hcf rational_numbers roman_numerals rounding seating_arrangement "
+    "sentence_completion simple_interest speed_time spelling spotting_errors squares_roots statistics surface_area_volume syllogism symbol_arrangement "
+    "symbol_operations synonym_antonym temperature_conversion triangle_area triangle_properties unitary_method venn_diagram vocabulary volume_solid "
+    "water_image word_analogy word_formation work_rate"
+).split()
+#: Skills that count as figures, and as codes; fixed values.
 FIGURE_SKILLS = (
     "mirror_image water_image embedded_figure figure_pattern figure_analogy figure_series figure_identity missing_number_figure "
     "venn_diagram number_figure counting_triangles"
@@ -131,46 +171,24 @@ def is_number_series(stem: Column) -> Column:
 
 
 def skill(stem: Column, instructions: Column, passage: Column, figures: Column, options: Column, kind: Column) -> Column:
-    """The skill a question tests: the first rule that holds, else unsupported. An explicit [skill:x] tag goes first."""
+    """The skill a question tests: the first rule that holds, else unsupported. A [skill:x] tag goes first, if the catalogue has x."""
     text = F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in (instructions, stem, passage)])
     s = F.trim(F.regexp_replace(F.coalesce(stem, F.lit("")), r"\s+", " "))
-    blob = F.lower(F.array_join(options, " "))
-    has = lambda p: text.rlike(f"(?i){p}")
+    special = {
+        "figure_identity": ((kind == "diagram") | (figures > 0)) & (s.rlike("(?i)^question figures?$") | (F.length(s) < 12)),
+        "printed_series": is_number_series(s),
+        "parts_of_speech": F.lower(F.array_join(options, " ")).rlike(r"\b(adverb|verb|noun|adjective|preposition|conjunction)\b"),
+        "lone_word": F.size(options) >= 3,
+    }
+    rules = []
+    for name, patterns, of_stem, with_figures in SKILL_RULES:
+        tests = [text.rlike(f"(?i){p}") for p in patterns]
+        tests += [s.rlike(f"(?i){of_stem}")] if of_stem else []
+        tests += [] if with_figures is None else [figures > 0 if with_figures else figures == 0]
+        tests += [special[name]] if name in special else []
+        rules.append((RENAMED.get(name, name), reduce(and_, tests)))
     tag = F.lower(F.regexp_extract(text, r"(?i)\[skill:([a-z0-9_]+)\]", 1))
-    rules: list[tuple[str, Column]] = []
-    for name, pattern in TEXT_RULES:
-        condition = has(pattern)
-        if name == "mirror_image":
-            condition |= (figures > 0) & has(r"\bmirror\b")
-        rules.append((name, condition))
-        if name == "figure_analogy":
-            rules.append(("figure_series", has("option figure that will replace|following series") & (figures > 0)))
-        if name == "venn_diagram":
-            rules.append(("missing_number_figure", has("missing number") & (figures > 0)))
-            bare = s.rlike("(?i)^question figures?$") | (F.length(s) < 12)
-            rules.append(("figure_identity", ((kind == "diagram") | (figures > 0)) & bare))
-        if name == "symbol_operations":
-            rules.append(("clock_direction", has("clock") & has("minute hand|hour hand")))
-    rules += [
-        ("number_series", (has(SERIES) | is_number_series(s)) & (figures == 0)),
-        ("jumbled_sentences", F.regexp_count(s, F.lit("/")) >= 3),
-        ("cloze", s.rlike("_{2,}")),
-        ("spelling", s.rlike("(?i)^correct spelling$")),
-        ("one_word_substitution", s.rlike(r"(?i)^(one who|someone who|one whom)\b")),
-        ("comprehension", has("who said these words|what lesson did|came to the help")),
-        ("parts_of_speech", blob.rlike(r"\b(adverb|verb|noun|adjective|preposition|conjunction)\b")),
-    ]
-    language = has(GRAMMAR) | has(r"\b(idiom|phrase)\b")
-    rules += [
-        ("idioms", language & (F.lower(s).rlike(r"\bidiom") | s.rlike("(?i)piece of one's mind|kill two birds|fool's paradise"))),
-        ("synonym_antonym", language & has(r"\bsynonym|\bantonym|\bopposite to\b|\bopposite in meaning\b")),
-        ("grammar", language),
-        ("synonym_antonym", s.rlike(r"^\p{L}[\p{L}\s'-]{2,40}$") & (F.size(options) >= 3)),
-        ("synonym_antonym", has(OPPOSITES)),
-        *[(name, has(pattern)) for name, pattern in MATH_RULES],
-        ("general_knowledge", s.rlike(r"(?i)^(which|who|where|when|what)\b")),
-    ]
-    return F.coalesce(F.nullif(tag, F.lit("")), first_hit(rules, "unsupported"))
+    return F.coalesce(F.when(tag.isin(CATALOGUE), tag), first_hit(rules, "unsupported"))
 
 
 def pattern_type(skill_type: Column, family: Column) -> Column:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Header words of printed directions, and their full shape; fixed values.
 HEADER = r"(?:DIRECTIONS?|INSTRUCTIONS?)"
 HEADER_SHAPE = HEADER + r"\s*(?:\(\s*[^)\n]{0,48}\)|for questions\b)"
-CHOICE_MARKER = r"\([A-Ha-h]\)|(?:^|\s)[A-Ha-h][.)]\s+"
 #: First words of a question, where a printed direction starts with a command; fixed values.
 STEM_STARTERS = (
     "a an the this that these those who whose whom what which when where why how is are was were "
     "do does did can could will would should may might"
 ).split()
+#: Words of money, prompts of choices and their printed marks; fixed values.
 MONEY_WORD = r"(?i)\b(?:cost|price|priced|rupee|rupees|bought|sold|costs|pays|paid|spend|spent)\b"
 MCQ_PROMPT = r"(?i)which of the following|choose the correct|select the (?:right|correct)"
 OPTION_MARKER = r"\([A-Ha-h]\)|(?:^|\s)[A-Ha-h][.)]\s+\S"
@@ -47,18 +49,31 @@ def is_copied(candidate: Column, reference: Column) -> Column:
     return (a != "") & (b != "") & (near | (jaccard(token_set(a), token_set(b)) >= 0.85))
 
 
-def phrases(s: Column, words: int = 8) -> Column:
-    """All windows of so many words of a normalised text that are 24 characters or longer."""
-    parts = F.filter(F.split(s, " "), lambda w: w != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - (words - 1), F.lit(1)))
-    all_ = F.transform(starts, lambda i: F.array_join(F.slice(parts, i, words), " "))
-    return F.when(F.size(parts) >= words, F.filter(all_, lambda p: F.length(p) >= 24)).otherwise(F.array().cast("array<string>"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often and deep in lambdas body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def copies_phrase(source: Column, generated: Column, words: int = 8) -> Column:
+    """Whether so many successive words of the source, 24 characters or more, stand in the generated text (of 40 or more).
+
+    A phrase may begin and end within words of the generated text, but its inner
+    words are words there too. So only phrases whose inner words occur there, by
+    their hash, are looked for.
+    """
+    starts = lambda parts, n: F.when(F.size(parts) >= n, F.sequence(F.lit(1), F.size(parts) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    inner = lambda parts, i: F.xxhash64(F.slice(parts, i, words - 2))
+    phrase = lambda parts, i: F.array_join(F.slice(parts, i, words), " ")
+    split = lambda s: F.filter(F.split(normalize_text(s), " "), lambda w: w != "")
 
+    def found(left: Column, right: Column, whole: Column) -> Column:
+        mine = F.transform(starts(left, words), lambda i: inner(left, i + 1))
+        met = F.array_intersect(mine, F.transform(starts(right, words - 2), lambda i: inner(right, i)))
+        hits = lambda shared: F.filter(starts(left, words), lambda i: F.array_contains(shared, inner(left, i + 1)))
+        stands = lambda i: (F.length(phrase(left, i)) >= 24) & F.contains(whole, phrase(left, i))
+        return let(met, lambda shared: (F.size(shared) > 0) & F.exists(hits(shared), stands))
 
-def copies_phrase(source: Column, generated: Column) -> Column:
-    """Whether an eight-word phrase of the source stands in the generated text (of 40 characters or more)."""
-    right = normalize_text(generated)
-    return (F.length(right) >= 40) & F.exists(phrases(normalize_text(source)), lambda p: F.contains(right, p))
+    return let(split(source), lambda left: let(split(generated), lambda right: let(F.array_join(right, " "), lambda whole: (F.length(whole) >= 40) & found(left, right, whole))))
 
 
 def option_token(s: Column) -> Column:

@@ -275,10 +275,20 @@ def gen_structure(s, d):
     return structure.numbered(lines).select("doc_id", "number", F.md5("body").alias("h"))
 
 
+@query("gen_structure_page")
+def gen_structure_page(s, d):
+    """Sections, directions and numbers, over every document: its sentences under a section and a number."""
+    numbered = F.transform(F.split(F.coalesce("text", F.lit("")), r"\. "), lambda x, k: F.when(k % 3 == 0, F.concat((k / 3 + 1).cast("int").cast("string"), F.lit(". "), x)).otherwise(x))
+    page = F.concat(F.lit("Section B\nDIRECTIONS (2-4): Read on\n"), F.array_join(numbered, "\n"))
+    return structure.structured(table(s, d, "documents").select("doc_id", page.alias("text")))
+
+
 @query("gen_unnumbered")
 def gen_unnumbered(s, d):
-    """The whole line automaton, over every document."""
-    return structure.structured(table(s, d, "documents").select("doc_id", F.concat(F.lit("Section B\n1. "), F.coalesce("text", F.lit(""))).alias("text")))
+    """Pages without numbers, one a document: of its sentences each fifth is a stem, the others are choices."""
+    mark = lambda k: F.concat(F.lit("("), F.element_at(F.array(*map(F.lit, "abcd")), k % 5), F.lit(") "))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\. "), lambda x, k: F.when(k % 5 == 0, F.concat(x, F.lit("?"))).otherwise(F.concat(F.when(k % 5 > 0, mark(F.greatest(k % 5, F.lit(1)))), x, F.lit("."))))
+    return structure.structured(table(s, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text")))
 
 
 @query("win_row_cluster")

@@ -185,35 +185,20 @@ def _skill_sql() -> str:
     t = "concat_ws(chr(10), nullif(instructions, ''), nullif(stem, ''))"
     s = "trim(regexp_replace(stem, '\\s+', ' ', 'g'))"
     has = lambda p: f"regexp_matches({t}, {lit('(?i)' + p)})"
-    out = [f"WHEN regexp_matches({t}, '\\[skill:[a-z0-9_]+\\]') THEN regexp_extract({t}, '\\[skill:([a-z0-9_]+)\\]', 1)"]
-    for name, p in rules.TEXT_RULES:
-        extra = f" OR (figures > 0 AND {has(r'\bmirror\b')})" if name == "mirror_image" else ""
-        out.append(f"WHEN {has(p)}{extra} THEN '{name}'")
-        if name == "figure_analogy":
-            out.append(f"WHEN figures > 0 AND {has('option figure that will replace|following series')} THEN 'figure_series'")
-        if name == "venn_diagram":
-            out.append(f"WHEN figures > 0 AND {has('missing number')} THEN 'missing_number_figure'")
-            out.append(f"WHEN (kind = 'diagram' OR figures > 0) AND (length({s}) < 12 OR regexp_matches({s}, '(?i)^question figures?$')) THEN 'figure_identity'")
-        if name == "symbol_operations":
-            out.append(f"WHEN {has('clock')} AND {has('minute hand|hour hand')} THEN 'clock_direction'")
-    series = f"(len(regexp_extract_all({s}, '-?\\d+(?:\\.\\d+)?')) >= 4 AND regexp_matches({s}, '[,;]|…|\\.\\.\\.'))"
-    lang = f"({has(rules.GRAMMAR)} OR {has(r'\b(idiom|phrase)\b')})"
-    out += [
-        f"WHEN figures = 0 AND ({has(rules.SERIES)} OR {series}) THEN 'number_series'",
-        f"WHEN length({s}) - length(replace({s}, '/', '')) >= 3 THEN 'jumbled_sentences'",
-        f"WHEN contains({s}, '__') THEN 'cloze'",
-        f"WHEN lower({s}) = 'correct spelling' THEN 'spelling'",
-        f"WHEN regexp_matches({s}, '(?i)^(one who|someone who|one whom)\\b') THEN 'one_word_substitution'",
-        f"WHEN {has('who said these words|what lesson did|came to the help')} THEN 'comprehension'",
-        f"WHEN regexp_matches(lower(array_to_string(options, ' ')), '\\b(adverb|verb|noun|adjective|preposition|conjunction)\\b') THEN 'parts_of_speech'",
-        f"WHEN {lang} AND regexp_matches(lower({s}), '\\bidiom') THEN 'idioms'",
-        f"WHEN {lang} AND {has(r'\bsynonym|\bantonym|\bopposite to\b|\bopposite in meaning\b')} THEN 'synonym_antonym'",
-        f"WHEN {lang} THEN 'grammar'",
-        f"WHEN len(options) >= 3 AND regexp_matches({s}, {lit(r"^\p{L}[\p{L}\s'-]{2,40}$")}) THEN 'synonym_antonym'",
-        f"WHEN {has(rules.OPPOSITES)} THEN 'synonym_antonym'",
-        *[f"WHEN {has(p)} THEN '{n}'" for n, p in rules.MATH_RULES],
-        f"WHEN regexp_matches({s}, '(?i)^(which|who|where|when|what)\\b') THEN 'general_knowledge'",
-    ]
+    tag = f"lower(regexp_extract({t}, '(?i)\\[skill:([a-z0-9_]+)\\]', 1))"
+    out = [f"WHEN {tag} IN ({', '.join(map(lit, rules.CATALOGUE))}) THEN {tag}"]
+    own = {
+        "figure_identity": f"(kind = 'diagram' OR figures > 0) AND (length({s}) < 12 OR regexp_matches({s}, '(?i)^question figures?$'))",
+        "printed_series": f"len(regexp_extract_all({s}, '-?\\d+(?:\\.\\d+)?')) >= 4 AND regexp_matches({s}, '[,;]|…|\\.\\.\\.')",
+        "parts_of_speech": "regexp_matches(lower(array_to_string(options, ' ')), '\\b(adverb|verb|noun|adjective|preposition|conjunction)\\b')",
+        "lone_word": "len(options) >= 3",
+        "jumbled_sentences": f"length({s}) - length(replace({s}, '/', '')) >= 3",
+    }
+    for name, patterns, of_stem, figures in rules.SKILL_RULES:
+        tests = [has(p) for p in patterns] + ([f"regexp_matches({s}, {lit('(?i)' + of_stem)})"] if of_stem else [])
+        tests += [] if figures is None else ["figures > 0" if figures else "figures = 0"]
+        tests += [f"({own[name]})"] if name in own else []
+        out.append(f"WHEN {' AND '.join(tests)} THEN '{rules.RENAMED.get(name, name)}'")
     return "CASE " + " ".join(out) + " ELSE 'unsupported' END"
 
 
