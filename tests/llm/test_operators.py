@@ -112,8 +112,6 @@ def test_every_language_with_trusted_documents_has_its_own_model(spark, monkeypa
     """A rare language beside a common one, and one whose table is not broadcast, are judged by all of their own."""
     monkeypatch.setattr(quality, "MOST_BROADCAST", 1)
     monkeypatch.setattr(quality, "GROUP_CHARS", 2_000)
-    monkeypatch.setattr(quality, "SAMPLE", 500, raising=False)
-    monkeypatch.setattr(quality, "MOST_LANGUAGES", 1, raising=False)
     r = random.Random(3)
     parts = {"big": ["ta", "ne", "ri", "so"], "rare": ["ku", "wo", "gy", "zha"]}
     text = lambda lang: " ".join("".join(r.choice(parts[lang]) for _ in range(r.randint(1, 4))) for _ in range(40))
@@ -129,6 +127,7 @@ def test_every_language_with_trusted_documents_has_its_own_model(spark, monkeypa
     assert out[out.doc_id < 3000].good.mean() > 0.98 and out[out.doc_id.between(3000, 3999)].good.mean() > 0.95
     # The way of the table does not change the figures.
     tables = model.tables | {x["lang"]: np.frombuffer(x["table"], "<f4") for x in model.others.collect()}
+    assert set(tables) == {f"{lang}/{k}" for lang in model.bounds for k in (0, 1)}
     both = quality.score(all_, quality.Model(tables, model.mean, model.bounds)).toPandas()
     assert np.allclose(out.sort_values("doc_id").nll, both.sort_values("doc_id").nll)
 
@@ -173,6 +172,60 @@ def test_kneser_ney_shares(spark):
     assert top[34].weight == pytest.approx(sum(d) / 6)
 
 
+def kneser_ney(texts):
+    """Negative log-probability of an n-gram (a tuple of symbols) by the formulas of interpolated modified Kneser-Ney smoothing."""
+    count = {}
+    for t in texts:
+        s = quality.symbols(t).tolist()
+        for i in range(len(s) - quality.ORDER + 1):
+            g = tuple(s[i : i + quality.ORDER])
+            count[g] = count.get(g, 0) + 1
+    orders = {quality.ORDER: count}
+    for k in range(quality.ORDER - 1, 0, -1):
+        lower = {}
+        for g in orders[k + 1]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        orders[k] = lower
+    cut = {}
+    for k, c in orders.items():
+        n = [sum(v == i for v in c.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        cut[k] = [0.0] + [max(0.05, min(i - 0.05, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i)) for i in (1, 2, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / quality.SYMBOLS
+        c, d = orders[len(g)], cut[len(g)]
+        after = [v for h, v in c.items() if h[:-1] == g[:-1]]
+        if not after:
+            return p(g[1:])
+        own = c.get(g, 0)
+        return (max(0.0, own - d[min(own, 3)]) + sum(d[min(v, 3)] for v in after) * p(g[1:])) / sum(after)
+
+    return lambda g: -np.log(p(g))
+
+
+def test_perplexity_against_the_formulas(spark):
+    """Each document under the counts of the other fold, by a plain version of the whole method."""
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 4))) for _ in range(6)), "xx") for i in range(40)] + [(90, "Zz 1!", "xx"), (91, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    folds = {x.doc_id: x.f for x in docs.select("doc_id", quality._fold("doc_id").alias("f")).collect()}
+    model = quality.train(docs, spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int"))
+    cost = {f: kneser_ney([t for i, t, _ in rows if i < 40 and folds[i] != f]) for f in (0, 1)}
+    want, nats = {}, {}
+    for i, t, _ in rows:
+        s = quality.symbols(t).tolist()
+        n = len(s) - quality.ORDER + 1
+        nats[i] = (sum(cost[folds[i]](tuple(s[k : k + quality.ORDER])) for k in range(n)), n)
+    mean = sum(nats[i][0] for i in range(40)) / sum(nats[i][1] for i in range(40))
+    want = {i: (s + quality.PRIOR * mean) / (n + quality.PRIOR) for i, (s, n) in nats.items()}
+    low, high = min(want[i] for i in range(40)), max(want[i] for i in range(40))
+    for x in quality.score(docs, model).collect():
+        assert x.nll == pytest.approx(want[x.doc_id], abs=1e-4)
+        assert x.good == (x.n_symbols == 0 or low - 1e-6 <= want[x.doc_id] <= high + 1e-6)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_score(spark, docs, rows, order):
     got = lm_score.backoff_scores(docs, order, block_chars=20_000).collect()
