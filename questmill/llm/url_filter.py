@@ -20,8 +20,15 @@ from pyspark.sql import functions as F
 from questmill.llm.common import written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits a filter may have; beyond it a list must be split by key.
+#: Bits of a filter at most (256 MB). A list of more than some 10^8 keys lets more keys pass a level wrongly, which further
+#: levels put right: the answer stays exact.
 MOST_BITS = 1 << 31
+#: Words of a filter that are gathered in one group.
+CHUNK = 1 << 10
+
+
+#: Before keys that are whole urls, so that they are told from rules.
+_WHOLE = "="
 
 
 def host_of(url: Column) -> Column:
@@ -38,13 +45,14 @@ def path_of(url: Column) -> Column:
 class Level:
     bits: int
     hashes: int
-    words: DataFrame  # one row: an array of bits / 64 longs
+    words: DataFrame  # one row: arrays of CHUNK longs each, null where all bits are 0
 
     def passes(self, key: Column, seed: int) -> Column:
         words, test = self.words.scalar(), F.lit(True)
         for bit in _bits(key, seed, self.hashes, self.bits):
-            word = F.get(words, F.shiftright(bit, 6).cast("int"))
-            test = test & (F.getbit(word, (bit % 64).cast("int")) == 1)
+            word = F.shiftright(bit, 6).cast("int")
+            word = F.get(F.get(words, (word / CHUNK).cast("int")), word % CHUNK)
+            test = test & (F.getbit(F.coalesce(word, F.lit(0).cast("long")), (bit % 64).cast("int")) == 1)
         return test
 
 
@@ -55,6 +63,12 @@ def _bits(key: Column, seed: int, hashes: int, bits: int) -> list[Column]:
     return [(first + F.lit(i) * step) % F.lit(bits) for i in range(hashes)]
 
 
+def _array(place: Column, value: str, size: int, missing: Column) -> Column:
+    """The values of a group as an array of this size, by their places."""
+    by_place = F.map_from_entries(F.collect_list(F.struct(place, value)))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at(by_place, k), missing))
+
+
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A Bloom filter of the n keys with about this rate of false positives."""
     hashes = max(1, round(-math.log2(rate)))
@@ -64,11 +78,8 @@ def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
         F.shiftright("bit", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("one")
     )
     words = ones.groupBy("word").agg(F.bit_or("one").alias("ones"))
-    words = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "ones"))).alias("m")).select(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(bits // 64 - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))
-        ).alias("words")
-    )
+    chunks = words.groupBy((F.col("word") / CHUNK).cast("int").alias("chunk")).agg(_array((F.col("word") % CHUNK).alias("k"), "ones", CHUNK, F.lit(0).cast("long")).alias("words"))
+    words = chunks.agg(_array(F.col("chunk").alias("k"), "words", -(-bits // 64 // CHUNK), F.lit(None).cast("array<long>")).alias("words"))
     return Level(bits, hashes, written(words, "bloom"))
 
 
@@ -119,15 +130,18 @@ def judge_urls(
     blocked_hosts: DataFrame,
     host_labels: Sequence[int],
     url_col: str = "url",
+    blocked_urls: DataFrame | None = None,
 ) -> DataFrame:
     """pages with host, path, rule and verdict.
 
     rules: (allow or block, host, path); a rule fits its host and subdomains when
     the path starts with the rule's; the longest that fits wins. blocked_hosts:
     column key, hosts that are blocked with their subdomains where no rule fits;
-    host_labels: the numbers of labels that these hosts have. A null url, or one
-    without ://, has an empty host and path, fits no rule and is allowed. Columns
-    named host, path, rule or verdict in pages are replaced. Repeated rows stay.
+    host_labels: the numbers of labels that these hosts have. blocked_urls: column
+    key, host and path together, blocked likewise. A null url, or one without
+    ://, has an empty host and path, fits no rule and is allowed if the lists do
+    not name it. Very long urls are read whole. Columns named host, path, rule or
+    verdict in pages are replaced, others stay. Repeated rows stay.
     """
     spark: SparkSession = pages.sparkSession
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
@@ -135,12 +149,14 @@ def judge_urls(
     split = pages.select(host.alias("h"), path.alias("p")).distinct()
     fits = candidates(F.col("h"), F.col("p"), labels, lengths)
     hosts = candidates(F.col("h"), F.lit(""), host_labels, [0])
-    universe = split.select(F.explode(F.array(*fits, *hosts)).alias("key"))
+    whole = lambda host, path: F.concat(F.lit(_WHOLE), host, path)
+    universe = split.select(F.explode(F.array(*fits, *hosts, whole(F.col("h"), F.col("p")))).alias("key"))
     frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
     known = Cascade.build(frame([h + p for _, h, p in rules]), universe)
-    blocked = Cascade.build(
-        frame([h + p for v, h, p in rules if v == "block"]).union(blocked_hosts.select("key")), universe
-    )
+    listed = frame([h + p for v, h, p in rules if v == "block"]).union(blocked_hosts.select("key"))
+    if blocked_urls is not None:
+        listed = listed.union(blocked_urls.select(F.concat(F.lit(_WHOLE), "key")))
+    blocked = Cascade.build(listed, universe)
 
     out = pages.withColumns({"host": host, "path": path})
     fits = candidates(F.col("host"), F.col("path"), labels, lengths)
@@ -148,6 +164,7 @@ def judge_urls(
     longest = F.greatest(*fits, *fits[:1]) if fits else F.lit(None).cast("struct<n:int,k:string>")
     out = out.withColumn("rule", longest["k"])
     hosts = candidates(F.col("host"), F.lit(""), host_labels, [0])
+    hosts += [whole(F.col("host"), F.col("path"))] if blocked_urls is not None else []
     listed = F.coalesce(*[F.when(blocked.contains(k), True) for k in hosts], F.lit(False))
     bad = F.when(F.col("rule").isNotNull(), blocked.contains(F.col("rule"))).otherwise(listed)
     return out.withColumn("verdict", F.when(bad, "block").otherwise("allow"))

@@ -303,6 +303,28 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert universe.where(url_filter.Cascade.build(listed.where("false"), universe).contains(F.col("key"))).count() == 0
 
 
+def test_cascade_of_many_keys(spark, monkeypatch):
+    """A list of realistic size over a large universe, also where a filter may not grow as it should."""
+    universe = spark.range(0, 400_000, 1, 4).select(F.concat(F.lit("host"), (F.col("id") % 5000).cast("string"), F.lit(".net/p"), F.col("id").cast("string")).alias("key"))
+    listed = universe.where(F.xxhash64("key") % 16 == 0)
+    wrong = lambda cascade: universe.where(cascade.contains(F.col("key")) != F.coalesce(F.xxhash64("key") % 16 == 0, F.lit(False))).count()
+    assert wrong(url_filter.Cascade.build(listed, universe)) == 0
+    monkeypatch.setattr(url_filter, "MOST_BITS", 1 << 16)
+    small = url_filter.Cascade.build(listed, universe)
+    assert wrong(small) == 0 and all(level.bits <= 1 << 16 for level in small.levels)
+
+
+def test_url_lists(spark):
+    """Whole urls, very long ones, repeated rows, nulls and rules that say otherwise."""
+    long = "http://a.net/" + "x" * 200_000
+    urls = [long, long, long + "y", "http://a.net/p?q", "http://a.net/P", "http://a.org/p", None, None]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, host int")
+    listed = spark.createDataFrame([("a.net/" + "x" * 200_000,), ("a.net/p",), ("a.org/p",), (None,)], "key string")
+    hosts = spark.createDataFrame([], "key string")
+    got = url_filter.judge_urls(pages, [("allow", "org", "/")], hosts, [2], blocked_urls=listed).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block", "block", "allow", "block", "allow", "allow", "allow", "allow"]
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://Example.ORG", "http://a.example.org/es/x", "https://example.org/en/12?q#f", "https://example.org/en/2", "x://b.com/de/1", "x://b.com/fr/1", "x://b.net/", "x://m.spam.net/p", "x://nospam.net/p", "a://b.org?x://c", "x://org/", "x://\u00c4B.com/fr/"]
     pages = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
