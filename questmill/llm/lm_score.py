@@ -1,17 +1,24 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
 Documents are dealt to blocks. A block explodes its documents into n-grams of
-every order and sends each distinct one, with how often it stands there, to the
+every order and asks for each distinct one, with how often it stands there, by the
 shard that its hash names. A shard holds the n-gram count table for its hashes: it
-adds up what all blocks sent, joins the sums to what each block asked, and returns
-them. The block joins the counts to its n-grams and sums the scores per document.
-N-grams travel as sorted arrays of 64-bit hashes, and once per block however often
-they occur, so a frequent n-gram is no hot key, and the documents are dealt only
-once for both passes. Everything grows in proportion to the corpus.
+adds up what all blocks sent, joins the sums to what each asked, and returns them.
+The block joins the counts to its n-grams and sums the scores per document.
+
+Were every block to send to every shard, there would be as many messages as the
+square of the corpus. So blocks form groups, and the hashes of a group's blocks
+are first put together by range: with about as many groups as blocks in a group,
+a message holds many n-grams at any size, and the n-grams that a group's blocks
+share go on once. N-grams travel as sorted arrays of 64-bit hashes, and once per
+block however often they occur, so a frequent n-gram is no hot key. Two n-grams
+with one hash would share their counts; of 10^9 n-grams some 0.03 pairs do.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Characters of a block, about, and the share left to a shorter n-gram.
 BLOCK_CHARS, BACKOFF = 8 << 20, 0.4
-#: N-grams of two words and more count from this many occurrences on.
+#: N-grams of two words and more count from this many occurrences on: what occurs once is known from the scored text alone.
 LEAST_COUNT = 2
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -67,72 +74,116 @@ def _asked(texts: list[str | None], order: int) -> tuple[list[list[np.ndarray]],
     return each, distinct
 
 
-def _shards(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's hashes begin in the sorted hashes."""
-    edges = np.array([(s << 64) // shards for s in range(shards)], np.uint64)
+def _edges(parts: int, of: int = 0, whole: int = 1) -> np.ndarray:
+    """The first hash of each of the parts of range number of, when all hashes are cut into whole ranges."""
+    return np.array([((of * parts + k) << 64) // (whole * parts) for k in range(parts)], np.uint64)
+
+
+def _cut(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where each part's hashes begin in the sorted hashes, and their end."""
     return np.append(np.searchsorted(hashes, edges), len(hashes))
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+#: A message: who sends, who answers, the order, n-grams with counts. An answer: to whom, from whom, the order, counts in a width of bytes.
+ASK = "to_a long, to_b long, sender long, k int, hashes binary, counts binary"
+ANSWER = "to_a long, to_b long, sender long, k int, wide int, totals binary"
+
+
+def _message(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.table([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _asks(asked: pa.Table, k: int) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of one order: the senders in order, what each asked, and all distinct n-grams with their counts and each one's place among them."""
+    rows = [i for i, o in enumerate(asked.column("k").to_pylist()) if o == k]
+    rows.sort(key=lambda i: asked.column("sender")[i].as_py())
+    each = [np.frombuffer(asked.column("hashes")[i].as_buffer(), np.uint64) for i in rows]
+    given = np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(asked.column("counts")[i].as_buffer(), "<u4") for i in rows]])
+    distinct, at = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_inverse=True)
+    return [asked.column("sender")[i].as_py() for i in rows], each, distinct, np.bincount(at, given, len(distinct)), at
+
+
+def _narrow(totals: np.ndarray) -> tuple[int, bytes]:
+    """Most totals are small: the width of an answer follows its largest."""
+    top = totals.max(initial=0)
+    wide = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return wide, totals.astype(f"<u{wide}").tobytes()
+
+
+def _answers(replies: pa.Table, k: int) -> np.ndarray:
+    """The totals of one order, in the order of those who answered."""
+    rows = [i for i, o in enumerate(replies.column("k").to_pylist()) if o == k]
+    rows.sort(key=lambda i: replies.column("sender")[i].as_py())
+    own = [np.frombuffer(replies.column("totals")[i].as_buffer(), f"<u{replies.column('wide')[i].as_py()}").astype(np.float64) for i in rows]
+    return np.concatenate([np.empty(0), *own])
+
+
+def backoff_scores(
+    docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, least: int = LEAST_COUNT
+) -> DataFrame:
     """One row per row of docs: id, n_tokens, log10_score (summed over the tokens).
 
     A token scores count(n-gram) / count(n-gram without it) for the longest n-gram
-    of at most order words that ends there and occurs LEAST_COUNT times, times
-    BACKOFF for every longer one passed over; a single word scores its share of
-    all words. A text without words, or a null, has 0 tokens and score 0. Null ids
-    and repeated rows are scored like others; other columns are ignored. An empty
+    of at most order words that ends there and occurs least times, times BACKOFF
+    for every longer one passed over; a single word scores its share of all words.
+    A text without words, or a null, has 0 tokens and score 0. Null ids and
+    repeated rows are scored like others; other columns are ignored. An empty
     table gives an empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, chars // block_chars)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    chars, every = rows.agg(F.sum(F.length("text")), F.sum(words)).first()
+    n, every = max(1, (chars or 0) // block_chars), every or 1
+    # Blocks of a group, ranges of hashes, and shards of a range.
+    ranges = math.isqrt(n - 1) + 1
+    shards = -(-n // ranges)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
     def ask(part: pa.Table) -> pa.Table:
         block, (_, distinct) = part.column("block")[0].as_py(), _asked(part.column("text").to_pylist(), order)
         out = []
         for k, (hashes, counts) in enumerate(distinct):
-            at = _shards(hashes, n)
-            for s in range(n):
-                if at[s] < at[s + 1]:
-                    mine = slice(at[s], at[s + 1])
-                    out.append((s, block, k, hashes[mine].tobytes(), counts[mine].astype("<u4").tobytes()))
-        names, kinds = ["shard", "block", "k", "hashes", "counts"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-    def answer(part: pa.Table) -> pa.Table:
-        shard, replies = part.column("shard")[0].as_py(), []
-        blocks, orders = part.column("block").to_pylist(), part.column("k").to_pylist()
-        hashes, counts = part.column("hashes"), part.column("counts")
+            at = _cut(hashes, _edges(ranges))
+            for r, mine in enumerate(map(slice, at[:-1], at[1:])):
+                if mine.start < mine.stop:
+                    out.append((block // ranges, r, block, k, hashes[mine].tobytes(), counts[mine].astype("<u4").tobytes()))
+        return _message(out, ASK)
+
+    def together(asked: pa.Table) -> pa.Table:
+        group, r = asked.column("to_a")[0].as_py(), asked.column("to_b")[0].as_py()
+        out = []
+        for k in range(order):
+            _, _, hashes, counts, _ = _asks(asked, k)
+            at = _cut(hashes, _edges(shards, r, ranges))
+            for f, mine in enumerate(map(slice, at[:-1], at[1:])):
+                if mine.start < mine.stop:
+                    out.append((r, f, group, k, hashes[mine].tobytes(), counts[mine].astype("<u4").tobytes()))
+        return _message(out, ASK)
+
+    def answer(asked: pa.Table) -> pa.Table:
+        r, f = asked.column("to_a")[0].as_py(), asked.column("to_b")[0].as_py()
+        out = []
         for k in range(order):
-            rows = [i for i, o in enumerate(orders) if o == k]
-            if not rows:
-                continue
-            asked = [np.frombuffer(hashes[i].as_buffer(), np.uint64) for i in rows]
-            given = np.concatenate([np.frombuffer(counts[i].as_buffer(), "<u4") for i in rows])
-            table, at = np.unique(np.concatenate(asked), return_inverse=True)
-            total = np.bincount(at, given, len(table)).astype("<u8")[at]
-            ends = np.cumsum([len(a) for a in asked])[:-1]
-            # Most totals are small: the width of each reply follows its largest.
-            for i, t in zip(rows, np.split(total, ends), strict=True):
-                wide = 1 if t.max() < 1 << 8 else 2 if t.max() < 1 << 16 else 4 if t.max() < 1 << 32 else 8
-                replies.append((blocks[i], shard, k, wide, t.astype(f"<u{wide}").tobytes()))
-        names, kinds = ["block", "shard", "k", "wide", "totals"], [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*replies, strict=True), kinds, strict=True)], names=names)
-
-    asked = dealt.groupBy("block").applyInArrow(ask, "shard int, block int, k int, hashes binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(answer, "block int, shard int, k int, wide int, totals binary")
-    words = rows.select(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n"))
-    every = words.agg(F.sum("n")).first()[0] or 1
+            groups, each, _, counts, at = _asks(asked, k)
+            for group, own in zip(groups, np.split(counts[at], np.cumsum([len(e) for e in each])[:-1]), strict=True) if groups else ():
+                out.append((group, r, f, k, *_narrow(own)))
+        return _message(out, ANSWER)
+
+    def apart(asked: pa.Table, replies: pa.Table) -> pa.Table:
+        out = []
+        for k in range(order):
+            blocks, each, _, _, at = _asks(asked, k)
+            totals = _answers(replies, k)
+            for block, own in zip(blocks, np.split(totals[at], np.cumsum([len(e) for e in each])[:-1]), strict=True) if blocks else ():
+                out.append((block, 0, asked.column("to_b")[0].as_py(), k, *_narrow(own)))
+        return _message(out, ANSWER)
 
     def add_up(part: pa.Table, replies: pa.Table) -> pa.Table:
         each, distinct = _asked(part.column("text").to_pylist(), order)
-        totals = []
-        order_of = sorted(range(replies.num_rows), key=lambda i: (replies.column("k")[i].as_py(), replies.column("shard")[i].as_py()))
-        for k in range(order):
-            own = [np.frombuffer(replies.column("totals")[i].as_buffer(), f"<u{replies.column('wide')[i].as_py()}").astype(np.float64) for i in order_of if replies.column("k")[i].as_py() == k]
-            totals.append(np.concatenate([np.empty(0), *own]))
+        totals = [_answers(replies, k) for k in range(order)]
         scores, sizes = [], []
         for g in each:
             size = len(g[0])
@@ -141,7 +192,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text
             for k in range(order - 1, -1, -1):
                 there = np.arange(size) >= k
                 if k:
-                    known = open_ & there & (count[k] >= LEAST_COUNT)
+                    known = open_ & there & (count[k] >= least)
                     shorter = np.concatenate([[1.0], count[k - 1][:-1]]) if size else count[k - 1]
                     value[known] = np.log10(factor[known] * count[k][known] / shorter[known])
                     open_ &= ~known
@@ -151,7 +202,11 @@ def backoff_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text
             scores.append(float(value.sum())), sizes.append(size)
         return pa.table({"doc_id": part.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64()), "log10_score": pa.array(scores, pa.float64())})
 
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, "doc_id long, n_tokens long, log10_score double")
+    asked = dealt.groupBy("block").applyInArrow(ask, ASK)
+    merged = asked.groupBy("to_a", "to_b").applyInArrow(together, ASK)
+    answers = merged.groupBy("to_a", "to_b").applyInArrow(answer, ANSWER)
+    answers = asked.groupBy("to_a", "to_b").cogroup(answers.groupBy("to_a", "to_b")).applyInArrow(apart, ANSWER)
+    out = dealt.groupBy("block").cogroup(answers.withColumnRenamed("to_a", "block").groupBy("block")).applyInArrow(add_up, "doc_id long, n_tokens long, log10_score double")
     return out.withColumnRenamed("doc_id", id_col)
 
 
