@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Deletes the white space of the contracts: space, tab, newline, vertical tab, form feed, carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
-#: Vertices that are joined by broadcast, checked by count (16 bytes each).
-FEW_VERTICES = 200_000
+#: Rows of short keys (about 100 bytes each) that may be broadcast, checked by count.
+FEW_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def written_with(df: DataFrame, name: str, totals: dict[str, Column]) -> tuple[D
     return out, seen.get
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast where its counted rows are few; else it is joined as any table."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, to bound what a Python worker makes of one."""
     for batch in batches:
@@ -106,5 +111,4 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if not total["n"]:
             # Every vertex with a parent has one, and that is a root.
             return up.select(F.col("a").alias("id"), F.col("to").alias("component_id")).union(below.select("a", "a"))
-        inner = F.broadcast(inner) if total["n"] <= FEW_VERTICES else inner
-        now = now.join(inner, "b", "left").select("a", F.coalesce("to", "b").alias("b"))
+        now = now.join(small(inner, total["n"]), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
