@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questmill.llm.common import ASCII_SPACE, table, written, written_with
+from questmill.llm.common import ASCII_SPACE, small, table, written, written_with
 from questmill.llm.exact_dedup import exact_dedup
 from questmill.llm.ngram_join import ngram_components
 from questmill.llm.packing import pack_sequences, pieces_of
@@ -35,8 +35,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "_sha": sha})
     judged = exact_dedup(docs).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
     counts = judged.groupBy(*key, "kept").agg(F.count("*").alias("c"))
-    leave, total = written_with(counts.where("not kept or c > 1"), "leave", {"repeated": F.count_if("kept")})
-    kept = keyed.join(leave.select(*key), key, "left_anti").select(*docs.columns)
+    leave, total = written_with(counts.where("not kept or c > 1"), "leave", {"n": F.count("*"), "repeated": F.count_if("kept")})
+    kept = keyed.join(small(leave.select(*key), total["n"]), key, "left_anti").select(*docs.columns)
     if not total["repeated"]:
         return kept
     # Rows with equal ids and texts: one of them.
@@ -54,8 +54,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_components(rows, id_col="_row").select("_row", F.col("component_id").alias("_group"))
     groups = groups.join(rows.select("_row", "doc_id"), "_row")
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_row")).alias("_stays")
-    stays = groups.groupBy("_group").agg(stays).select(F.col("_stays._row").alias("_row"))
-    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
+    stays = groups.groupBy("_group").agg(stays, F.count("*").alias("_c")).where("_c > 1")
+    goes = groups.join(written(stays, "stays"), "_group").where("_row != _stays._row").select("_row")
+    goes, total = written_with(goes, "goes", {"n": F.count("*")})
+    return rows.join(small(goes, total["n"]), "_row", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
