@@ -113,12 +113,6 @@ def prj_overlay_dirty(s, d):
     return t.select("c_custkey", F.when(c("c_custkey") % 2 == 0, "local").otherwise(c("c_mktsegment")).alias("segment"), F.when(c("c_custkey") % 3 == 0, -1.0).otherwise(c("c_acctbal")).alias("balance"))
 
 
-@query("prj_learner_facing", "SELECT l_orderkey, l_linenumber, l_returnflag <> 'R' AS facing FROM lineitem")
-def prj_learner_facing(s, d):
-    status = F.when(c("l_returnflag") == "R", "rejected").when(c("l_returnflag") == "A", "reviewed")
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (status.isNull() | status.isin("reviewed", "published")).alias("facing"))
-
-
 @query("prj_row_policy", "SELECT event_id FROM events WHERE user_id = 12")
 def prj_row_policy(s, d):
     return table(s, d, "events").where("user_id = 12").select("event_id")
@@ -870,38 +864,12 @@ def val_export(s, d):
     return table(s, d, "orders").select("o_orderkey", F.array_join(F.array_compact(errors), ",").alias("errors"))
 
 
-@query("gen_flatten_export", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, CASE WHEN count(*) OVER (PARTITION BY conv_id) > 2 THEN sha1('question-group' || chr(31) || conv_id) END AS group_id FROM conversations")
-def gen_flatten_export(s, d):
-    t = table(s, d, "conversations")
-    n = F.count("*").over(Window.partitionBy("conv_id"))
-    group = F.when(n > 2, F.sha1(F.concat_ws("\u001f", F.lit("question-group"), c("conv_id").cast("string"))))
-    return t.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("place"), group.alias("group_id"))
-
-
-@query("gen_matching_items", "SELECT o_orderkey, unnest(['left', 'right']) AS side, unnest([o_orderstatus, o_orderpriority]) AS item FROM orders")
-def gen_matching_items(s, d):
-    return table(s, d, "orders").selectExpr("o_orderkey", "stack(2, 'left', o_orderstatus, 'right', o_orderpriority) as (side, item)")
-
-
 @query("gen_syllabus_slots", "SELECT r_name AS subject, n_name AS section, c_mktsegment AS skill, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def gen_syllabus_slots(s, d):
     t = table(s, d, "customer").join(table(s, d, "nation"), c("c_nationkey") == c("n_nationkey")).join(table(s, d, "region"), c("n_regionkey") == c("r_regionkey"))
     return t.groupBy(c("r_name").alias("subject"), c("n_name").alias("section"), c("c_mktsegment").alias("skill")).agg(F.count("*").alias("n"))
 
 
-@query("tree_remove", "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations WHERE turn <> 1 GROUP BY conv_id")
-def tree_remove(s, d):
-    tree = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    tree = tree.withColumn("t", F.filter("t", lambda x: x["turn"] != 1)).where(F.size("t") > 0)
-    return tree.select("conv_id", F.size("t").cast("long").alias("n"), F.array_join(F.transform("t", lambda x: x["role"]), ",").alias("roles"))
-
-
-@query("tree_find", "SELECT conv_id, turn, text FROM conversations WHERE turn = 2")
-def tree_find(s, d):
-    tree = table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "text")).alias("t"))
-    return tree.select("conv_id", F.explode(F.filter("t", lambda x: x["turn"] == 2)).alias("x")).select("conv_id", "x.turn", "x.text")
-
-
 @query("st_with_stage", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'F,O' ELSE 'F,O,' || o_orderstatus END AS stages FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'F,O' FROM orders WHERE o_orderstatus = 'F'")
 def st_with_stage(s, d):
     return table(s, d, "orders").select("o_orderkey", F.array_join(F.array_union(F.array(F.lit("F"), F.lit("O")), F.array("o_orderstatus")), ",").alias("stages"))

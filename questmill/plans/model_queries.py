@@ -204,18 +204,6 @@ def fn_accept_repair(s, d):
     return t.where("turn = 0").select("conv_id").distinct().join(kept, "conv_id", "left").select("conv_id", F.coalesce("ok", F.lit(True)).alias("v"))
 
 
-@query("fn_question_text", "WITH {q} SELECT doc_id, CASE WHEN coalesce(trim(instructions), '') <> '' AND NOT contains(stem, trim(instructions)) THEN trim(instructions) || chr(10) || chr(10) || stem ELSE stem END AS v FROM q")
-def fn_question_text(s, d):
-    i = F.trim(F.coalesce("instructions", F.lit("")))
-    return questions(s, d).select("doc_id", F.when((i != "") & ~F.contains("stem", i), F.concat(i, F.lit("\n\n"), c("stem"))).otherwise(c("stem")).alias("v"))
-
-
-@query("fn_solution_text", "SELECT o_orderkey, nullif(concat_ws(chr(10) || chr(10), nullif(CASE WHEN o_orderkey % 2 = 0 THEN 'done ' || o_orderstatus ELSE '' END, ''), CASE WHEN NOT contains(CASE WHEN o_orderkey % 2 = 0 THEN 'done ' || o_orderstatus ELSE '' END, o_orderstatus) THEN o_orderstatus END), '') AS v FROM orders")
-def fn_solution_text(s, d):
-    e = F.when(c("o_orderkey") % 2 == 0, F.concat(F.lit("done "), c("o_orderstatus"))).otherwise("")
-    return table(s, d, "orders").select("o_orderkey", F.nullif(F.concat_ws("\n\n", F.nullif(e, F.lit("")), F.when(~F.contains(e, c("o_orderstatus")), c("o_orderstatus"))), F.lit("")).alias("v"))
-
-
 @query("fn_elide", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{\"u\":\"[image elided]\"}' ELSE props END AS v FROM events")
 def fn_elide(s, d):
     raw = F.when(c("event_id") % 2 == 0, F.lit('{"u":"data:image/png;base64,AAAA"}')).otherwise(c("props"))
@@ -322,44 +310,6 @@ def gen_match_pairs(s, d):
     return parts.select("doc_id", "ord", F.trim(F.get("p", 0)).alias("l"), F.trim(F.get("p", 1)).alias("r"))
 
 
-@query("gen_learner_options", "WITH {q} SELECT doc_id, CASE WHEN kind = 'true_false' AND len(options) = 0 AND doc_id % 2 = 0 THEN 'True,False' ELSE array_to_string(options, ',') END AS v FROM q")
-def gen_learner_options(s, d):
-    tf = (c("kind") == "true_false") & (F.size("options") == 0) & (c("doc_id") % 2 == 0)
-    return questions(s, d).select("doc_id", F.array_join(F.when(tf, F.array(F.lit("True"), F.lit("False"))).otherwise(c("options")), ",").alias("v"))
-
-
-@query("gen_export_tables", "WITH {q} SELECT 'questions' AS t, count(*) AS n FROM q UNION ALL SELECT 'question_options', CAST(sum(len(options)) AS BIGINT) FROM q UNION ALL SELECT 'sections', count(DISTINCT coalesce(instructions, 'General')) FROM q UNION ALL SELECT 'tags', count(DISTINCT kind) FROM q")
-def gen_export_tables(s, d):
-    """Row counts of the export's tables, from the flattened questions."""
-    q = questions(s, d)
-    tables = {
-        "questions": q.select("doc_id"), "question_options": q.select(F.explode("options").alias("o")),
-        "sections": q.select(F.coalesce("instructions", F.lit("General")).alias("x")).distinct(), "tags": q.select("kind").distinct(),
-    }
-    out = None
-    for name, t in tables.items():
-        n = t.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
-        out = n if out is None else out.union(n)
-    return out
-
-
-@query("tree_update", "WITH x AS (SELECT conv_id, turn, CASE WHEN turn = 1 THEN 'edited' ELSE role END AS role FROM conversations) SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM x GROUP BY conv_id")
-def tree_update(s, d):
-    t = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    edited = F.transform("t", lambda x: F.when(x["turn"] == 1, x.withField("role", F.lit("edited"))).otherwise(x))
-    return t.select("conv_id", F.array_join(F.transform(edited, lambda x: x["role"]), ",").alias("roles"))
-
-
-@query("tree_remove_option", "WITH {q} SELECT doc_id, array_to_string(list_filter(options, lambda o: o <> 'true' AND o <> '18'), ',') AS v FROM q")
-def tree_remove_option(s, d):
-    return questions(s, d).select("doc_id", F.array_join(F.filter("options", lambda o: ~o.isin("true", "18")), ",").alias("v"))
-
-
-@query("tree_detach_image", "WITH {q} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE figures END AS figures FROM q")
-def tree_detach_image(s, d):
-    return questions(s, d).select("doc_id", F.when(c("doc_id") % 3 == 0, 0).otherwise(c("figures")).alias("figures"))
-
-
 @query(
     "val_structure",
     f"WITH {{q}}, {ANSWERS}, x AS (SELECT doc_id, kind <> 'unknown' AND trim(stem) <> '' AS schema_valid, {HAS_SQL} AS has_answers, kind <> 'mcq' OR len(options) = 4 AS option_count_ok, ({_skill_sql()}) <> 'unsupported' AS skill_match, {norm('stem')} = {norm(chr(39) + 'Find the average of 12, 18 and 24' + chr(39))} AS copied_reference FROM a) SELECT *, schema_valid AND has_answers AND option_count_ok AND skill_match AND NOT copied_reference AS passed FROM x",
