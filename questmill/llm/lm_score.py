@@ -84,9 +84,32 @@ def _cut(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.append(np.searchsorted(hashes, edges), len(hashes))
 
 
-#: A message: who sends, who answers, the order, n-grams with counts. An answer: to whom, from whom, the order, counts in a width of bytes.
+#: A message: who answers, who sends, the order, n-grams with counts. An answer: to whom, from whom, the order, counts.
 ASK = "to_a long, to_b long, sender long, k int, hashes binary, counts binary"
-ANSWER = "to_a long, to_b long, sender long, k int, wide int, totals binary"
+ANSWER = "to_a long, to_b long, sender long, k int, totals binary"
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes each as the largest needs, behind a byte that tells how many."""
+    wide = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([wide]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+
+
+def _unpack(data: bytes | memoryview) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    wide = int(raw[0])
+    out = np.zeros(((len(raw) - 1) // wide, 8), np.uint8)
+    out[:, :wide] = raw[1:].reshape(-1, wide)
+    return out.view("<u8").ravel()
+
+
+def _pack_sorted(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the first and the steps from each to the next."""
+    return hashes[:1].astype("<u8").tobytes() + _pack(np.diff(hashes))
+
+
+def _unpack_sorted(data: memoryview) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], "<u8"), _unpack(data[8:])]), dtype=np.uint64)
 
 
 def _message(rows: list[tuple], schema: str) -> pa.Table:
@@ -100,24 +123,17 @@ def _asks(asked: pa.Table, k: int) -> tuple[list[int], list[np.ndarray], np.ndar
     """Of one order: the senders in order, what each asked, and all distinct n-grams with their counts and each one's place among them."""
     rows = [i for i, o in enumerate(asked.column("k").to_pylist()) if o == k]
     rows.sort(key=lambda i: asked.column("sender")[i].as_py())
-    each = [np.frombuffer(asked.column("hashes")[i].as_buffer(), np.uint64) for i in rows]
-    given = np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(asked.column("counts")[i].as_buffer(), "<u4") for i in rows]])
+    each = [_unpack_sorted(memoryview(asked.column("hashes")[i].as_buffer())) for i in rows]
+    given = np.concatenate([np.empty(0, np.uint64), *[_unpack(asked.column("counts")[i].as_buffer()) for i in rows]])
     distinct, at = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_inverse=True)
     return [asked.column("sender")[i].as_py() for i in rows], each, distinct, np.bincount(at, given, len(distinct)), at
 
 
-def _narrow(totals: np.ndarray) -> tuple[int, bytes]:
-    """Most totals are small: the width of an answer follows its largest."""
-    top = totals.max(initial=0)
-    wide = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return wide, totals.astype(f"<u{wide}").tobytes()
-
-
 def _answers(replies: pa.Table, k: int) -> np.ndarray:
     """The totals of one order, in the order of those who answered."""
     rows = [i for i, o in enumerate(replies.column("k").to_pylist()) if o == k]
     rows.sort(key=lambda i: replies.column("sender")[i].as_py())
-    own = [np.frombuffer(replies.column("totals")[i].as_buffer(), f"<u{replies.column('wide')[i].as_py()}").astype(np.float64) for i in rows]
+    own = [_unpack(replies.column("totals")[i].as_buffer()).astype(np.float64) for i in rows]
     return np.concatenate([np.empty(0), *own])
 
 
@@ -149,7 +165,7 @@ def backoff_scores(
             at = _cut(hashes, _edges(ranges))
             for r, mine in enumerate(map(slice, at[:-1], at[1:])):
                 if mine.start < mine.stop:
-                    out.append((block // ranges, r, block, k, hashes[mine].tobytes(), counts[mine].astype("<u4").tobytes()))
+                    out.append((block // ranges, r, block, k, _pack_sorted(hashes[mine]), _pack(counts[mine])))
         return _message(out, ASK)
 
     def together(asked: pa.Table) -> pa.Table:
@@ -160,7 +176,7 @@ def backoff_scores(
             at = _cut(hashes, _edges(shards, r, ranges))
             for f, mine in enumerate(map(slice, at[:-1], at[1:])):
                 if mine.start < mine.stop:
-                    out.append((r, f, group, k, hashes[mine].tobytes(), counts[mine].astype("<u4").tobytes()))
+                    out.append((r, f, group, k, _pack_sorted(hashes[mine]), _pack(counts[mine])))
         return _message(out, ASK)
 
     def answer(asked: pa.Table) -> pa.Table:
@@ -169,7 +185,7 @@ def backoff_scores(
         for k in range(order):
             groups, each, _, counts, at = _asks(asked, k)
             for group, own in zip(groups, np.split(counts[at], np.cumsum([len(e) for e in each])[:-1]), strict=True) if groups else ():
-                out.append((group, r, f, k, *_narrow(own)))
+                out.append((group, r, f, k, _pack(own)))
         return _message(out, ANSWER)
 
     def apart(asked: pa.Table, replies: pa.Table) -> pa.Table:
@@ -178,7 +194,7 @@ def backoff_scores(
             blocks, each, _, _, at = _asks(asked, k)
             totals = _answers(replies, k)
             for block, own in zip(blocks, np.split(totals[at], np.cumsum([len(e) for e in each])[:-1]), strict=True) if blocks else ():
-                out.append((block, 0, asked.column("to_b")[0].as_py(), k, *_narrow(own)))
+                out.append((block, 0, asked.column("to_b")[0].as_py(), k, _pack(own)))
         return _message(out, ANSWER)
 
     def add_up(part: pa.Table, replies: pa.Table) -> pa.Table:
