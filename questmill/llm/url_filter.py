@@ -11,7 +11,7 @@ list and the logarithm of the universe.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,8 +47,9 @@ class Level:
     hashes: int
     words: DataFrame  # one row: arrays of CHUNK longs each, null where all bits are 0
 
-    def passes(self, key: Column, seed: int) -> Column:
-        words, test = self.words.scalar(), F.lit(True)
+    def passes(self, words: Column, key: Column, seed: int) -> Column:
+        """Whether all bits of the key are set in words, this level's."""
+        test = F.lit(True)
         for bit in _bits(key, seed, self.hashes, self.bits):
             word = F.shiftright(bit, 6).cast("int")
             word = F.get(F.get(words, (word / CHUNK).cast("int")), word % CHUNK)
@@ -98,20 +99,37 @@ class Cascade:
             return cls([])
         size = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
         levels = [_level(listed, n, min(0.5, max(n / size / math.sqrt(2), 1e-9)), 1)]
-        wrong = universe.where(F.col("key").isNotNull() & levels[0].passes(F.col("key"), 1)).distinct()
+        passing = lambda keys: _asked(keys, levels[-1:], F.array("key"), "_passes", lambda words, key: levels[-1].passes(words[0], key, len(levels))).where("_passes[0]").select("key")
+        wrong = passing(universe.where("key is not null")).distinct()
         inside, wrong = listed, written(wrong.join(listed, "key", "left_anti"), "wrong")
         while k := wrong.count():
-            seed = len(levels) + 1
-            levels.append(_level(wrong, k, 0.5, seed))
-            inside, wrong = wrong, written(inside.where(levels[-1].passes(F.col("key"), seed)), "wrong")
+            levels.append(_level(wrong, k, 0.5, len(levels) + 1))
+            inside, wrong = wrong, written(passing(inside), "wrong")
         return cls(levels)
 
-    def contains(self, key: Column) -> Column:
-        """True for listed keys, false for the universe's others; a null key is not listed."""
-        answer = F.lit(False)
-        for seed, level in reversed(list(enumerate(self.levels, 1))):
-            answer = level.passes(key, seed) & ~answer
-        return F.coalesce(answer & key.isNotNull(), F.lit(False))
+    def members(self, frame: DataFrame, keys: Column, name: str) -> DataFrame:
+        """frame with a column of this name: for each of the keys (an array) whether it is listed; a null key is not."""
+
+        def answer(words: list[Column], key: Column) -> Column:
+            out = F.lit(False)
+            for at, level in reversed(list(enumerate(self.levels))):
+                out = level.passes(words[at], key, at + 1) & ~out
+            return F.coalesce(out & key.isNotNull(), F.lit(False))
+
+        if not self.levels:
+            return frame.withColumn(name, F.transform(keys, lambda _: F.lit(False)))
+        return _asked(frame, self.levels, keys, name, answer)
+
+    def listed(self, frame: DataFrame, key: str) -> DataFrame:
+        """The rows of frame whose key is listed."""
+        return self.members(frame, F.array(key), "_listed").where("_listed[0]").drop("_listed")
+
+
+def _asked(frame: DataFrame, levels: list[Level], keys: Column, name: str, answer: Callable[[list[Column], Column], Column]) -> DataFrame:
+    """frame with the answer for each of the keys, given the words of the levels; the plan holds each level once, however many keys and bits there are."""
+    words = F.struct(*[level.words.scalar().alias(f"w{i}") for i, level in enumerate(levels)])
+    held = [F.col("_words")[f"w{i}"] for i in range(len(levels))]
+    return frame.withColumn("_words", words).withColumn(name, F.transform(keys, lambda key: answer(held, key))).drop("_words")
 
 
 def candidates(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> list[Column]:
@@ -160,11 +178,11 @@ def judge_urls(
 
     out = pages.withColumns({"host": host, "path": path})
     fits = candidates(F.col("host"), F.col("path"), labels, lengths)
-    fits = [F.when(known.contains(k), F.struct(F.length(k).alias("n"), k.alias("k"))) for k in fits]
-    longest = F.greatest(*fits, *fits[:1]) if fits else F.lit(None).cast("struct<n:int,k:string>")
-    out = out.withColumn("rule", longest["k"])
+    out = known.members(out, F.array(*fits), "_hits") if fits else out
+    named = F.zip_with(F.array(*fits), "_hits", lambda k, hit: F.when(hit, F.struct(F.length(k).alias("n"), k.alias("k")))) if fits else None
+    out = out.withColumn("rule", F.array_max(named)["k"] if fits else F.lit(None).cast("string"))
     hosts = candidates(F.col("host"), F.lit(""), host_labels, [0])
     hosts += [whole(F.col("host"), F.col("path"))] if blocked_urls is not None else []
-    listed = F.coalesce(*[F.when(blocked.contains(k), True) for k in hosts], F.lit(False))
-    bad = F.when(F.col("rule").isNotNull(), blocked.contains(F.col("rule"))).otherwise(listed)
-    return out.withColumn("verdict", F.when(bad, "block").otherwise("allow"))
+    asked = F.when(F.col("rule").isNotNull() | F.lit(not hosts), F.array("rule")).otherwise(F.array(*hosts) if hosts else F.array("rule"))
+    out = blocked.members(out.withColumn("_asked", asked), F.col("_asked"), "_listed")
+    return out.withColumn("verdict", F.when(F.exists("_listed", lambda hit: hit), "block").otherwise("allow")).drop("_hits", "_asked", "_listed")
