@@ -812,23 +812,6 @@ def src_sse(s, d):
 # Calibration.
 
 
-@query(
-    "val_score",
-    "WITH k AS (SELECT doc_id, quality = 1 AS ok, toxic = 0 AS fine, n_chars % 5 AS j FROM documents JOIN labels USING (doc_id)) SELECT doc_id, round(CASE WHEN j = 0 THEN CASE WHEN ok THEN CASE WHEN fine THEN 1 ELSE 0.4 END ELSE 0 END WHEN j = 1 THEN (CAST(ok AS INT) + 4) / 5.0 ELSE 0.5 * (CAST(ok AS INT) + 4) / 5.0 + 0.5 * j / 5.0 END, 6) AS score FROM k",
-)
-def val_score(s, d):
-    k = _cases(s, d).select("doc_id", "passed", (~c("failed")).alias("fine"), (c("n_chars") % 5).alias("j"))
-    structural = (c("passed").cast("int") + 4) / 5.0
-    oracle = F.when(c("passed"), F.when(c("fine"), 1.0).otherwise(0.4)).otherwise(0.0)
-    return k.select("doc_id", F.round(F.when(c("j") == 0, oracle).when(c("j") == 1, structural).otherwise(0.5 * structural + 0.5 * c("j") / 5.0), 6).alias("score"))
-
-
-@query("val_profile", "WITH g AS (SELECT source, count(*) AS cases, sum(quality) / count(*) AS score FROM documents JOIN labels USING (doc_id) GROUP BY source) SELECT source, CASE WHEN score < 0.6 THEN 5 ELSE 3 END AS exemplar_limit, CASE WHEN cases > 10 THEN 'exact' ELSE 'skill' END AS exemplar_scope FROM g")
-def val_profile(s, d):
-    g = _cases(s, d).groupBy("source").agg(F.count("*").alias("cases"), (F.count_if("passed") / F.count("*")).alias("score"))
-    return g.select("source", F.when(c("score") < 0.6, 5).otherwise(3).alias("exemplar_limit"), F.when(c("cases") > 10, "exact").otherwise("skill").alias("exemplar_scope"))
-
-
 @query(
     "val_alerts",
     "WITH g AS (SELECT source, count(*) AS cases, CAST(sum(quality) AS BIGINT) AS passed FROM documents JOIN labels USING (doc_id) GROUP BY source), a AS (SELECT source, source || ' passed only ' || passed || '/' || cases AS reason, CASE WHEN passed / cases < 0.8 THEN 'high' ELSE 'low' END AS severity FROM g WHERE passed / cases < 0.9) SELECT * FROM a WHERE source NOT IN ('src1', 'src3')",
@@ -847,34 +830,12 @@ def val_train_pass(s, d):
     return _cases(s, d).groupBy("source").agg((F.try_divide(F.count_if("passed"), F.count("*")) >= 0.6).alias("passed"))
 
 
-@query("val_combine", "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'failed' WHEN bool_or(l_returnflag = 'N') THEN 'needs_review' ELSE 'passed' END AS status FROM lineitem GROUP BY l_orderkey")
-def val_combine(s, d):
-    worst = F.when(F.bool_or(c("l_returnflag") == "R"), "failed").when(F.bool_or(c("l_returnflag") == "N"), "needs_review").otherwise("passed")
-    return table(s, d, "lineitem").groupBy("l_orderkey").agg(worst.alias("status"))
-
-
-@query(
-    "val_export",
-    "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 9 = 0 THEN 'id' END, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'type' END, CASE WHEN abs(o_totalprice / 100 * 10 - floor(o_totalprice / 100 * 10 + 0.5)) >= 1e-6 OR o_totalprice / 100 > 999.9 THEN 'marks' END], lambda x: x IS NOT NULL), ',') AS errors FROM orders",
-)
-def val_export(s, d):
-    marks = c("o_totalprice") / 100
-    fits = (F.abs(marks * 10 - F.floor(marks * 10 + 0.5)) < 1e-6) & (marks <= 999.9)
-    errors = F.array(F.when(c("o_orderkey") % 9 == 0, "id"), F.when(~c("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"), "type"), F.when(~fits, "marks"))
-    return table(s, d, "orders").select("o_orderkey", F.array_join(F.array_compact(errors), ",").alias("errors"))
-
-
 @query("gen_syllabus_slots", "SELECT r_name AS subject, n_name AS section, c_mktsegment AS skill, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def gen_syllabus_slots(s, d):
     t = table(s, d, "customer").join(table(s, d, "nation"), c("c_nationkey") == c("n_nationkey")).join(table(s, d, "region"), c("n_regionkey") == c("r_regionkey"))
     return t.groupBy(c("r_name").alias("subject"), c("n_name").alias("section"), c("c_mktsegment").alias("skill")).agg(F.count("*").alias("n"))
 
 
-@query("st_with_stage", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'F,O' ELSE 'F,O,' || o_orderstatus END AS stages FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'F,O' FROM orders WHERE o_orderstatus = 'F'")
-def st_with_stage(s, d):
-    return table(s, d, "orders").select("o_orderkey", F.array_join(F.array_union(F.array(F.lit("F"), F.lit("O")), F.array("o_orderstatus")), ",").alias("stages"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fallback retrieval for every request, joined to how often its skill was learned."""
     skills = QUERIES["agg_learned_skills"](spark, sf_dir).groupBy("skill_type").agg(F.sum("source_count").alias("sources"), F.sum("mock_count").alias("mocks"))

@@ -330,12 +330,6 @@ def val_verdict(s, d):
     return table(s, d, "orders").select("o_orderkey", *[v.alias(k) for k, v in model.verdict(raw).items()])
 
 
-@query("val_grammar", "WITH {q} SELECT doc_id, array_to_string(list_filter([CASE WHEN stem = '' THEN 'schema' END, CASE WHEN len(options) <> 4 THEN 'options' END, CASE WHEN len(list_distinct(options)) <> len(options) THEN 'repeated' END], lambda x: x IS NOT NULL), ',') AS failed FROM q")
-def val_grammar(s, d):
-    failed = F.array(F.when(c("stem") == "", "schema"), F.when(F.size("options") != 4, "options"), F.when(F.size(F.array_distinct("options")) != F.size("options"), "repeated"))
-    return questions(s, d).select("doc_id", F.array_join(F.array_compact(failed), ",").alias("failed"))
-
-
 @query("val_comprehension", "SELECT conv_id, count(*) > 1 AND bool_or(turn = 0 AND length(text) > 0) AS ok FROM conversations GROUP BY conv_id")
 def val_comprehension(s, d):
     return table(s, d, "conversations").groupBy("conv_id").agg(((F.count("*") > 1) & F.bool_or((c("turn") == 0) & (F.length("text") > 0))).alias("ok"))
@@ -350,27 +344,12 @@ def val_finalize_mock(s, d):
     return t.select("conv_id", "turn", F.concat((c("conv_id") + 1).cast("string"), part).alias("label"))
 
 
-@query("st_ensure_items", "SELECT c_custkey, n FROM (SELECT c_custkey, unnest(generate_series(1, 3)) AS n FROM customer)")
-def st_ensure_items(s, d):
-    return table(s, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
-
-
 @query("st_advance", "SELECT o_orderkey, least(o_custkey % 5 + 1, 4) AS cursor, CASE WHEN o_custkey % 5 + 1 >= 4 THEN 'completed' ELSE 'in_progress' END AS status FROM orders")
 def st_advance(s, d):
     cursor = c("o_custkey") % 5 + 1
     return table(s, d, "orders").select("o_orderkey", F.least(cursor, F.lit(4)).alias("cursor"), F.when(cursor >= 4, "completed").otherwise("in_progress").alias("status"))
 
 
-@query("st_fail", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE o_orderstatus END AS status FROM orders")
-def st_fail(s, d):
-    return table(s, d, "orders").select("o_orderkey", F.when(c("o_orderstatus") == "P", "failed").otherwise(c("o_orderstatus")).alias("status"))
-
-
-@query("st_in_progress", "SELECT o_orderkey, o_orderstatus = 'P' AND o_orderkey % 2 = 0 AS v FROM orders")
-def st_in_progress(s, d):
-    return table(s, d, "orders").select("o_orderkey", ((c("o_orderstatus") == "P") & (c("o_orderkey") % 2 == 0)).alias("v"))
-
-
 @query("set_replace_batch", "SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem WHERE NOT (l_orderkey % 20 = 0 AND l_returnflag = 'A') GROUP BY ALL UNION ALL SELECT o_orderkey, 'A', 7 FROM orders WHERE o_orderkey % 20 = 0")
 def set_replace_batch(s, d):
     kept = table(s, d, "lineitem").where("not (l_orderkey % 20 = 0 and l_returnflag = 'A')").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
