@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -140,13 +139,15 @@ def set_touch(s, d):
 @query("snk_persist", "SELECT o_orderkey, o_orderstatus FROM orders")
 def snk_persist(s, d):
     """The whole table written to a fresh folder of the shared place, and read from there."""
-    base = s.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "questmill-shared")
-    path = f"{base.rstrip('/')}/persist-{uuid.uuid4().hex}"
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local["):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(base or tempfile.gettempdir()).rstrip('/')}/persist-{uuid.uuid4().hex}"
     table(s, d, "orders").select("o_orderkey", "o_orderstatus").write.parquet(path)
     return s.read.parquet(path)
 
 
 @query("src_file_walk")
 def src_file_walk(s, d):
-    """Paths and sizes of all files below a folder."""
-    return s.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{d}/region.parquet").select("path", "length")
+    """Paths and sizes of all files below the folder, at any depth; the files themselves are not read."""
+    return s.read.format("binaryFile").option("recursiveFileLookup", True).load(d).select("path", "length")

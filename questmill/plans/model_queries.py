@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from questmill.functions import rules, text
-from questmill.operators import questions as model
+from questmill.operators import questions as model, reading
 from questmill.operators import structure
 from questmill.plans.library_queries import BOXES, _boxes
 from questmill.plans.text_queries import SKILL, _skill_sql, norm
@@ -279,6 +279,40 @@ def gen_unnumbered(s, d):
     return structure.structured(table(s, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text")))
 
 
+def _sentences(s, d, kind):
+    """Every document's sentences as blocks of a page."""
+    each = table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\. ")).alias("ord", "text"))
+    return each.select("doc_id", "ord", kind.alias("type"), F.concat(F.when(c("ord") % 4 == 0, F.concat((c("ord") / 4 + 1).cast("int").cast("string"), F.lit(". "))).otherwise(""), "text").alias("text"), F.lit(None).cast("string").alias("latex"))
+
+
+@query("gen_from_blocks")
+def gen_from_blocks(s, d):
+    """A page a document: its sentences as blocks of text, formulas and figures, every fourth with a number."""
+    return reading.from_blocks(_sentences(s, d, F.element_at(F.array(*map(F.lit, ("text", "text", "formula", "figure"))), c("ord") % 4 + 1)))
+
+
+@query("gen_crop_text")
+def gen_crop_text(s, d):
+    return reading.from_crops(questions(s, d).select("doc_id", c("stem").alias("text"), F.nullif(F.regexp_extract("number", r"\d+", 0), F.lit("")).alias("number")))
+
+
+@query("gen_release_swallowed", "WITH {q} SELECT doc_id, CASE WHEN length(trim(regexp_replace(stem, '\\s{2,}', ' ', 'g'))) >= 8 THEN trim(regexp_replace(stem, '\\s{2,}', ' ', 'g')) ELSE stem || ' How far is the moon from here?' END AS stem FROM q")
+def gen_release_swallowed(s, d):
+    """Each question has swallowed the next of its page, which was read again."""
+    q = questions(s, d)
+    swallowed = q.select("doc_id", F.lit(0).alias("ord"), F.concat("stem", F.lit(" How far is the moon from here?")).alias("stem"), F.lit(False).alias("extra"))
+    again = q.select("doc_id", F.lit(1).alias("ord"), F.lit("How far is the moon from here?").alias("stem"), F.lit(True).alias("extra"))
+    return reading.release_swallowed(swallowed.union(again)).where("not extra").select("doc_id", "stem")
+
+
+@query("gen_clean_page")
+def gen_clean_page(s, d):
+    """Pages of sentences with numbers, some of which a model has read as well."""
+    pages = _sentences(s, d, F.lit("text")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    modeled = questions(s, d).where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("ord"), "number", c("stem").alias("body"))
+    return reading.clean_pages(pages, modeled, c("doc_id") % 2 == 0)
+
+
 @query("win_row_cluster")
 def win_row_cluster(s, d):
     b = _boxes(s, d).select("page", c("id").alias("ord"), F.lit("x").alias("text"), "x", "y", F.lit(0.1).alias("w"), F.lit(0.02).alias("h"))
