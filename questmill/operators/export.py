@@ -103,7 +103,7 @@ def export_tables(documents: DataFrame, questions: DataFrame, namespace: str) ->
     section_id = uuid("test-section", F.col("document_id"), F.col("section_name"))
     options = flat.select("id", "answer_keys", F.posexplode(learner_options(fields)).alias("at", "o")).withColumn("option_id", uuid("question-option", F.col("id"), F.col("o.key"), F.col("at")))
     right = F.coalesce(F.col("o.is_correct"), F.lit(False)) | F.array_contains("answer_keys", F.col("o.key"))
-    pairs = flat.where("exam_type = 'matching'").select("id", F.posexplode("match_pairs").alias("at", "p"))
+    pairs = flat.select("id", F.posexplode(F.when(F.col("type") == "match_the_following", F.col("match_pairs"))).alias("at", "p"))
     item = lambda side: uuid("matching-item", F.col("id"), side, F.col("at"))
     items = pairs.select("id", "at", F.explode(F.array(*[F.struct(item(s).alias("item"), F.lit(s).alias("side"), key.alias("item_key"), F.col(f"p.{s}").alias("text")) for s, key in (("left", F.char(F.col("at") + 65)), ("right", (F.col("at") + 1).cast("string")))])).alias("i"))
     groups = flat.where("group_order = 1")
