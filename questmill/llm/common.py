@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -42,10 +43,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound what one Arrow batch holds, for the time of one write; the session's own settings come back."""
+    own = {f"spark.sql.execution.arrow.{k}": v for k, v in (("maxRecordsPerBatch", "500"), ("maxBytesPerBatch", str(8 << 20)))}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     # The step's shuffle files are no longer needed. Spark drops them once the driver has collected
     # its own garbage, which a driver with little to do may not do for hours.
     df.sparkSession.sparkContext._jvm.System.gc()

@@ -74,7 +74,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
