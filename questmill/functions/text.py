@@ -249,3 +249,18 @@ def truncated(s: Column, most: int = 60_000) -> Column:
 def transient_error(message: Column) -> Column:
     words = "fetch failed|network|ECONNRESET|ECONNREFUSED|ETIMEDOUT|EAI_AGAIN|socket hang up|und_err|aborted|timed?\\s*out"
     return message.rlike(f"(?i){words}")
+
+
+def choose_transcript(plain: Column, *others: Column) -> Column:
+    """The last of the readings that is no thinner than six tenths of the one chosen before it and loses no numbered head; else the plain one."""
+    chosen = plain
+    for other in others:
+        fuller = (F.coalesce(other, F.lit("")) != "") & (F.length(other) >= 0.6 * F.length(chosen)) & (numbered_heads(other) >= numbered_heads(chosen))
+        chosen = F.when(fuller, other).otherwise(chosen)
+    return chosen
+
+
+def elided(json: Column) -> Column:
+    """A JSON text with data urls and the urls of images replaced, so that no image is stored with it."""
+    images = F.regexp_replace(json, r'"image_url"\s*:\s*\{[^{}]*"url"[^{}]*\}', '"image_url":{"url":"[image elided]"}')
+    return F.regexp_replace(images, r'(?<!\\)"data:(?:[^"\\]|\\.)*"(?!\s*:)', '"[image elided]"')

@@ -179,17 +179,24 @@ def fn_clean_stem(s, d):
     return questions(s, d).select("doc_id", clean.alias("v"))
 
 
-@query("fn_block_text", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '$' || p_name || '$' ELSE trim(p_name) END AS v FROM part")
+@query("fn_block_text", "WITH b AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'formula' WHEN 1 THEN 'text' ELSE 'title' END AS kind, CASE WHEN p_partkey % 5 > 0 THEN ' ' || p_name || ' ' END AS t, CASE p_partkey % 4 WHEN 0 THEN ' x^2 ' WHEN 1 THEN '$y$' WHEN 2 THEN '  ' END AS l FROM part), c AS (SELECT p_partkey, kind, nullif(trim(coalesce(t, '')), '') AS t, nullif(trim(coalesce(l, '')), '') AS l FROM b) SELECT p_partkey, CASE WHEN kind = 'formula' THEN CASE WHEN starts_with(coalesce(l, t), '$') THEN coalesce(l, t) ELSE '$' || coalesce(l, t) || '$' END ELSE coalesce(t, l) END AS v FROM c")
 def fn_block_text(s, d):
-    return table(s, d, "part").select("p_partkey", F.when(c("p_size") % 2 == 0, F.concat(F.lit("$"), c("p_name"), F.lit("$"))).otherwise(F.trim("p_name")).alias("v"))
+    k = c("p_partkey")
+    kind = F.when(c("p_size") % 3 == 0, "formula").when(c("p_size") % 3 == 1, "text").otherwise("title")
+    latex = F.when(k % 4 == 0, " x^2 ").when(k % 4 == 1, "$y$").when(k % 4 == 2, "  ")
+    return table(s, d, "part").select("p_partkey", reading.block_text(kind, F.when(k % 5 > 0, F.concat(F.lit(" "), c("p_name"), F.lit(" "))), latex).alias("v"))
 
 
-@query("fn_choose_transcript", "SELECT d.doc_id, CASE WHEN length(b.text) >= 0.6 * length(d.text) THEN 'reordered' ELSE 'plain' END AS v FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)")
-def fn_choose_transcript(s, d):
-    from questmill.plans.text_queries import _with_item
+HEADS_SQL = "len(list_filter(string_split({0}, chr(10)), lambda l: regexp_matches(l, '^\\s*\\(?\\d{{1,3}}\\s*[.)]')))"
+_TAKE = "CASE WHEN {1} <> '' AND length({1}) >= 0.6 * length({0}) AND " + HEADS_SQL.format("{1}").replace("{1,3}", "{{1,3}}") + " >= " + HEADS_SQL.format("{0}").replace("{1,3}", "{{1,3}}") + " THEN {1} ELSE {0} END"
+
 
-    better = (F.length("item") >= 0.6 * F.length("text")) & (text.numbered_heads(c("item")) >= 0)
-    return _with_item(s, d).select("doc_id", F.when(better, "reordered").otherwise("plain").alias("v"))
+@query("fn_choose_transcript", "WITH b AS (SELECT doc_id, coalesce(text, '') AS p, CASE doc_id % 4 WHEN 0 THEN '1. ' || text WHEN 1 THEN substr(text, 1, 30) WHEN 2 THEN NULL ELSE text || chr(10) || '2) more' END AS o, CASE doc_id % 3 WHEN 0 THEN text || ' +' WHEN 1 THEN '3. ' || text || chr(10) || '4. ' ELSE '' END AS r FROM documents), x AS (SELECT doc_id, " + _TAKE.format("p", "o") + " AS p, r FROM b) SELECT doc_id, md5(" + _TAKE.format("p", "r") + ") AS h FROM x")
+def fn_choose_transcript(s, d):
+    k, t = c("doc_id"), c("text")
+    ordered = F.when(k % 4 == 0, F.concat(F.lit("1. "), t)).when(k % 4 == 1, F.substring(t, 1, 30)).when(k % 4 == 3, F.concat(t, F.lit("\n2) more")))
+    recovered = F.when(k % 3 == 0, F.concat(t, F.lit(" +"))).when(k % 3 == 1, F.concat(F.lit("3. "), t, F.lit("\n4. "))).otherwise("")
+    return table(s, d, "documents").select("doc_id", F.md5(text.choose_transcript(F.coalesce(t, F.lit("")), ordered, recovered)).alias("h"))
 
 
 @query(
@@ -204,10 +211,11 @@ def fn_accept_repair(s, d):
     return t.where("turn = 0").select("conv_id").distinct().join(kept, "conv_id", "left").select("conv_id", F.coalesce("ok", F.lit(True)).alias("v"))
 
 
-@query("fn_elide", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{\"u\":\"[image elided]\"}' ELSE props END AS v FROM events")
+@query("fn_elide", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"u\":\"[image elided]\",\"k\":1}' WHEN 1 THEN '[{\"image_url\":{\"url\":\"[image elided]\"}},\"[image elided]\"]' WHEN 2 THEN '{\"data:x\":\"say \\\"data:y\\\"\"}' ELSE props END AS v FROM events")
 def fn_elide(s, d):
-    raw = F.when(c("event_id") % 2 == 0, F.lit('{"u":"data:image/png;base64,AAAA"}')).otherwise(c("props"))
-    return table(s, d, "events").select("event_id", F.regexp_replace(raw, r'"data:[^"]*"', '"[image elided]"').alias("v"))
+    k = c("event_id") % 4
+    raw = F.when(k == 0, '{"u":"data:image/png;base64,AA\\"A","k":1}').when(k == 1, '[{"image_url":{"url":"http://x/y.png","detail":"low"}},"data:,"]').when(k == 2, '{"data:x":"say \\"data:y\\""}').otherwise(c("props"))
+    return table(s, d, "events").select("event_id", text.elided(raw).alias("v"))
 
 
 @query("fn_data_url", "SELECT p_partkey, 'image/png' AS kind, p_name AS content FROM part")
