@@ -8,9 +8,9 @@ The block joins the counts to its n-grams and sums the scores per document.
 
 Were every block to send to every shard, there would be as many messages as the
 square of the corpus. So blocks form groups, and the hashes of a group's blocks
-are first put together by range: with about as many groups as blocks in a group,
-a message holds many n-grams at any size, and the n-grams that a group's blocks
-share go on once. N-grams travel as sorted arrays of 64-bit hashes, and once per
+are first put together by range: with the square root of the blocks, times a
+factor, in a group, a message holds many n-grams at any size, and the n-grams that
+a group's blocks share go on once. N-grams travel as sorted arrays of 64-bit hashes, and once per
 block however often they occur, so a frequent n-gram is no hot key. Two n-grams
 with one hash would share their counts; of 10^9 n-grams some 0.03 pairs do.
 """
@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a block, about, and the share left to a shorter n-gram.
-BLOCK_CHARS, BACKOFF = 8 << 20, 0.4
+BLOCK_CHARS, BACKOFF = 16 << 20, 0.4
+#: Blocks of a group, in parts of the square root of all: the larger a group, the more n-grams its blocks share.
+GROUP = 4
 #: N-grams of two words and more count from this many occurrences on: what occurs once is known from the scored text alone.
 LEAST_COUNT = 2
 
@@ -154,7 +156,7 @@ def backoff_scores(
     chars, every = rows.agg(F.sum(F.length("text")), F.sum(words)).first()
     n, every = max(1, (chars or 0) // block_chars), every or 1
     # Blocks of a group, ranges of hashes, and shards of a range.
-    ranges = math.isqrt(n - 1) + 1
+    ranges = min(n, GROUP * (math.isqrt(n - 1) + 1))
     shards = -(-n // ranges)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
