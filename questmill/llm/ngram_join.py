@@ -332,9 +332,9 @@ def _bits(ids: DataFrame) -> Broadcast[np.ndarray]:
     """A filter of fixed size, one bit an id, as words."""
     one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))")
     words = ids.select(F.shiftright(_bit("id"), 6).alias("w"), one.alias("o")).groupBy("w").agg(F.bit_or("o").alias("o"))
-    words = words.toPandas()  # at most FILTER_BITS / 64 rows
+    words = words.toArrow()  # at most FILTER_BITS / 64 rows
     held = np.zeros(FILTER_BITS // 64, np.int64)
-    held[words["w"].to_numpy(np.int64)] = words["o"].to_numpy(np.int64)
+    held[words.column("w").to_numpy()] = words.column("o").to_numpy()
     return ids.sparkSession.sparkContext.broadcast(held.view(np.uint64))
 
 
