@@ -12,6 +12,7 @@ from questmill.llm.common import fresh_path, table
 from questmill.llm.embed_dedup import embedding_components
 from questmill.llm.exact_dedup import exact_dedup
 from questmill.llm.html_extract import extract, fit
+from questmill.llm.lexical import build_index, search
 from questmill.llm.lm_score import backoff_scores
 from questmill.llm.ngram_join import ngram_components
 from questmill.llm.packing import pack_sequences, pieces_of
@@ -138,6 +139,26 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH w AS (SELECT doc_id,
+  unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS l FROM d),
+q AS (SELECT DISTINCT item_id,
+  unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+v AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s WHERE term IN (SELECT term FROM q) GROUP BY term),
+x AS (SELECT item_id, t.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // l))))::BIGINT AS score
+  FROM q JOIN v USING (term) JOIN t USING (term) JOIN d ON d.doc_id = t.doc_id CROSS JOIN s GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -149,5 +170,6 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_lexical_search": op11_lexical_search,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_lm_score": OP3_SQL, "op5_url_filter": OP5_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_lm_score": OP3_SQL, "op5_url_filter": OP5_SQL, "op11_lexical_search": OP11_SQL}
