@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 #: Rows of short keys (about 100 bytes each) that may be broadcast, checked by count.
 FEW_ROWS = 200_000
+# Bytes that are part of a term, A-Z lower-cased; all others part terms.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +91,22 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa
             yield batch.slice(start, rows)
 
 
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts in order, as one array of strings, and the number of each text's.
+
+    A term is a longest run of digits, letters and characters beyond ASCII; only A-Z are lower-cased. A null text has none.
+    """
+    raw = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    data = bytes(memoryview(raw.buffers()[2] or b"")[ends[0] : ends[-1]]).translate(_FOLD)
+    folded = pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(data)])
+    parts = pc.ascii_split_whitespace(folded)
+    flat, sizes = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at an end gives an empty part
+    number = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return flat.filter(some), np.diff(number[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)])
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges that connect what a task's edges connect, at most one a vertex: each vertex to its root."""
     up: dict[int, int] = {}

@@ -28,33 +28,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from questmill.llm.common import FEW_ROWS, in_slices, written, written_with
+from questmill.llm.common import FEW_ROWS, in_slices, terms_of, written, written_with
 
 #: A row of the index ends at so many documents or bytes of text; a block is so many documents.
 ROW_DOCS, ROW_BYTES, LEAF = 64, 1 << 18, 4
 #: Bounds that a task holds at a time, and the blocks of each stretch that an item's first pass scores.
 MOST_BOUNDS, FIRST = 4_000_000, 8
 
-# Bytes that are part of a term, A-Z lower-cased; all others part terms.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
 INDEX = "docs int, total long, doc_ids array<long>, sizes array<int>, terms array<string>, dfs array<int>, counts array<int>, refs array<int>, tfs array<int>"
 CUT = "doc_ids array<long>, counts array<int>, terms array<int>, impacts array<int>, widths array<int>, bound_terms array<int>, maxima array<int>"
 
 
-def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All terms of the texts in order, as one array of strings, and the number of each text's."""
-    raw = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
-    data = bytes(memoryview(raw.buffers()[2] or b"")[ends[0] : ends[-1]]).translate(_FOLD)
-    folded = pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(data)])
-    parts = pc.ascii_split_whitespace(folded)
-    flat, sizes = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False)
-    some = pc.greater(pc.binary_length(flat), 0)  # white space at an end gives an empty part
-    number = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
-    return flat.filter(some), np.diff(number[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)])
-
-
 def _lists(values: np.ndarray | list | pa.Array, kind: pa.DataType | None = None) -> pa.Array:
     """One row that holds all values as a list."""
     flat = values if isinstance(values, pa.Array) else pa.array(values, kind)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +12,19 @@ from questmill.llm.embed_dedup import embedding_components
 from questmill.llm.exact_dedup import exact_dedup
 from questmill.llm.html_extract import extract, fit
 from questmill.llm.lexical import build_index, search
+from questmill.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 from questmill.llm.lm_score import backoff_scores
 from questmill.llm.ngram_join import ngram_components
 from questmill.llm.packing import pack_sequences, pieces_of
 from questmill.llm.quality import score, train
+from questmill.llm.token_align import align
 from questmill.llm.token_store import crc_of_tokens, read_tokens, write_tokens
 from questmill.llm.url_filter import host_of, judge_urls, path_of
 
-#: The tokenizer files of the contracts; another folder may be set.
-TOKENIZERS = os.environ.get("QUESTMILL_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE, BYTE_VOCABULARY, END = f"{TOKENIZERS}/byte_bpe_50k.json", 50_257, 0
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+#: The tokenizer files of the contracts.
+BYTE_BPE, BYTE_VOCABULARY, END = public_tokenizers.path("byte_bpe_50k.json"), 50_257, 0
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 # Fixed values of the URL contract.
 URL_RULES = [
@@ -159,6 +160,25 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES, PHRASES)
+    labels = F.array_union(F.col("places.label"), F.col("spans.label"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.first").alias("first_word"),
+        F.array_max("places.first").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("places.label")), ",").alias("base_labels"),
+        F.array_join(F.array_sort(labels), ",").alias("labels"),
+        F.col("coverage").alias("score"),
+    )
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)[0]
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -171,5 +191,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
     "op11_lexical_search": op11_lexical_search,
+    "op12_license_scan": op12_license_scan,
+    "op13_token_align": op13_token_align,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_lm_score": OP3_SQL, "op5_url_filter": OP5_SQL, "op11_lexical_search": OP11_SQL}
