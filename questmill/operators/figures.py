@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from questmill.functions.text import question_key, trimmed
+
 #: Elements that a drawing may hold; a fixed value.
 SVG_TAGS = "svg g defs use circle ellipse line rect polygon polyline path text title".split()
 #: Longest drawing that is accepted; a fixed value.
 MOST_SVG = 200_000
 WIDTH = 160
+#: Words of the layout that are no part of a question; a fixed value.
+LAYOUT_LABEL = r"(?i)\b(?:question figure|answer figures)\b"
+FIGURE = "struct<description:string,caption:string,role:string,x:double,y:double,w:double,h:double>"
 
 
 def figure_rows(boxes: DataFrame) -> DataFrame:
@@ -129,4 +134,101 @@ def exploded_options(answer: Column, wrong: Column, slot: Column) -> Column:
     return F.concat(F.slice(wrong, F.lit(1), slot), F.array(answer), F.slice(wrong, slot + 1, 3 - slot))
 
 
-__all__ = ["exploded_options", "figure_rows", "fractions", "mirrored", "rectangle_svg", "rectangles", "sanitized_svg", "split_figures", "svg_root"]
+def owners(questions: DataFrame, figures: DataFrame, lines: DataFrame) -> DataFrame:
+    """The question of each figure: page, ord (of the question), id, x, y, w, h.
+
+    questions: page, ord, number; figures: page, id, x, y, w, h; lines: page, ord,
+    text, x, y, w. On a page with lines and several questions, a figure belongs to
+    the number printed last above its middle (a little below counts too), in its
+    half of the page if any number is printed there; it has no owner if there is
+    none above. On other pages all belong to the first question. Numbers and figures
+    of a page stream by once, from the top.
+    """
+    keyed = questions.select("page", "ord", question_key(F.col("number")).alias("key"))
+    pages = keyed.groupBy("page").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    pages = pages.join(lines.select("page").distinct().withColumn("lined", F.lit(True)), "page", "left")
+    by_number = (F.col("n") > 1) & F.coalesce("lined", F.lit(False))
+    pages = pages.select("page", "first", by_number.alias("by_number"))
+    boxes = figures.where("x is not null and y is not null").join(pages, "page")
+
+    printed = F.regexp_extract(trimmed(F.col("text")), r"^(\d{1,3})\s*[.)]", 1).try_cast("int").cast("string")
+    anchors = lines.select("page", (F.col("x") + F.col("w") / 2 < 0.5).alias("left"), F.col("y").alias("at"), F.lit(0).alias("kind"), F.col("ord").alias("of"), printed.alias("key"))
+    anchors = anchors.where("key is not null").join(keyed.select("page", "key").distinct(), ["page", "key"], "left_semi")
+    middle = (F.col("x") + F.col("w") / 2 < 0.5).alias("left"), (F.col("y") + F.col("h") / 2 + 0.04).alias("at")
+    placed = boxes.where("by_number").select("page", *middle, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("of"), F.lit(None).cast("string").alias("key"), "id", "x", "y", "w", "h")
+    seen = placed.unionByName(anchors, allowMissingColumns=True)
+    order = ("at", "kind", F.desc("of"))  # of numbers at one height the first counts
+    half, whole = Window.partitionBy("page", "left"), Window.partitionBy("page")
+    any_there = F.max(F.col("key").isNotNull()).over(half)
+    above = F.when(any_there, F.last("key", True).over(half.orderBy(*order))).otherwise(F.last("key", True).over(whole.orderBy(*order)))
+    owned = seen.withColumn("key", above).where("kind = 1").select("page", "key", "id", "x", "y", "w", "h").join(keyed, ["page", "key"])
+    first = boxes.where("not by_number").withColumnRenamed("first", "ord")
+    return owned.select("page", "ord", "id", "x", "y", "w", "h").union(first.select("page", "ord", "id", "x", "y", "w", "h"))
+
+
+def in_rows(boxes: Column) -> Column:
+    """Figures (array of y, x, id, w, h) in order with the row of each: a new one starts at a real gap under the first figure of the last."""
+
+    def place(done: Column, f: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        new = (F.size(done) == 0) | (f["y"] > last["bottom"] + F.greatest(F.lit(0.008), f["h"] * 0.35))
+        row = F.when(F.size(done) == 0, 0).otherwise(last["row"] + new.cast("int"))
+        bottom = F.when(new, f["y"] + f["h"]).otherwise(last["bottom"])
+        return F.concat(done, F.array(F.struct(row.alias("row"), bottom.alias("bottom"), f["x"].alias("x"), f["id"].alias("id"), f["y"].alias("y"), f["w"].alias("w"), f["h"].alias("h"))))
+
+    kind = "array<struct<row:int,bottom:double,x:double,id:bigint,y:double,w:double,h:double>>"
+    return F.aggregate(F.array_sort(boxes), F.array().cast(kind), place)
+
+
+def decorate(questions: DataFrame, figures: DataFrame, lines: DataFrame) -> DataFrame:
+    """questions with the figures of their pages: figures, options, stem and type change, other columns stay.
+
+    questions: page, ord, number, type, stem, options (array of key, text and
+    more), figures (array of FIGURE). A page where a question has a figure with its
+    place already stays as it is. The longest row of a question's figures (of equals
+    the lower) are its options if it has two or more, or four where it is the only
+    row. An option figure whose key is missing gets an option without text; where
+    all texts are but labels, the options are those of the figures. A question with
+    figures is a diagram, and loses the layout's labels from its stem.
+    """
+    placed = F.exists("figures", lambda f: f["x"].isNotNull())
+    done = questions.groupBy("page").agg(F.max(placed).alias("done")).where("done").select("page")
+    owned = owners(questions, figures.join(done, "page", "left_anti"), lines)
+    rows = owned.groupBy("page", "ord").agg(in_rows(F.collect_list(F.struct("y", "x", "id", "w", "h"))).alias("rows"))
+    size = lambda r: F.size(F.filter("rows", lambda f: f["row"] == r))
+    count = F.get("rows", F.size("rows") - 1)["row"] + 1
+    longest = F.array_max(F.transform(F.sequence(F.lit(0), count - 1), lambda r: F.struct(size(r).alias("n"), r.alias("row"))))
+    rows = rows.withColumns({"longest": longest, "several": count > 1})
+    chosen = F.when(F.col("longest.n") >= F.when(F.col("several"), 2).otherwise(4), F.col("longest.row"))
+    # In a row from the left, rows from the top.
+    rows = rows.select("page", "ord", F.array_sort("rows").alias("rows"), chosen.alias("chosen"))
+    rows = rows.withColumns({"drawn": F.filter("rows", lambda f: f["row"] == F.col("chosen")), "shown": F.filter("rows", lambda f: ~F.coalesce(f["row"] == F.col("chosen"), F.lit(False)))})
+
+    figure = lambda f, text, caption, role: F.struct(F.lit(text).alias("description"), caption.cast("string").alias("caption"), F.lit(role).alias("role"), *[f[c].alias(c) for c in "xywh"])
+    now = F.concat(
+        F.transform("shown", lambda f: figure(f, "Question figure", F.lit(None), "question_figure")),
+        F.transform("drawn", lambda f, i: figure(f, "Answer figure", F.char(i + 65), "option_figure")),
+    )
+    drawn = F.coalesce(F.size("drawn"), F.lit(0))
+    item = questions.schema["options"].dataType.elementType
+    bare = lambda key: F.struct(*[(key if f.name == "key" else F.lit("") if f.name == "text" else F.lit(None)).cast(f.dataType).alias(f.name) for f in item.fields])
+    keys = F.transform("drawn", lambda f, i: F.char(i + 65))
+    missing = F.transform(F.filter(keys, lambda k: ~F.exists("options", lambda o: o["key"] == k)), bare)
+    filled = F.concat("options", missing)
+    labels = F.forall("options", lambda o: F.length(trimmed(o["text"])) <= 2)
+    # Of options with one key the last counts.
+    by_key = F.transform(keys, lambda k: F.coalesce(F.try_element_at(F.filter("options", lambda o: o["key"] == k), F.lit(-1)), bare(k)))
+    options = F.when((drawn >= 2) & labels, by_key).when(drawn > 0, filled).otherwise(F.col("options"))
+    stem = trimmed(F.regexp_replace(F.regexp_replace("stem", LAYOUT_LABEL, " "), r"\s+", " "))
+    new = {
+        "options": options,
+        "stem": F.when(F.col("rows").isNull(), F.col("stem")).when(stem != "", stem).otherwise(trimmed(F.col("stem"))),
+        "type": F.when(F.col("rows").isNull(), F.col("type")).otherwise("diagram"),
+        "figures": F.when(F.col("rows").isNull(), F.col("figures")).otherwise(now),
+    }
+    return questions.join(rows, ["page", "ord"], "left").withColumns(new).select(*questions.columns)
+
+
+__all__ = [
+    "FIGURE", "decorate", "exploded_options", "figure_rows", "fractions", "in_rows", "mirrored", "owners", "rectangle_svg", "rectangles", "sanitized_svg", "split_figures", "svg_root",
+]

@@ -1,11 +1,12 @@
-"""Queries for cropped questions, with their DuckDB SQL."""
+"""Queries for cropped questions and their figures, with their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questmill.operators import crops
+from questmill.operators import crops, figures
+from questmill.plans.library_queries import BOXES, _boxes
 from questmill.plans.text_queries import CUT, HEAD, TYPE_SQL, lit, trim
 from questmill.sources.driver_tables import QUESTIONS_SQL, questions
 
@@ -102,3 +103,67 @@ def gen_crop(s, d):
         F.array_join(F.transform("pairs", lambda p: F.concat(p["left"], F.lit("="), p["right"])), "|").alias("pairs"), "reason",
     )
 
+
+
+def _page_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, figures and numbered lines of pages of boxes: three figures a box, choices of four kinds, pages with one question or with placed figures."""
+    b = _boxes(s, d).groupBy("page", "kind").agg(*[F.min(x).alias(x) for x in ("id", "x", "y")])
+    b = b.withColumns({"of": c("kind").cast("long"), "k": c("id") * 10 + c("kind")})
+    option = lambda key, text: F.struct(F.lit(key).alias("key"), F.lit(text).alias("text"), F.lit(None).cast("boolean").alias("is_correct"))
+    none = F.array().cast("array<struct<key:string,text:string,is_correct:boolean>>")
+    choices = (
+        F.when(c("page") % 4 == 0, none).when(c("page") % 4 == 1, F.array(*[option(k, k.lower()) for k in "ABCD"]))
+        .when(c("page") % 4 == 2, F.array(option("A", "a long text"), option("C", "another"))).otherwise(F.array(option("B", "x")))
+    )
+    own = F.struct(F.lit("old").alias("description"), F.lit(None).cast("string").alias("caption"), F.lit(None).cast("string").alias("role"), *[F.lit(0.5).alias(x) for x in "xywh"])
+    asked = b.where("kind <= 3 and k % 5 > 0").select(
+        "page", c("of").alias("ord"), F.concat(F.lit("Q"), c("of").cast("string")).alias("number"), F.lit("mcq").alias("type"),
+        F.concat(F.lit("Look at Question  Figure "), F.lit("question figure "), c("k").cast("string")).alias("stem"), choices.alias("options"),
+        F.when((c("page") % 13 == 0) & (c("of") == 1), F.array(own)).otherwise(F.array().cast(f"array<{figures.FIGURE}>")).alias("figures"),
+    )
+    boxes = b.where("kind > 3").select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    drawn = boxes.select("page", (c("k") * 10 + c("n")).alias("id"), (c("x") * 0.4 + c("n") * 0.2).alias("x"), "y", F.lit(0.1).alias("w"), (c("k") % 7 / 100).alias("h"))
+    lines = b.where("kind <= 3 and page % 3 > 0").select("page", c("of").alias("ord"), F.concat(c("of").cast("string"), F.lit(" . line")).alias("text"), "x", "y", F.lit(0.1).alias("w"))
+    return asked, drawn, lines
+
+
+# Owners by the nearest number above, figure by figure; rows by folding each question's figures.
+_DECORATE_SQL = f"""WITH {BOXES}, k AS (SELECT page, kind, min(x) AS x, min(y) AS y, min(id) * 10 + kind AS k FROM b GROUP BY page, kind),
+q AS (SELECT page, CAST(kind AS BIGINT) AS ord, k, CASE page % 4 WHEN 0 THEN []
+    WHEN 1 THEN [{{'key': 'A', 'text': 'a'}}, {{'key': 'B', 'text': 'b'}}, {{'key': 'C', 'text': 'c'}}, {{'key': 'D', 'text': 'd'}}]
+    WHEN 2 THEN [{{'key': 'A', 'text': 'a long text'}}, {{'key': 'C', 'text': 'another'}}] ELSE [{{'key': 'B', 'text': 'x'}}] END AS options,
+  page % 13 = 0 AND kind = 1 AS placed FROM k WHERE kind <= 3 AND k % 5 > 0),
+p AS (SELECT page, count(*) AS n, min(ord) AS first, bool_or(placed) AS done FROM q GROUP BY page),
+l AS (SELECT page, CAST(kind AS BIGINT) AS ord, x + 0.1 / 2 < 0.5 AS lft, y FROM k WHERE kind <= 3 AND page % 3 > 0),
+f AS (SELECT page, k * 10 + n AS id, x * 0.4 + n * 0.2 AS x, y, k % 7 / 100 AS h FROM k, range(3) r(n) WHERE kind > 3),
+g AS (SELECT f.*, p.first, p.n > 1 AND EXISTS (SELECT 1 FROM l WHERE l.page = f.page) AS numbered FROM f JOIN p ON p.page = f.page WHERE NOT p.done),
+a AS (SELECT l.page, l.ord, l.lft, l.y FROM l WHERE EXISTS (SELECT 1 FROM q WHERE q.page = l.page AND q.ord = l.ord)),
+h AS (SELECT g.*, EXISTS (SELECT 1 FROM a WHERE a.page = g.page AND a.lft = (g.x + 0.1 / 2 < 0.5)) AS has FROM g WHERE numbered),
+o AS (SELECT h.page, arg_max(a.ord, (a.y, -a.ord)) AS ord, h.id, h.x, h.y, h.h FROM h JOIN a ON a.page = h.page AND a.y <= h.y + h.h / 2 + 0.04 AND (NOT has OR a.lft = (h.x + 0.1 / 2 < 0.5)) GROUP BY ALL
+  UNION ALL SELECT page, first, id, x, y, h FROM g WHERE NOT numbered),
+r AS (SELECT page, ord, list_reduce([[z] FOR z IN list_sort(list({{'y': y, 'x': x, 'id': id, 'h': h, 'line': 0, 'bottom': 0.0::DOUBLE}}))],
+  lambda u, z: list_append(u, {{'y': z[1].y, 'x': z[1].x, 'id': z[1].id, 'h': z[1].h, 'line': CASE WHEN len(u) = 0 THEN 0 ELSE u[-1].line + CASE WHEN z[1].y > u[-1].bottom + greatest(0.008, z[1].h * 0.35) THEN 1 ELSE 0 END END,
+    'bottom': CASE WHEN len(u) = 0 OR z[1].y > u[-1].bottom + greatest(0.008, z[1].h * 0.35) THEN z[1].y + z[1].h ELSE u[-1].bottom END}}),
+  []::STRUCT(y DOUBLE, x DOUBLE, id BIGINT, h DOUBLE, line INTEGER, bottom DOUBLE)[]) AS z FROM o GROUP BY page, ord),
+e AS (SELECT page, ord, unnest(z, recursive := true) FROM r),
+n AS (SELECT page, ord, line, count(*) AS n, list(id ORDER BY x, id) AS ids FROM e GROUP BY ALL),
+m AS (SELECT page, ord, max((n, line)) AS best, count(*) AS lines FROM n GROUP BY ALL),
+t AS (SELECT n.page, n.ord, list(ids ORDER BY n.line) FILTER (n.line <> best[2] OR best[1] < CASE WHEN lines > 1 THEN 2 ELSE 4 END) AS shown,
+  coalesce(any_value(ids) FILTER (n.line = best[2] AND best[1] >= CASE WHEN lines > 1 THEN 2 ELSE 4 END), []) AS drawn FROM n JOIN m ON m.page = n.page AND m.ord = n.ord GROUP BY n.page, n.ord),
+v AS (SELECT q.*, t.page IS NOT NULL AS has, coalesce(flatten(shown), []) AS shown, coalesce(drawn, []) AS drawn, [chr(CAST(i + 64 AS INT)) FOR i IN range(1, len(coalesce(drawn, [])) + 1)] AS keys FROM q LEFT JOIN t ON t.page = q.page AND t.ord = q.ord)
+SELECT page, ord, CASE WHEN has THEN 'diagram' ELSE 'mcq' END AS type, CASE WHEN has THEN 'Look at Question Figure ' || k ELSE 'Look at Question  Figure question figure ' || k END AS stem,
+  array_to_string([o.key || '=' || o.text FOR o IN CASE WHEN len(drawn) >= 2 AND len([1 FOR o IN options IF length(o.text) > 2]) = 0
+    THEN [{{'key': key, 'text': coalesce([o.text FOR o IN options IF o.key = key][1], '')}} FOR key IN keys]
+    ELSE options || [{{'key': key, 'text': ''}} FOR key IN keys IF NOT list_contains([o.key FOR o IN options], key)] END], '|') AS options,
+  CASE WHEN placed THEN 'old@0.5' WHEN has THEN array_to_string(['question@' || (len(drawn) + i - i) FOR i IN range(len(shown))] || ['option' || keys[i] FOR i IN range(1, len(drawn) + 1)], '|') ELSE '' END AS figures FROM v"""
+
+
+@query("gen_decorate", _DECORATE_SQL)
+def gen_decorate(s, d):
+    asked, drawn, lines = _page_parts(s, d)
+    size = F.size(F.filter("figures", lambda f: f["role"] == "option_figure"))
+    said = lambda f: F.when(f["role"].isNull(), F.concat(f["description"], F.lit("@"), f["x"].cast("string"))).when(f["role"] == "question_figure", F.concat(F.lit("question@"), size.cast("string"))).otherwise(F.concat(F.lit("option"), f["caption"]))
+    return figures.decorate(asked, drawn, lines).select(
+        "page", "ord", "type", "stem", F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit("="), o["text"])), "|").alias("options"),
+        F.array_join(F.transform("figures", said), "|").alias("figures"),
+    )

@@ -77,3 +77,34 @@ def test_apply_reading(spark):
     assert [tuple(o) for o in one.options] == [("A", "y", None)] and one.figures == [] and one.sub_questions == []
     assert [tuple(o) for o in two.options] == [("A", "y", "b.png")] and two.figures == ["f2"]
     assert three.number == "8" and [tuple(p) for p in three.sub_questions] == [("s",)] and three.confidence == 0.5
+
+
+def test_decorate(spark):
+    from questmill.operators import figures
+
+    option = "array<struct<key:string,text:string,is_correct:boolean>>"
+    four = [(k, k.lower(), k == "B") for k in "ABCD"]
+    asked = [
+        (1, 0, "1", "mcq", "Look. Question Figure:", [("A", "long text", None)], []), (1, 1, "Q 2", "mcq", "ANSWER FIGURES", four, []), (1, 2, "9", "mcq", "none", four, []),
+        (2, 0, None, "mcq", "One row", four, []), (3, 0, "1", "mcq", "Three are no options", [], []), (4, 0, "1", "mcq", "has one", four, [("d", None, None, 0.1, 0.1, 0.1, 0.1)]),
+        (5, 0, "1", "mcq", "question figure", [], []),
+    ]
+    drawn = [(1, 10, 0.1, 0.10, 0.1, 0.05), (1, 11, 0.3, 0.11, 0.1, 0.05), (1, 12, 0.6, 0.1, 0.1, 0.05)]
+    drawn += [(1, 20, 0.1, 0.5, 0.1, 0.05), (1, 23, 0.30, 0.7, 0.1, 0.05), (1, 21, 0.02, 0.71, 0.1, 0.05), (1, 22, 0.2, 0.72, 0.1, 0.05)]
+    drawn += [(2, k, 0.1 * k, 0.3, 0.05, 0.05) for k in range(5)] + [(3, k, 0.1 * k, 0.3, 0.05, 0.05) for k in range(3)] + [(4, 1, 0.1, 0.3, 0.1, 0.1), (5, 1, None, None, None, None)]
+    lines = [(1, 0, "1. first", 0.0, 0.09, 0.4), (1, 1, " 02) second", 0.0, 0.4, 0.4), (1, 2, "7. unknown", 0.0, 0.6, 0.4), (1, 3, "no number", 0.6, 0.0, 0.2)]
+    q = spark.createDataFrame(asked, f"page long, ord long, number string, type string, stem string, options {option}, figures array<{figures.FIGURE}>").withColumn("key", F.lit("own"))
+    f = spark.createDataFrame(drawn, "page long, id long, x double, y double, w double, h double")
+    n = spark.createDataFrame(lines, "page long, ord long, text string, x double, y double, w double")
+    got = {(r.page, r.ord): r for r in figures.decorate(q, f, n).collect()}
+    roles = lambda r: [(x.role[0], x.caption, x.x) for x in r.figures]
+    # The right half has no number, so figure 12 goes by the whole page; three in one row are no options.
+    assert roles(got[1, 0]) == [("q", None, 0.1), ("q", None, 0.3), ("q", None, 0.6)] and got[1, 0].stem == "Look. :" and got[1, 0].type == "diagram"
+    # The lower, longer row holds the options, from the left; choices that are but labels are cut to them.
+    assert roles(got[1, 1]) == [("q", None, 0.1), ("o", "A", 0.02), ("o", "B", 0.2), ("o", "C", 0.3)]
+    assert [tuple(o) for o in got[1, 1].options] == [("A", "a", False), ("B", "b", True), ("C", "c", False)] and got[1, 1].stem == "ANSWER FIGURES"
+    assert got[1, 2].figures == [] and got[1, 2].type == "mcq" and len(got[1, 2].options) == 4
+    assert [o.key for o in got[2, 0].options] == list("ABCDE") and got[2, 0].options[4].text == ""
+    assert got[3, 0].options == [] and len(got[3, 0].figures) == 3
+    assert len(got[4, 0].figures) == 1 and got[4, 0].type == "mcq" and got[5, 0].type == "mcq"
+    assert got[1, 0].key == "own" and len(got) == 7
