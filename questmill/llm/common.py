@@ -84,6 +84,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= FEW_ROWS else df
 
 
+def fenced(docs: DataFrame, **used: str) -> tuple[DataFrame, list[Column]]:
+    """docs with the used columns under our names and all others in one struct, own; and the columns that bring the user's back.
+
+    So no column that a step adds meets one of the user's.
+    """
+    ours = {name: k for k, name in used.items()}
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ours]
+    inner = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in ours.items()], (F.struct(*others) if others else F.lit(0)).alias("own"))
+    return inner, [(F.col(ours[c]) if c in ours else F.col(f"own.`{c}`")).alias(c) for c in docs.columns]
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, to bound what a Python worker makes of one."""
     for batch in batches:
