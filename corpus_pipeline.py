@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questmill.llm.common import ASCII_SPACE, small, table, written, written_with
+from questmill.llm.common import ASCII_SPACE, fenced, small, table, written, written_with
 from questmill.llm.exact_dedup import exact_dedup
 from questmill.llm.ngram_join import ngram_components
 from questmill.llm.packing import pack_sequences, pieces_of
@@ -21,7 +21,7 @@ from questmill.llm.queries import BYTE_BPE, END
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity lies within their language's quantiles; a null or empty text passes."""
-    return score(docs, train(docs, table(spark, sf_dir, "labels"))).where("good").select(*docs.columns)
+    return score(docs, train(docs, table(spark, sf_dir, "labels"))).where("good").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +32,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key = ["_id", "_sha"]
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), ASCII_SPACE, ""), 256)
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "_sha": sha})
+    inner, back = fenced(docs, doc_id="doc_id", text="text")
+    keyed = inner.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "_sha": sha})
     judged = exact_dedup(docs).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
     counts = judged.groupBy(*key, "kept").agg(F.count("*").alias("c"))
     leave, total = written_with(counts.where("not kept or c > 1"), "leave", {"n": F.count("*"), "repeated": F.count_if("kept")})
-    kept = keyed.join(small(leave.select(*key), total["n"]), key, "left_anti").select(*docs.columns)
+    kept = keyed.join(small(leave.select(*key), total["n"]), key, "left_anti").select(*back)
     if not total["repeated"]:
         return kept
     # Rows with equal ids and texts: one of them.
     again = keyed.join(leave.where("kept").select(*key), key)
-    first = F.min(F.struct((-F.length("text")).alias("_n"), *[F.col(c) for c in docs.columns])).alias("_first")
-    return kept.union(again.groupBy(*key).agg(first).select(*[F.col(f"_first.{c}").alias(c) for c in docs.columns]))
+    first = F.min(F.struct((-F.length("text")).alias("_n"), *inner.columns)).alias("_first")
+    return kept.union(again.groupBy(*key).agg(first).select("_first.*").select(*back))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +51,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows get numbers of their own, so rows that share an id are told apart.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    inner, back = fenced(docs, doc_id="doc_id", text="text")
+    rows = written(inner.withColumn("_row", F.monotonically_increasing_id()), "rows")
     groups = ngram_components(rows, id_col="_row").select("_row", F.col("component_id").alias("_group"))
     groups = groups.join(rows.select("_row", "doc_id"), "_row")
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_row")).alias("_stays")
     stays = groups.groupBy("_group").agg(stays, F.count("*").alias("_c")).where("_c > 1")
     goes = groups.join(written(stays, "stays"), "_group").where("_row != _stays._row").select("_row")
     goes, total = written_with(goes, "goes", {"n": F.count("*")})
-    return rows.join(small(goes, total["n"]), "_row", "left_anti").select(*docs.columns)
+    return rows.join(small(goes, total["n"]), "_row", "left_anti").select(*back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
