@@ -246,9 +246,12 @@ def truncated(s: Column, most: int = 60_000) -> Column:
     return F.when(n > most, F.concat(F.substring(s, 1, most), note)).otherwise(s)
 
 
+#: Words of errors that a new try may mend; fixed values.
+TRANSIENT = r"(?i)fetch failed|network|ECONNRESET|ECONNREFUSED|ETIMEDOUT|EAI_AGAIN|socket hang up|und_err|aborted|timed?\s*out"
+
+
 def transient_error(message: Column) -> Column:
-    words = "fetch failed|network|ECONNRESET|ECONNREFUSED|ETIMEDOUT|EAI_AGAIN|socket hang up|und_err|aborted|timed?\\s*out"
-    return message.rlike(f"(?i){words}")
+    return message.rlike(TRANSIENT)
 
 
 def choose_transcript(plain: Column, *others: Column) -> Column:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from questmill.operators import figures
 from questmill.plans.library_queries import _boxes
 from questmill.plans.solver_queries import _ANSWER_SQL, NUMBERS_SQL, fn_solve_checked
 from questmill.sources.driver_tables import PAGE_LINES_SQL, page_lines, table
+from questmill.sources.shared import shared_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,10 +137,7 @@ def set_touch(s, d):
 @query("snk_persist", "SELECT o_orderkey, o_orderstatus FROM orders")
 def snk_persist(s, d):
     """The whole table written to a fresh folder of the shared place, and read from there."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base and not s.sparkContext.master.startswith("local["):
-        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(base or tempfile.gettempdir()).rstrip('/')}/persist-{uuid.uuid4().hex}"
+    path = shared_path(s, "persist")
     table(s, d, "orders").select("o_orderkey", "o_orderstatus").write.parquet(path)
     return s.read.parquet(path)
 

@@ -102,11 +102,6 @@ def snk_paper_json(s, d):
     return n.select("document_id", F.to_json(F.struct(F.lit(1).alias("version"), "question_count")).alias("doc"))
 
 
-@query("snk_asset_store", "SELECT sha256(text) AS checksum, min(doc_id) AS first_id, count(*) AS puts FROM documents GROUP BY sha256(text)")
-def snk_asset_store(s, d):
-    return table(s, d, "documents").groupBy(F.sha2("text", 256).alias("checksum")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("puts"))
-
-
 @query("prj_overlay_dirty", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'local' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN -1.0 ELSE c_acctbal END AS balance FROM customer")
 def prj_overlay_dirty(s, d):
     t = table(s, d, "customer")
