@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from questmill.plans import crop_queries, export_queries, figure_queries, library_queries, model_queries, sink_queries, solver_queries, text_queries, validation_queries
+from questmill.plans import crop_queries, export_queries, figure_queries, library_queries, model_queries, sink_queries, solver_queries, state_queries, text_queries, validation_queries
 from questmill.plans.library_queries import flagship
 
-_PLANS = [crop_queries, figure_queries, library_queries, model_queries, sink_queries, solver_queries, text_queries, export_queries, validation_queries]
+_PLANS = [crop_queries, figure_queries, library_queries, model_queries, sink_queries, solver_queries, state_queries, text_queries, export_queries, validation_queries]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _plan in _PLANS:

@@ -114,16 +114,6 @@ def cls_pattern_analysis(s, d):
     return table(s, d, "events").select("event_id", c("event_type").alias("skill"), F.when(c("value") > 100, 0.9).otherwise(0.5).alias("confidence"), F.when(c("event_type") == "view", "recall").otherwise("apply").alias("intent"))
 
 
-@query("prj_parse_generation", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'paper' END AS mode, CASE WHEN o_orderkey % 3 > 0 THEN coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 7 END, 0) END AS cursor FROM orders")
-def prj_parse_generation(s, d):
-    """Job states from JSON: no state at all for an unknown mode, a default for a bad cursor."""
-    cursor = F.when(c("o_orderkey") % 2 == 0, (c("o_orderkey") % 7).cast("string")).otherwise("x")
-    raw = F.to_json(F.struct(F.when(c("o_orderkey") % 3 > 0, "paper").otherwise("odd").alias("mode"), cursor.alias("cursor")))
-    j = F.from_json(raw, "mode string, cursor string")
-    known = j["mode"].isin("paper", "drill", "mock")
-    return table(s, d, "orders").select("o_orderkey", F.when(known, j["mode"]).alias("mode"), F.when(known, F.coalesce(j["cursor"].try_cast("long"), F.lit(0))).alias("cursor"))
-
-
 @query("fn_prompt_text", "SELECT o_orderkey, 'Write one question of priority ' || o_orderpriority || '.' || chr(10) || 'State: ' || o_orderstatus AS prompt FROM orders")
 def fn_prompt_text(s, d):
     return table(s, d, "orders").select("o_orderkey", F.concat_ws("\n", F.format_string("Write one question of priority %s.", "o_orderpriority"), F.concat(F.lit("State: "), c("o_orderstatus"))).alias("prompt"))

@@ -797,13 +797,6 @@ def src_tesseract_tsv(s, d):
     )
 
 
-@query("src_sse", "WITH {lines} SELECT doc_id, string_agg(line, '' ORDER BY ord) AS body FROM lines WHERE line LIKE 'T%' GROUP BY doc_id")
-def src_sse(s, d):
-    kept = page_lines(s, d).where("line like 'T%'")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
-    return kept.groupBy("doc_id").agg(F.array_join(rows, "").alias("body"))
-
-
 # Calibration.
 
 

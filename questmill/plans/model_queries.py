@@ -420,15 +420,6 @@ def src_json_fence(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object(F.regexp_extract(fenced, r"(?s)(\{.*\})", 1), "$.k").cast("int").alias("k"))
 
 
-@query("src_search_body", "SELECT event_id, 'event ' || event_id || ': ' || event_type AS v FROM events")
-def src_search_body(s, d):
-    first = F.to_json(F.struct(F.concat(F.lit("event "), c("event_id").cast("string")).alias("title"), c("event_type").alias("snippet")))
-    other = F.to_json(F.struct(F.concat(F.lit("event "), c("event_id").cast("string")).alias("name"), c("event_type").alias("content")))
-    j = F.when(c("event_id") % 2 == 0, first).otherwise(other)
-    pick = lambda *ks: F.coalesce(*[F.get_json_object(j, f"$.{k}") for k in ks])
-    return table(s, d, "events").select("event_id", F.concat(pick("title", "name"), F.lit(": "), pick("snippet", "content")).alias("v"))
-
-
 @query("src_ocr_overlay", f"WITH {BOXES} SELECT page, id, x, y FROM b WHERE x > 0.1 AND y > 0.01")
 def src_ocr_overlay(s, d):
     j = F.from_json(F.to_json(F.struct("x", "y")), "x double, y double")
