@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from questmill.sources.shared import shared_path
+
 
 def number_gaps(frame: DataFrame, key: str, number: str) -> DataFrame:
     """Runs of missing positive integers between those of each key: 34-35, or 87."""
@@ -69,3 +71,33 @@ def two_columns(frame: DataFrame, key: str, x: str, gap: float) -> DataFrame:
     wide = (F.col("_all") >= 4) & (F.col("_best._gap") >= gap) & (at - 1 >= 2) & (F.col("_all") - at + 1 >= 2)
     out = step.join(best, key).withColumn("side", F.when(wide & (F.col("_n") >= at), 1).otherwise(0))
     return out.drop("_n", "_gap", "_best", "_all")
+
+
+def running_place(frame: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """frame with each row's place, from 1, in the order of all rows. No task holds more than its range of the order.
+
+    Rows are dealt by ranges of the order and counted within each; what stands
+    before a range comes from the counts of the ranges, one row each. The order must
+    tell all rows apart.
+    """
+    ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # A row's range and its place there are kept with it, so both uses below see the same ranges.
+    path = shared_path(frame.sparkSession, "ranges")
+    ranged.withColumns({"_part": F.shiftright("_id", 33), "_own": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id").write.parquet(path)
+    part = frame.sparkSession.read.parquet(path)
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return part.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_own") + 1).drop("_part", "_own", "_before")
+
+
+def cases_of_run(cases: DataFrame, skills: DataFrame, each: int, most: int) -> DataFrame:
+    """The cases of a run: of each skill the first `each` by rank, skills in their order, and over all skills no more than `most`.
+
+    cases: skill, rank, case_id; skills: skill, place. The caps are the feature.
+    Returns skill, case_id, index (in its skill) and place (in the run), from 1.
+    """
+    own = F.row_number().over(Window.partitionBy("skill").orderBy("rank", "case_id"))
+    few = cases.withColumn("index", own).where(F.col("index") <= each)
+    placed = running_place(few.join(skills, "skill").select("skill", "case_id", "index", F.col("place").alias("_skill")), [F.col("_skill"), F.col("index")])
+    return placed.where(F.col("place") <= most).select("skill", "case_id", "index", "place")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questmill.operators import crops, figures
+from questmill.operators import blocks, crops, figures
 from questmill.plans.library_queries import BOXES, _boxes
 from questmill.plans.text_queries import CUT, HEAD, TYPE_SQL, lit, trim
-from questmill.sources.driver_tables import QUESTIONS_SQL, questions
+from questmill.sources.driver_tables import PAGE_LINES_SQL, QUESTIONS_SQL, page_lines, questions
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -167,3 +167,31 @@ def gen_decorate(s, d):
         "page", "ord", "type", "stem", F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit("="), o["text"])), "|").alias("options"),
         F.array_join(F.transform("figures", said), "|").alias("figures"),
     )
+
+
+# Every document is a block whose sentences got numbers; the SQL cuts off one piece at a time.
+_P = lit(blocks.SWALLOWED)
+_R = lambda v: f"floor(({v}) * 10000 + 0.5) / 10000"
+_IN = lambda v: f"greatest(0.0, least(1.0, {v}))"
+_HEIGHT = lambda v: _R(f"greatest(0.01, {_IN(v)})")
+
+
+@query(
+    "gen_split_swallowed",
+    rf"""WITH RECURSIVE {PAGE_LINES_SQL},
+b AS (SELECT doc_id, CAST(doc_id % 4 AS VARCHAR) AS number, list({{'text': regexp_replace(line, '\. ([A-Z])', ' ' || (ord % 3 + 1) || '. \1', 'g'), 'y': 0.05 + ord * 0.013}} ORDER BY ord) AS l FROM lines GROUP BY doc_id),
+r(doc_id, part, number, l, top, height) AS (SELECT doc_id, 0, number, l, CAST(0.05 AS DOUBLE), CAST(0.9 AS DOUBLE) FROM b
+  UNION ALL SELECT doc_id, part + 1, regexp_extract(t, {_P}, 2), [{{'text': regexp_extract(t, {_P}, 2) || '. ' || {trim(f"regexp_extract(t, {_P}, 3)")}, 'y': l[i].y}}] || l[i + 1:],
+    {_R(_IN("l[i].y"))}, {_HEIGHT("least(top + height - l[i].y, 1 - " + _IN("l[i].y") + ")")}
+  FROM (SELECT *, {trim("l[i].text")} AS t FROM (SELECT *, list_min([k FOR k IN range(1, len(l) + 1) IF regexp_matches({trim("l[k].text")}, {_P}) AND NOT (k = 1 AND regexp_extract({trim("l[k].text")}, {_P}, 2) = number)]) AS i FROM r)) WHERE i IS NOT NULL),
+w AS (SELECT *, lead(l[1].y) OVER (PARTITION BY doc_id ORDER BY part) AS cut, list_min([k FOR k IN range(1, len(l) + 1) IF regexp_matches({trim("l[k].text")}, {_P}) AND NOT (k = 1 AND regexp_extract({trim("l[k].text")}, {_P}, 2) = number)]) AS i FROM r)
+SELECT doc_id, part, number, CASE WHEN i IS NULL THEN top ELSE {_R(_IN("top"))} END AS y, CASE WHEN i IS NULL THEN height ELSE {_HEIGHT("least(cut - top, 1 - " + _IN("top") + ")")} END AS h,
+  array_to_string(CASE WHEN i IS NULL THEN [z.text FOR z IN l] ELSE [z.text FOR z IN l[:i - 1]] || [{trim("regexp_extract(" + trim("l[i].text") + f", {_P}, 1)")}] END, chr(10)) AS text FROM w""",
+)
+def gen_split_swallowed(s, d):
+    said = F.expr(r"regexp_replace(line, '\\. ([A-Z])', concat(' ', ord % 3 + 1, '. $1'))")
+    line = F.struct("ord", said.alias("text"), F.lit(0.1).alias("x"), (c("ord") * 0.013 + 0.05).alias("y"), F.lit(0.5).alias("w"), F.lit(0.01).alias("h"))
+    whole = page_lines(s, d).groupBy(c("doc_id").alias("page")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    box = {"x": 0.1, "y": 0.05, "w": 0.8, "h": 0.9}
+    cut = blocks.split_swallowed(whole.withColumns({"block": F.lit(0), "number": (c("page") % 4).cast("string")} | {k: F.lit(v) for k, v in box.items()}))
+    return cut.select(c("page").alias("doc_id"), "part", "number", "y", "h", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))

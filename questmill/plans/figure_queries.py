@@ -40,13 +40,6 @@ def gen_fractions(s, d):
     return figures.fractions(words)
 
 
-@query("gen_split_swallowed", "WITH {lines}, x AS (SELECT doc_id, ord, line || ' 7. Then the rest' AS line FROM lines WHERE length(line) > 20) SELECT doc_id, ord, regexp_extract(line, '^(.*?[^\\d\\s])\\s+(\\d{1,3})\\s*[.)]\\s+([A-Za-z\"''(].*)$', 2) AS number, regexp_extract(line, '^(.*?[^\\d\\s])\\s+(\\d{1,3})\\s*[.)]\\s+([A-Za-z\"''(].*)$', 3) AS rest FROM x WHERE regexp_matches(line, '^(.*?[^\\d\\s])\\s+(\\d{1,3})\\s*[.)]\\s+([A-Za-z\"''(].*)$')")
-def gen_split_swallowed(s, d):
-    pattern = r"""^(.*?[^\d\s])\s+(\d{1,3})\s*[.)]\s+([A-Za-z"'(].*)$"""
-    x = page_lines(s, d).where(F.length("line") > 20).select("doc_id", c("ord").cast("long").alias("ord"), F.concat(c("line"), F.lit(" 7. Then the rest")).alias("line"))
-    return x.where(c("line").rlike(pattern)).select("doc_id", "ord", F.regexp_extract("line", pattern, 2).alias("number"), F.regexp_extract("line", pattern, 3).alias("rest"))
-
-
 def _mirror(s, d):
     """One seeded rectangle an event and the drawing of its reflection; every fourth is drawn wrong."""
     x, y, w, h = (c("event_id") % 60).cast("int"), (c("user_id") % 90).cast("int"), (c("event_id") % 31 + 9).cast("int"), (c("user_id") % 20 + 5).cast("int")

@@ -102,12 +102,6 @@ def snk_paper_json(s, d):
     return n.select("document_id", F.to_json(F.struct(F.lit(1).alias("version"), "question_count")).alias("doc"))
 
 
-@query("prj_overlay_dirty", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'local' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN -1.0 ELSE c_acctbal END AS balance FROM customer")
-def prj_overlay_dirty(s, d):
-    t = table(s, d, "customer")
-    return t.select("c_custkey", F.when(c("c_custkey") % 2 == 0, "local").otherwise(c("c_mktsegment")).alias("segment"), F.when(c("c_custkey") % 3 == 0, -1.0).otherwise(c("c_acctbal")).alias("balance"))
-
-
 @query("prj_row_policy", "SELECT event_id FROM events WHERE user_id = 12")
 def prj_row_policy(s, d):
     return table(s, d, "events").where("user_id = 12").select("event_id")
@@ -342,11 +336,6 @@ def win_sort_pairs(s, d):
     return pairs.select("l_orderkey", "l_partkey", "l_linenumber", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy(F.asc_nulls_last("p_size"), "l_partkey")).alias("place"))
 
 
-@query("win_case_cap", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 40")
-def win_case_cap(s, d):
-    return windows.capped(table(s, d, "events"), "user_id", [c("event_id")], 40).select("event_id")
-
-
 @query("win_section_order", "SELECT user_id, coalesce(t, 'General') AS section, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS place FROM (SELECT user_id, event_id, CASE WHEN event_id % 8 > 0 THEN event_type END AS t FROM events) GROUP BY user_id, coalesce(t, 'General')")
 def win_section_order(s, d):
     e = table(s, d, "events").withColumn("section", F.when(c("event_id") % 8 > 0, c("event_type")))

@@ -1,4 +1,4 @@
-"""Queries for states and replies in loose JSON, with their DuckDB SQL."""
+"""Queries for states, replies in loose JSON, drafts and runs, with their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from questmill.functions import loose
+from questmill.operators import drafts, windows
 from questmill.plans.text_queries import lit
 from questmill.sources.driver_tables import table
 
@@ -193,3 +194,55 @@ SELECT doc_id, CASE WHEN error IS NULL THEN CASE WHEN trim(content) <> '' THEN c
 )
 def src_sse(s, d):
     return table(s, d, "documents").select("doc_id", loose.chat_answer(_raw(CHATS, c("doc_id"))).alias("a")).select("doc_id", "a.text", "a.error")
+
+
+# Drafts: each column is left, changed by one side, by both or alike; rows without draft, base or saved state.
+@query(
+    "prj_overlay_dirty",
+    """WITH b AS (SELECT c_custkey AS k, c_mktsegment AS segment, c_acctbal AS balance, c_nationkey AS nation FROM customer),
+l AS (SELECT k, CASE WHEN k % 14 = 0 THEN NULL WHEN k % 2 = 0 THEN 'local' ELSE segment END AS segment, CASE WHEN k % 3 = 0 THEN balance + 1 ELSE balance END AS balance,
+  CASE WHEN k % 5 = 0 THEN nation + 1 ELSE nation END AS nation FROM b WHERE k % 13 <> 0),
+s AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'local' WHEN k % 3 = 0 THEN 'saved' WHEN k % 7 = 0 THEN NULL ELSE segment END AS segment, CASE WHEN k % 4 < 2 THEN balance - 1 ELSE balance END AS balance,
+  CASE WHEN k % 6 = 0 THEN nation + 1 WHEN k % 10 = 5 THEN nation + 2 ELSE nation END AS nation FROM b WHERE k % 11 <> 0),
+o AS (SELECT * FROM b WHERE k % 17 <> 0),
+j AS (SELECT s.*, l.k IS NOT NULL AS drafted, o.k IS NULL AS fresh, l.segment AS l1, l.balance AS l2, l.nation AS l3, o.segment AS o1, o.balance AS o2, o.nation AS o3 FROM s LEFT JOIN l ON l.k = s.k LEFT JOIN o ON o.k = s.k),
+d AS (SELECT *, drafted AND (fresh OR l1 IS DISTINCT FROM o1) AS d1, drafted AND (fresh OR l2 IS DISTINCT FROM o2) AS d2, drafted AND (fresh OR l3 IS DISTINCT FROM o3) AS d3 FROM j)
+SELECT k, CASE WHEN d1 THEN l1 ELSE segment END AS segment, CASE WHEN d2 THEN l2 ELSE balance END AS balance, CASE WHEN d3 THEN l3 ELSE nation END AS nation,
+  concat_ws(',', CASE WHEN d1 THEN 'segment' END, CASE WHEN d2 THEN 'balance' END, CASE WHEN d3 THEN 'nation' END) AS dirty,
+  concat_ws(',', CASE WHEN d1 AND NOT fresh AND segment IS DISTINCT FROM o1 AND segment IS DISTINCT FROM l1 THEN 'segment' END,
+    CASE WHEN d2 AND NOT fresh AND balance IS DISTINCT FROM o2 AND balance IS DISTINCT FROM l2 THEN 'balance' END,
+    CASE WHEN d3 AND NOT fresh AND nation IS DISTINCT FROM o3 AND nation IS DISTINCT FROM l3 THEN 'nation' END) AS clashes, d3 AS flush FROM d""",
+)
+def prj_overlay_dirty(s, d):
+    k = c("k")
+    base = table(s, d, "customer").select(c("c_custkey").alias("k"), c("c_mktsegment").alias("segment"), c("c_acctbal").alias("balance"), c("c_nationkey").alias("nation"))
+    local = base.where("k % 13 != 0").withColumns(
+        {
+            "segment": F.when(k % 14 == 0, None).when(k % 2 == 0, "local").otherwise(c("segment")),
+            "balance": F.when(k % 3 == 0, c("balance") + 1).otherwise(c("balance")),
+            "nation": F.when(k % 5 == 0, c("nation") + 1).otherwise(c("nation")),
+        }
+    )
+    saved = base.where("k % 11 != 0").withColumns(
+        {
+            "segment": F.when(k % 4 == 0, "local").when(k % 3 == 0, "saved").when(k % 7 == 0, None).otherwise(c("segment")),
+            "balance": F.when(k % 4 < 2, c("balance") - 1).otherwise(c("balance")),
+            "nation": F.when(k % 6 == 0, c("nation") + 1).when(k % 10 == 5, c("nation") + 2).otherwise(c("nation")),
+        }
+    )
+    merged = drafts.overlay(base.where("k % 17 != 0"), local, saved, "k", ["segment", "balance", "nation"], at_once=["nation"])
+    return merged.withColumns({"dirty": F.array_join("dirty", ","), "clashes": F.array_join("clashes", ",")})
+
+
+# Users are the skills, in an order of their own; a skill's cases are its events by value.
+@query(
+    "win_case_cap",
+    """WITH s AS (SELECT user_id, row_number() OVER (ORDER BY sha1(CAST(user_id AS VARCHAR))) AS place FROM (SELECT DISTINCT user_id FROM events)),
+e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS i FROM events)
+SELECT skill, case_id, CAST(i AS INT) AS index, p AS place FROM (SELECT e.user_id AS skill, event_id AS case_id, i, row_number() OVER (ORDER BY s.place, i) AS p FROM e JOIN s ON s.user_id = e.user_id WHERE i <= 3) WHERE p <= 40""",
+)
+def win_case_cap(s, d):
+    e = table(s, d, "events").select(c("user_id").alias("skill"), (-c("value")).alias("rank"), c("event_id").alias("case_id"))
+    order = F.sha1(c("skill").cast("string").cast("binary"))
+    skills = windows.running_place(e.select("skill").distinct(), [order])
+    return windows.cases_of_run(e, skills, 3, 40)
