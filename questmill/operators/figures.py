@@ -1,4 +1,4 @@
-"""Figures: rows of figures, stacked fractions, mirror images and SVG texts."""
+"""Figures: rows of figures, whose they are, mirror images and SVG texts."""
 
 from __future__ import annotations
 
@@ -51,42 +51,6 @@ def split_figures(rows: DataFrame) -> DataFrame:
     return out.withColumn("part", F.when(chosen & (F.col("row") == F.col("b.row")), "option").otherwise("question")).drop("b", "rows")
 
 
-def fractions(words: DataFrame) -> DataFrame:
-    """words (page, id, n, x, y) to page, top, bottom, latex: stacked integers as fractions.
-
-    The closest pairs are taken first and no word twice. Pages stream by, one held
-    at a time.
-    """
-
-    def of(page: int, ws: list[tuple]) -> list[tuple]:
-        near = []
-        for i, (a, _, ax, ay) in enumerate(ws):
-            for b, _, bx, by in ws[i + 1 :]:
-                if 0 < by - ay < 0.03 and abs(bx - ax) < 0.02:
-                    near.append(((by - ay) + abs(bx - ax), a, b))
-        used, out, text = set(), [], {w[0]: w[1] for w in ws}
-        for _, a, b in sorted(near):
-            if a not in used and b not in used:
-                used |= {a, b}
-                out.append((page, a, b, rf"\frac{{{text[a]}}}{{{text[b]}}}"))
-        return out
-
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.page != now:
-                    out += of(now, held)
-                    now, held = row.page, []
-                held.append((row.id, row.n, row.x, row.y))
-            yield pd.DataFrame(out, columns=["page", "top", "bottom", "latex"])
-        yield pd.DataFrame(of(now, held), columns=["page", "top", "bottom", "latex"])
-
-    ordered = words.select("page", "id", "n", "x", "y").repartition("page").sortWithinPartitions("page", "y", "x", "id")
-    return ordered.mapInPandas(pages, "page long, top long, bottom long, latex string")
-
-
 def rectangle_svg(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.format_string('<svg><rect x="%d" y="%d" width="%d" height="%d"/></svg>', x, y, w, h)
 
@@ -230,5 +194,5 @@ def decorate(questions: DataFrame, figures: DataFrame, lines: DataFrame) -> Data
 
 
 __all__ = [
-    "FIGURE", "decorate", "exploded_options", "figure_rows", "fractions", "in_rows", "mirrored", "owners", "rectangle_svg", "rectangles", "sanitized_svg", "split_figures", "svg_root",
+    "FIGURE", "decorate", "exploded_options", "figure_rows", "in_rows", "mirrored", "owners", "rectangle_svg", "rectangles", "sanitized_svg", "split_figures", "svg_root",
 ]

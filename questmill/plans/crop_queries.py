@@ -1,11 +1,11 @@
-"""Queries for cropped questions and their figures, with their DuckDB SQL."""
+"""Queries for cropped questions, their figures and the text of pages, with their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questmill.operators import blocks, crops, figures
+from questmill.operators import blocks, crops, figures, page_text
 from questmill.plans.library_queries import BOXES, _boxes
 from questmill.plans.text_queries import CUT, HEAD, TYPE_SQL, lit, trim
 from questmill.sources.driver_tables import PAGE_LINES_SQL, QUESTIONS_SQL, page_lines, questions
@@ -195,3 +195,48 @@ def gen_split_swallowed(s, d):
     box = {"x": 0.1, "y": 0.05, "w": 0.8, "h": 0.9}
     cut = blocks.split_swallowed(whole.withColumns({"block": F.lit(0), "number": (c("page") % 4).cast("string")} | {k: F.lit(v) for k, v in box.items()}))
     return cut.select(c("page").alias("doc_id"), "part", "number", "y", "h", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
+
+
+def _page_lines(s: SparkSession, d: str) -> DataFrame:
+    """Boxes of pages as lines: numbered heads, numbers alone and words, some without text or extent."""
+    k = c("id") * 10 + c("kind")
+    text = F.when(c("kind") <= 5, F.concat(c("kind").cast("string"), F.lit(".  head "), k.cast("string"))).when(c("kind") == 6, " (7) ").when(k % 11 == 0, " ").otherwise(F.concat(F.lit("w "), k.cast("string")))
+    return _boxes(s, d).select("page", k.cast("long").alias("ord"), text.alias("text"), (c("x") * 0.9).alias("x"), "y", F.when(k % 13 == 0, 0.0).otherwise(0.1).alias("w"), (k % 5 / 100 + 0.01).alias("h"))
+
+
+@query(
+    "gen_ordered_text",
+    rf"""WITH {BOXES}, k AS (SELECT *, id * 10 + kind AS k FROM b),
+l AS (SELECT page, k AS ord, trim(CASE WHEN kind <= 5 THEN kind || '.  head ' || k WHEN kind = 6 THEN ' (7) ' WHEN k % 11 = 0 THEN ' ' ELSE 'w ' || k END) AS text, x * 0.9 AS x, y,
+  k % 5 / 100 + 0.01 AS h FROM k WHERE k % 13 <> 0),
+u AS (SELECT * FROM l WHERE text <> ''),
+n AS (SELECT *, row_number() OVER w AS r, x - lag(x) OVER w AS gap, count(*) OVER (PARTITION BY page) AS n FROM u WHERE regexp_matches(text, {lit(page_text.NUMBER_HEAD)}) WINDOW w AS (PARTITION BY page ORDER BY x, ord)),
+g AS (SELECT page, n, arg_max(r, (gap, -r)) AS r, max(gap) AS gap FROM n WHERE gap IS NOT NULL GROUP BY page, n),
+m AS (SELECT n.page, greatest(0, least(1, (greatest(0, max(x + 0.1) FILTER (n.r < g.r)) + least(1, min(x) FILTER (n.r >= g.r))) / 2)) AS mid FROM n JOIN g ON g.page = n.page
+  WHERE g.n >= 4 AND g.gap >= 0.18 AND g.r > 2 AND g.n - g.r >= 1 GROUP BY n.page),
+s AS (SELECT u.*, coalesce(x + 0.1 / 2 >= mid, false) AS side FROM u LEFT JOIN m ON m.page = u.page),
+p AS (SELECT page, side, list_reduce([[z] FOR z IN list_sort(list({{'y': y, 'x': x, 'ord': ord, 'h': h, 'text': text, 'line': 0, 'top': 0.0::DOUBLE, 'low': 0.0::DOUBLE}}))], lambda a, z: list_append(a,
+    CASE WHEN len(a) > 0 AND z[1].y + z[1].h / 2 BETWEEN a[-1].top - greatest(a[-1].low - a[-1].top, z[1].h, 0.01) * 0.25 AND a[-1].low + greatest(a[-1].low - a[-1].top, z[1].h, 0.01) * 0.25
+    THEN {{'y': z[1].y, 'x': z[1].x, 'ord': z[1].ord, 'h': z[1].h, 'text': z[1].text, 'line': a[-1].line, 'top': least(a[-1].top, z[1].y), 'low': greatest(a[-1].low, z[1].y + z[1].h)}}
+    ELSE {{'y': z[1].y, 'x': z[1].x, 'ord': z[1].ord, 'h': z[1].h, 'text': z[1].text, 'line': CASE WHEN len(a) = 0 THEN 0 ELSE a[-1].line + 1 END, 'top': z[1].y, 'low': z[1].y + z[1].h}} END),
+  []::STRUCT(y DOUBLE, x DOUBLE, ord BIGINT, h DOUBLE, "text" VARCHAR, line INTEGER, top DOUBLE, low DOUBLE)[]) AS a FROM s GROUP BY page, side),
+e AS (SELECT page, side, unnest(a, recursive := true) FROM p),
+r AS (SELECT page, side, line, list(text ORDER BY x, y, ord) AS t FROM e GROUP BY ALL),
+q AS (SELECT page, side, line, trim(regexp_replace(CASE WHEN len(t) > 1 AND regexp_matches(t[1], {{number}}) THEN regexp_extract(t[1], {{number}}, 1) || '. ' || array_to_string(t[2:], ' ') ELSE array_to_string(t, ' ') END, '\s+', ' ', 'g')) AS said FROM r)
+SELECT page, string_agg(said, chr(10) ORDER BY side, line) AS text FROM q GROUP BY page""".replace("{number}", lit(page_text.NUMBER_ALONE)),
+)
+def gen_ordered_text(s, d):
+    return page_text.page_texts(_page_lines(s, d))
+
+
+@query("gen_fractions", "")
+def gen_fractions(s, d):
+    """Boxes as words, most of them numbers, on a page of closer words."""
+    k = c("id") * 10 + c("kind")
+    text = F.when(k % 4 == 0, "word").otherwise((k % 97 + 1).cast("string"))
+    words = _boxes(s, d).select("page", k.cast("long").alias("ord"), text.alias("text"), (c("x") * 0.1).alias("x"), (c("y") * 0.1).alias("y"), F.lit(0.02).alias("w"), F.lit(0.02).alias("h"))
+    found = page_text.stacked_fractions(words)
+    return found.select("page", "text", F.size("fractions").alias("n"))
+
+
+del ORACLE_SQL["gen_fractions"]

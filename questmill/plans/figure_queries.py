@@ -34,12 +34,6 @@ def gen_split_figures(s, d):
     return figures.split_figures(figures.figure_rows(_figures(s, d))).select("page", "id", "row", "part")
 
 
-@query("gen_fractions")
-def gen_fractions(s, d):
-    words = _boxes(s, d).select("page", "id", (c("id") % 90 + 1).cast("string").alias("n"), "x", "y")
-    return figures.fractions(words)
-
-
 def _mirror(s, d):
     """One seeded rectangle an event and the drawing of its reflection; every fourth is drawn wrong."""
     x, y, w, h = (c("event_id") % 60).cast("int"), (c("user_id") % 90).cast("int"), (c("event_id") % 31 + 9).cast("int"), (c("user_id") % 20 + 5).cast("int")

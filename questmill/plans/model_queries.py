@@ -327,15 +327,6 @@ def win_row_cluster(s, d):
     return structure.reading_order(b)
 
 
-@query("gen_ordered_text")
-def gen_ordered_text(s, d):
-    """The text of every order's boxes in reading order, a line a row."""
-    b = _boxes(s, d).select("page", c("id").alias("ord"), c("id").cast("string").alias("text"), "x", "y", F.lit(0.1).alias("w"), F.lit(0.02).alias("h"))
-    placed = structure.reading_order(b).join(b.select("page", "ord", "text"), ["page", "ord"])
-    rows = placed.groupBy("page", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("line"))
-    return rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
-
-
 @query("gen_blocks", f"WITH {BOXES}, h AS (SELECT page, id, y, coalesce(lead(y) OVER (PARTITION BY page ORDER BY y, id), 2) AS bottom FROM b WHERE kind <= 2) SELECT h.page, h.id AS head, h.y, count(*) AS lines FROM h JOIN b ON b.page = h.page AND b.y >= h.y AND b.y < h.bottom GROUP BY h.page, h.id, h.y")
 def gen_blocks(s, d):
     from questmill.operators.windows import next_top

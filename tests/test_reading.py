@@ -1,4 +1,4 @@
-"""Reader blocks, crops and pages to questions, against cases written out by hand; figures, fractions and the file walk too."""
+"""Reader blocks, crops and pages to questions, against cases written out by hand; figures and the file walk too."""
 
 from pyspark.sql import functions as F
 
@@ -31,12 +31,10 @@ def test_clean_pages(spark):
     assert sorted((r.doc_id, r.source) for r in got) == [(1, "split"), (1, "split"), (2, "model"), (3, "model"), (5, "split")]
 
 
-def test_figures_and_fractions(spark):
+def test_figures(spark):
     boxes = spark.createDataFrame([(1, 1, 0.1, 0.10, 0.1), (1, 2, 0.1, 0.40, 0.1), (1, 3, 0.4, 0.41, 0.1), (2, 4, 0.1, 0.1, 0.1), (3, 5, 0.1, 0.1, 0.1), (3, 6, 0.3, 0.1, 0.1), (3, 7, 0.5, 0.1, 0.1), (3, 8, 0.7, 0.1, 0.1)], "page long, id long, x double, y double, h double")
     got = {r.id: (r.row, r.part) for r in figures.split_figures(figures.figure_rows(boxes)).collect()}
     assert got == {1: (0, "question"), 2: (1, "option"), 3: (1, "option"), 4: (0, "question"), **{k: (0, "option") for k in (5, 6, 7, 8)}}
-    words = spark.createDataFrame([(1, 1, "3", 0.5, 0.10), (1, 2, "4", 0.5, 0.12), (1, 3, "9", 0.5, 0.135), (1, 4, "7", 0.9, 0.11), (2, 5, "1", 0.5, 0.125)], "page long, id long, n string, x double, y double")
-    assert [(r.page, r.top, r.bottom, r.latex) for r in figures.fractions(words).collect()] == [(1, 2, 3, r"\frac{4}{9}")]
 
 
 def test_file_walk(spark):
