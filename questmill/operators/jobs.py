@@ -42,3 +42,75 @@ def failed(item: Column, error: Column, most: int = 2) -> Column:
 def incomplete() -> Column:
     """Whether a job is still to be finished; no job is not."""
     return F.coalesce(F.col("status") != "completed", F.lit(False))
+
+
+#: Attempts of an item, how a finished one stands, and the stages that a failed attempt undoes; fixed values.
+MOST_ATTEMPTS = 2
+DONE = ("completed", "needs_review")
+UNDONE = ("generation", "validation", "asset")
+REPLY = "struct<sequence:int,attempt:int,verdict:string,question_id:string,error:string>"
+
+
+def is_done(item: Column) -> Column:
+    return item["status"].isin(*DONE)
+
+
+def after_reply(item: Column, reply: Column) -> Column:
+    """An item after the reply to its current attempt; replies to other attempts, and to a finished item, change nothing.
+
+    A question that passed completes it, one that needs review awaits a person. A
+    failed one is asked for again, and after the last attempt awaits a person too. An
+    error fails the attempt.
+    """
+    tries = item["attempt_count"] + 1
+    kept = F.filter(item["completed_stages"], lambda s: ~s.isin(*UNDONE))
+    again = item.withField("attempt_count", tries).withField("status", F.lit("retryable")).withField("validation_status", F.lit("failed")).withField("completed_stages", kept)
+    passed = reply["verdict"] == "passed"
+    ended = item
+    for stage in ("analysis", "generation", "validation", "asset", "review"):
+        ended = with_stage(ended, F.lit(stage))
+    ended = ended.withField("attempt_count", tries).withField("candidate_question_id", reply["question_id"]).withField("last_error", F.lit(None).cast("string"))
+    ended = ended.withField("validation_status", F.when(passed, "passed").otherwise("needs_review")).withField("status", F.when(passed, "completed").otherwise("needs_review"))
+    outcome = (
+        F.when(reply["verdict"] == "error", failed(item, reply["error"], MOST_ATTEMPTS))
+        .when((reply["verdict"] == "failed") & (tries < MOST_ATTEMPTS), again)
+        .otherwise(ended)
+    )
+    current = ~is_done(item) & (item["status"] != "failed") & (reply["attempt"] == item["attempt_count"])
+    return F.when(current, outcome).otherwise(item)
+
+
+def run_items(jobs: DataFrame, replies: DataFrame) -> DataFrame:
+    """jobs with items after all replies (job_id, sequence, attempt, verdict, question_id, error), and their progress.
+
+    Items run in order: replies to items behind one that is not done wait. Adds
+    cursor, pairs (source_question_id, question_id), status and last_error; see
+    advance. Repeated replies count once. A job's items and replies are one group,
+    which its number of questions bounds.
+    """
+    given = replies.select("job_id", F.struct("sequence", "attempt", "verdict", "question_id", "error").cast(REPLY).alias("r")).where("r.sequence is not null and r.attempt is not null")
+    of = given.groupBy("job_id").agg(F.array_sort(F.collect_list("r")).alias("_replies"))
+    whole = jobs.join(of, "job_id", "left")
+    blank = lambda x: x.withField("candidate_question_id", F.lit(None).cast("string")).withField("validation_status", F.lit(None).cast("string"))
+    mine = lambda x: F.filter(F.coalesce("_replies", F.array().cast(f"array<{REPLY}>")), lambda r: r["sequence"] == x["sequence"])
+    whole = whole.withColumn("items", F.transform("items", blank))
+    whole = whole.withColumn("_ran", F.transform("items", lambda x: F.aggregate(mine(x), x, after_reply)))
+    reached = leading_done(F.col("_ran"))
+    ran = whole.withColumn("_cursor", reached).withColumn("items", F.transform("items", lambda x, i: F.when(i <= F.col("_cursor"), F.get("_ran", i)).otherwise(x)))
+    return advance(ran.drop("_replies", "_ran", "_cursor"))
+
+
+def leading_done(items: Column) -> Column:
+    """How many items are done before the first that is not."""
+    return F.coalesce(F.nullif(F.array_position(F.transform(items, is_done), F.lit(False)), F.lit(0)) - 1, F.size(items)).cast("int")
+
+
+def advance(jobs: DataFrame) -> DataFrame:
+    """jobs with cursor (the first item that is not done), pairs of the done ones before it, status and last_error.
+
+    A job is completed behind its last item, failed where the item at its cursor is.
+    """
+    at = F.get("items", F.col("cursor"))
+    pairs = F.transform(F.slice("items", F.lit(1), F.col("cursor")), lambda x: F.struct(x["source_question_id"].alias("source_question_id"), x["candidate_question_id"].alias("question_id")))
+    status = F.when(F.col("cursor") >= F.size("items"), "completed").when(at["status"] == "failed", "failed").otherwise("in_progress")
+    return jobs.withColumn("cursor", leading_done(F.col("items"))).withColumns({"pairs": pairs, "status": status, "last_error": at["last_error"]})

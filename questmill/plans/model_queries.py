@@ -377,12 +377,6 @@ def val_finalize_mock(s, d):
     return t.select("conv_id", "turn", F.concat((c("conv_id") + 1).cast("string"), part).alias("label"))
 
 
-@query("st_advance", "SELECT o_orderkey, least(o_custkey % 5 + 1, 4) AS cursor, CASE WHEN o_custkey % 5 + 1 >= 4 THEN 'completed' ELSE 'in_progress' END AS status FROM orders")
-def st_advance(s, d):
-    cursor = c("o_custkey") % 5 + 1
-    return table(s, d, "orders").select("o_orderkey", F.least(cursor, F.lit(4)).alias("cursor"), F.when(cursor >= 4, "completed").otherwise("in_progress").alias("status"))
-
-
 @query("set_replace_batch", "SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem WHERE NOT (l_orderkey % 20 = 0 AND l_returnflag = 'A') GROUP BY ALL UNION ALL SELECT o_orderkey, 'A', 7 FROM orders WHERE o_orderkey % 20 = 0")
 def set_replace_batch(s, d):
     kept = table(s, d, "lineitem").where("not (l_orderkey % 20 = 0 and l_returnflag = 'A')").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from questmill.functions import loose
-from questmill.operators import drafts, windows
+from questmill.operators import drafts, jobs, windows
 from questmill.plans.text_queries import lit
 from questmill.sources.driver_tables import table
 
@@ -246,3 +246,56 @@ def win_case_cap(s, d):
     order = F.sha1(c("skill").cast("string").cast("binary"))
     skills = windows.running_place(e.select("skill").distinct(), [order])
     return windows.cases_of_run(e, skills, 3, 40)
+
+
+# Customers are jobs of up to four questions; replies come for most attempts, in any order and some twice.
+_VERDICTS = ["passed", "failed", "needs_review", "failed", "error", "passed"]
+_JOBS_SQL = f"""j AS (SELECT c_custkey AS k, CAST(c_custkey % 5 AS INT) AS total FROM customer),
+i AS (SELECT k, total, CAST(n AS INT) AS seq FROM j, range(4) r(n) WHERE n < total),
+r AS (SELECT *, CASE WHEN (k + seq) % 7 > 0 THEN [{", ".join(map(lit, _VERDICTS))}][(k + seq * 3) % 6 + 1] END AS r0, CASE WHEN (k + seq + 1) % 7 > 0 THEN [{", ".join(map(lit, _VERDICTS))}][(k + seq * 3 + 2) % 6 + 1] END AS r1 FROM i),
+o AS (SELECT *, CASE WHEN r0 IS NULL THEN 'pending' WHEN r0 = 'passed' THEN 'completed' WHEN r0 = 'needs_review' THEN r0 WHEN r1 IS NULL THEN CASE r0 WHEN 'error' THEN 'pending' ELSE 'retryable' END
+    WHEN r1 = 'error' THEN 'failed' WHEN r1 = 'passed' THEN 'completed' ELSE 'needs_review' END AS st,
+  CASE WHEN r0 IS NULL THEN 0 WHEN r0 IN ('passed', 'needs_review') OR r1 IS NULL THEN 1 ELSE 2 END AS tries FROM r),
+f AS (SELECT k, total, min(seq) FILTER (st NOT IN ('completed', 'needs_review')) AS stop FROM o GROUP BY k, total)"""
+
+
+def _jobs(s, d):
+    k = c("c_custkey")
+    base = table(s, d, "customer").select(
+        k.cast("string").alias("job_id"), F.when(k % 2 == 0, "from_source").otherwise("from_instructions").alias("mode"), (k % 5).cast("int").alias("planned_count"),
+        F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < k % 5), lambda i: F.concat(F.lit("s"), i.cast("string"))).alias("source_question_ids"), F.array().cast(f"array<{jobs.ITEM}>").alias("items"),
+    )
+    tries = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct((i % 4).alias("sequence"), F.floor(i / 4).cast("int").alias("attempt")))
+    each = table(s, d, "customer").select(k, F.explode(F.concat(tries, F.slice(tries, 3, 2))).alias("t")).select("c_custkey", "t.*")
+    verdict = F.element_at(F.array(*map(F.lit, _VERDICTS)), ((k + c("sequence") * 3 + c("attempt") * 2) % 6 + 1).cast("int"))
+    given = each.where((k + c("sequence") + c("attempt")) % 7 > 0).select(
+        k.cast("string").alias("job_id"), "sequence", "attempt", verdict.alias("verdict"), F.concat_ws("-", F.lit("q"), "sequence", "attempt").alias("question_id"),
+        F.when(verdict == "error", "no reply").alias("error"),
+    )
+    return jobs.run_items(jobs.ensure_items(base), given)
+
+
+@query(
+    "st_run_item",
+    f"""WITH {_JOBS_SQL}, x AS (SELECT o.*, o.seq <= coalesce(f.stop, o.total) AS ran FROM o JOIN f ON f.k = o.k)
+SELECT CAST(k AS VARCHAR) AS job_id, seq AS sequence, CASE WHEN ran THEN st ELSE 'pending' END AS status, CASE WHEN ran THEN CAST(tries AS INT) ELSE 0 END AS attempt_count,
+  CASE WHEN ran THEN CASE WHEN st = 'completed' THEN 'passed' WHEN st = 'needs_review' THEN st WHEN r0 = 'failed' THEN r0 END END AS validation_status,
+  CASE WHEN ran AND st IN ('completed', 'needs_review') THEN 'q-' || seq || '-' || (tries - 1) END AS question_id,
+  CASE WHEN ran AND (st = 'failed' OR st = 'pending' AND r0 = 'error') THEN 'no reply' END AS last_error,
+  CASE WHEN ran AND st IN ('completed', 'needs_review') THEN 'analysis+generation+validation+asset+review' ELSE '' END AS stages FROM x""",
+)
+def st_run_item(s, d):
+    x = _jobs(s, d).select("job_id", F.explode("items").alias("x"))
+    return x.select("job_id", "x.sequence", "x.status", "x.attempt_count", "x.validation_status", c("x.candidate_question_id").alias("question_id"), "x.last_error", F.array_join("x.completed_stages", "+").alias("stages"))
+
+
+@query(
+    "st_advance",
+    f"""WITH {_JOBS_SQL}, g AS (SELECT j.k, j.total, coalesce(f.stop, j.total) AS cursor FROM j LEFT JOIN f ON f.k = j.k),
+p AS (SELECT k, string_agg(CASE WHEN k % 2 = 0 THEN 's' || seq ELSE '-' END || '>q-' || seq || '-' || (tries - 1), '|' ORDER BY seq) AS pairs FROM o JOIN g USING (k) WHERE seq < cursor GROUP BY k)
+SELECT CAST(g.k AS VARCHAR) AS job_id, CAST(cursor AS INT) AS cursor, CASE WHEN cursor >= g.total THEN 'completed' WHEN o.st = 'failed' THEN 'failed' ELSE 'in_progress' END AS status, coalesce(pairs, '') AS pairs,
+  CASE WHEN o.st = 'failed' OR o.st = 'pending' AND o.r0 = 'error' THEN 'no reply' END AS last_error FROM g LEFT JOIN p ON p.k = g.k LEFT JOIN o ON o.k = g.k AND o.seq = g.cursor""",
+)
+def st_advance(s, d):
+    pairs = F.transform("pairs", lambda p: F.concat(F.coalesce(p["source_question_id"], F.lit("-")), F.lit(">"), p["question_id"]))
+    return _jobs(s, d).select("job_id", "cursor", "status", F.array_join(pairs, "|").alias("pairs"), "last_error")
