@@ -111,6 +111,23 @@ def _by(spec: Spec, key: str, cases: dict[str, Column], otherwise: Column | None
     return out if otherwise is None else out.otherwise(otherwise)
 
 
+#: Tags of the numbered statements; fixed values.
+QUESTION_TAGS = ("isn't she", "haven't they", "can't he", "don't you", "isn't it", "shouldn't we")
+
+
+def _clock(hour: Column) -> Column:
+    """Where an hour hand points: the four quarters, and the ways between."""
+    between = F.get(F.array(*map(F.lit, ("NE", "SE", "SW", "NW"))), F.floor(hour / 3).cast("int"))
+    straight = F.get(F.array(*map(F.lit, ("North", "East", "South", "West"))), F.floor(F.pmod(hour, F.lit(12)) / 3).cast("int"))
+    return F.when(hour.between(1, 12), F.when(hour % 3 == 0, straight).otherwise(between))
+
+
+def _odd_one(xs: Column, rule: Column) -> Column:
+    """The one of four different numbers that is no multiple of 2 or 3, where the others are."""
+    odd = F.filter(xs, lambda x: x % rule != 0)
+    return F.when(rule.isin(2, 3) & (F.size(xs) == 4) & (F.size(F.array_distinct(xs)) == 4), _single(odd))
+
+
 SOLVERS: dict[str, Callable[[Spec], Column]] = {
     "letter_series": lambda s: F.char(F.pmod(F.ascii(s.text("start")) - 65 + s.n("step") * s.n("shown"), F.lit(26)) + 65),
     "coding_decoding": lambda s: _shifted(s.text("word"), s.n("shift")),
@@ -171,6 +188,9 @@ SOLVERS: dict[str, Callable[[Spec], Column]] = {
     "data_interpretation": lambda s: _by(s, "rule", {"total": _s(_sum(s.ns("values")))}, F.get(s.words("labels"), F.array_position(s.ns("values"), F.array_max(s.ns("values"))).cast("int") - 1)),
     "graphs": lambda s: _s(s.n("slope") * s.n("x") + s.n("intercept")),
     "matrix_coding": lambda s: F.when(s.text("word").rlike("^[A-Z]+$"), F.array_join(F.transform(F.filter(F.split(s.text("word"), ""), lambda x: x != ""), lambda x: (F.ascii(x) - 64).cast("string")), "-")),
+    "clock_direction": lambda s: _clock(s.n("hour")),
+    "odd_one_out": lambda s: _odd_one(s.ns("values"), s.n("rule")),
+    "question_tags": lambda s: F.get(F.array(*map(F.lit, QUESTION_TAGS)), s.n("index").cast("int")),
     "syllogism": lambda s: F.concat(F.lit("All "), s.text("a"), F.lit(" are "), s.text("c"), F.lit(".")),
 }
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from questmill.operators import figures
 from questmill.plans.library_queries import _boxes
-from questmill.plans.solver_queries import _ANSWER_SQL, NUMBERS_SQL, fn_solve_checked
 from questmill.sources.driver_tables import PAGE_LINES_SQL, page_lines, table
 from questmill.sources.shared import shared_path
 
@@ -81,16 +80,6 @@ def fn_svg_root(s, d):
     return table(s, d, "part").select("p_partkey", figures.svg_root(_svg()).alias("v"))
 
 
-@query("gen_checked", f"WITH {NUMBERS_SQL}, x AS (SELECT event_id, {_ANSWER_SQL} AS answer FROM n), w AS (SELECT event_id, answer, [answer || '0', '1' || answer, answer || ' x'] AS w, event_id % 4 AS slot FROM x WHERE answer IS NOT NULL) SELECT event_id, chr(CAST(65 + slot AS INT)) AS correct_key, array_to_string(list_concat(list_concat(w[1:slot], [answer]), w[slot + 1:3]), ' | ') AS options FROM w")
-def gen_checked(s, d):
-    """Four options for every seeded question that has an answer; the answer stands in slot seed mod 4."""
-    # explode() drops the rows without an answer and, unlike a filter, has the answer computed once.
-    answers = fn_solve_checked(s, d).select("event_id", F.explode(F.when(c("answer").isNotNull(), F.array("answer"))).alias("answer"))
-    wrong = F.array(F.concat(c("answer"), F.lit("0")), F.concat(F.lit("1"), c("answer")), F.concat(c("answer"), F.lit(" x")))
-    slot = (c("event_id") % 4).cast("int")
-    return answers.select("event_id", F.char(slot + 65).alias("correct_key"), F.array_join(figures.exploded_options(c("answer"), wrong, slot), " | ").alias("options"))
-
-
 @query("prj_generation_spec", "SELECT o_orderkey, '{\"skill\":\"' || o_orderpriority || '\",\"grade\":' || (o_custkey % 12 + 1) || '}' AS spec FROM orders")
 def prj_generation_spec(s, d):
     return table(s, d, "orders").select("o_orderkey", F.to_json(F.struct(c("o_orderpriority").alias("skill"), (c("o_custkey") % 12 + 1).alias("grade"))).alias("spec"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from questmill.functions.build import BUILDERS, built
 from questmill.functions.solve import SOLVERS, parsed, solve
 from questmill.sources.driver_tables import table
 
@@ -130,9 +131,26 @@ def val_series(s: SparkSession, d: str) -> DataFrame:
     return t.select("event_id", rule.alias("rule"), (nxt == F.element_at("terms", 6)).alias("passed"))
 
 
-QUERIES = {f.__name__: f for f in (fn_solve_checked, val_checked, fn_local_solution, cls_oracle_skill, gen_series, val_series)}
+_BUILT = sorted(BUILDERS)
+
+
+def gen_checked(s: SparkSession, d: str) -> DataFrame:
+    """A seeded question for every event, of all skills in turn; what the solver says of it, and how many options differ."""
+    skill = F.get(F.array(*map(F.lit, _BUILT)), (F.col("event_id") % len(_BUILT)).cast("int"))
+    e = table(s, d, "events").select("event_id", skill.alias("skill"))
+    made = e.select("event_id", "skill", F.inline(F.array(built(F.col("skill"), F.col("event_id")))))
+    checked = made.select("*", F.inline(F.array(F.struct(solve(F.col("spec")).alias("solved")))))
+    return checked.select(
+        "event_id", "skill", (F.length("stem") > 10).alias("asked"), (F.col("solved") == F.col("answer")).alias("confirmed"),
+        F.size(F.array_distinct("options")).alias("options"), (F.get("options", F.col("slot")) == F.col("answer")).alias("placed"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (gen_checked, fn_solve_checked, val_checked, fn_local_solution, cls_oracle_skill, gen_series, val_series)}
 _TERMS = "CASE WHEN event_id % 2 = 0 THEN [a + b * i FOR i IN generate_series(0, 5)] ELSE [CAST(e * 2 ** i AS BIGINT) FOR i IN generate_series(0, 5)] END"
 ORACLE_SQL = {
+    # The draws cannot be said in DuckDB; its SQL states what holds for every question.
+    "gen_checked": f"SELECT event_id, [{', '.join(repr(n) for n in _BUILT)}][event_id % {len(_BUILT)} + 1] AS skill, true AS asked, true AS confirmed, 4 AS options, true AS placed FROM events",
     "fn_solve_checked": f"WITH {NUMBERS_SQL} SELECT event_id, {_ANSWER_SQL} AS answer FROM n",
     "val_checked": f"WITH {NUMBERS_SQL}, x AS (SELECT event_id, {_ANSWER_SQL} AS answer FROM n) SELECT event_id, CASE WHEN answer IS NULL THEN 'needs_review' WHEN event_id % 3 = 0 THEN 'failed' ELSE 'passed' END AS status FROM x",
     "fn_local_solution": f"WITH {NUMBERS_SQL}, x AS (SELECT event_id, {_ANSWER_SQL} AS answer FROM n) SELECT event_id, 'The answer is ' || answer || '.' AS explanation FROM x",
