@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Unset, a folder of this machine serves where it is the only one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "questmill-shared")
     return found.rstrip("/")
@@ -96,10 +98,13 @@ def fenced(docs: DataFrame, **used: str) -> tuple[DataFrame, list[Column]]:
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, to bound what a Python worker makes of one."""
+    """The batches in slices of few rows, to bound what a Python worker makes of one. Behind the last, the worker gives free memory back."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
