@@ -29,7 +29,7 @@ from questmill.llm.common import in_slices, session_dir, written
 from questmill.llm.html_nodes import INLINE, Node, features, parse, shown, text_of
 
 #: Made-up pages to fit on, trees, and their depth.
-PAGES, TREES, DEPTH = 1200, 24, 5
+PAGES, TREES, DEPTH = 1800, 40, 5
 #: A private character that the pages themselves never hold.
 _MARK = "\ue000"
 
@@ -84,7 +84,7 @@ class _Maker:
         out = [f"<h1>{self.words(2, 10, m)}</h1>"] if r.random() < 0.85 else []
         if out and r.random() < 0.15:
             out = [f"<header>{out[0]}</header>"]
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14])):
+        for _ in range(r.choice([0, 0, 1, 1, 1, 2, 3, 5, 8, 14])):
             kind = r.random()
             if kind < 0.78:
                 out.append(self.paragraph(m))
@@ -92,7 +92,9 @@ class _Maker:
                 out.append(f"<h{r.choice('234')}>{self.words(1, 6, m)}</h2>")
             elif kind < 0.91:
                 out.append("<ul>" + "".join(f"<li>{self.words(2, 14, m)}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
-            elif kind < 0.94:
+            elif kind < 0.925:  # links with what is said of each
+                out.append("<ul>" + "".join(f'<li><a href="/{i}">{self.words(1, 4, m)}</a> {self.words(2, 14, m)}</li>' for i in range(r.randint(2, 8))) + "</ul>")
+            elif kind < 0.945:
                 out.append(f"<blockquote><p>{self.words(5, 30, m)}</p></blockquote>")
             elif kind < 0.96:
                 cells = lambda: "".join(f"<td>{self.words(1, 4, m)}</td>" for _ in range(3))
@@ -132,7 +134,7 @@ class _Maker:
     def page(self) -> str:
         r = self.r
         head = f"<head><meta charset=utf-8><title>{self.words(2, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-        edge = lambda names, tags: self.box(r.choice([f"<p>{self.words(2, 12)}</p>", self.words(2, 14), self.links(2, 6), f"<h2>{self.words(1, 4)}</h2>" + self.links(1, 5)]), tags, names)
+        edge = lambda names, tags: self.box(r.choice([f"<p>{self.words(2, 12)}</p>", self.words(2, 14), f"&copy; {self.words(1, 2)} &middot; {self.words(3, 14)}", self.links(2, 6), f"<h2>{self.words(1, 4)}</h2>" + self.links(1, 5)]), tags, names)
         before, after = [], []
         if r.random() < 0.6:
             before.append(edge("header site-header masthead top topbar page-header", "header header div"))
@@ -151,15 +153,29 @@ class _Maker:
         text = self.article()
         if r.random() < 0.15 and "comment" not in text:
             text += self.talk()
-        core = self.box(text, "article article main div div section", "article post content entry-content main-content story post-body article-body text prose page-content blog-post", 0.55)
-        if r.random() < 0.3:
-            core = self.box(core, "main div section", "main content container wrapper page primary", 0.6)
+        shape = r.random()
+        if shape < 0.3:  # no box, or one without a name
+            tag = r.choice("section div div main article".split())
+            core = text if shape < 0.18 else f"<{tag}>{text}</{tag}>"
+        else:
+            core = self.core(text)
+        if r.random() < 0.12:
+            before, after = [], []
+        elif r.random() < 0.1:
+            before = []
         body = "".join(before) + core + "".join(after)
         if r.random() < 0.3:
             body = self.box(body, "div div section", "page wrapper container site app layout root", 0.7)
         end = "" if r.random() < 0.2 else "</body></html>"
         return f"<!DOCTYPE html><html lang=en>{head}<body>{body}{end}"
 
+    def core(self, text: str) -> str:
+        r = self.r
+        core = self.box(text, "article article main div div section", "article post content entry-content main-content story post-body article-body text prose page-content blog-post", 0.55)
+        if r.random() < 0.3:
+            core = self.box(core, "main div section", "main content container wrapper page primary", 0.6)
+        return core
+
 
 def made_page(seed: int) -> tuple[str, str]:
     """A made-up page and its main text."""
