@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from questmill.operators import push
 from questmill.operators import export, trees
 from questmill.plans.text_queries import NAMESPACE
+from questmill.sources.shared import shared_path
 from questmill.sources.question_trees import LIBRARY_DOCUMENTS_SQL, LIBRARY_QUESTIONS_SQL, library_documents, library_questions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +142,50 @@ SELECT id, {_images.format("list_filter(figures, lambda f: f.image_path IS DISTI
 {_images.format("list_filter(flatten([x.figures FOR x IN sub_questions]), lambda f: f.image_path IS DISTINCT FROM path)")} AS parts FROM t"""
 QUERIES["tree_remove_option"] = lambda s, d: trees.remove_option(library_questions(s, d), F.lit("B")).select("id", F.array_join(F.transform("options", lambda o: F.concat(o["key"], o["text"])), ",").alias("options"), F.array_join("answer_keys", ",").alias("answer_keys"))
 ORACLE_SQL["tree_remove_option"] = f"WITH {LIBRARY_QUESTIONS_SQL} SELECT id, array_to_string([o.key || o.text FOR o IN options IF o.key <> 'B'], ',') AS options, array_to_string([k FOR k IN answer_keys IF k <> 'B'], ',') AS answer_keys FROM lib"
+
+
+# Units of a push, from the export's tables as they are written; the remote side lacks some rows and has others in Hindi.
+def _export_written(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The export's tables as a push reads them: written first, as each serves several joins."""
+    root = shared_path(s, "export")
+    for name, t in export.export_tables(library_documents(s, d), library_questions(s, d), NAMESPACE).items():
+        t.write.parquet(f"{root}/{name}")
+    return {name: s.read.parquet(f"{root}/{name}") for name in EXPORT_SQL}
+
+
+def _push_unit(s: SparkSession, d: str) -> DataFrame:
+    units = push.checked(push.push_units(_export_written(s, d)))
+    return units.select("question_id", "link.kind", "counts.*", F.col("group.id").alias("group_id"), F.col("question.diagram_path").isNull().alias("bare"))
+
+
+def _presence(s: SparkSession, d: str) -> DataFrame:
+    tables = _export_written(s, d)
+    twice = lambda t: t.union(t.withColumn("language_code", F.lit("hi")))
+    remote = tables | {
+        "question_translations": twice(tables["question_translations"]), "question_options": tables["question_options"].where("display_order != 2"),
+        "option_translations": twice(tables["option_translations"].where("option_text != 'a'")), "question_tags": tables["question_tags"].where("tag != 'age'"),
+        "paper_questions": tables["paper_questions"].where("question_order % 3 > 0"), "question_group_translations": twice(tables["question_group_translations"]),
+    }
+    return push.presence(push.push_units(tables), remote)
+
+
+_PUSH_SQL = f"WITH {FLAT_SQL}, " + ", ".join(f"x_{name} AS ({sql})" for name, sql in EXPORT_SQL.items())
+_N = lambda name, where="true", alias="n": f"(SELECT question_id, count(*) AS {alias} FROM x_{name} WHERE {where} GROUP BY question_id)"
+QUERIES["jn_push_unit"] = _push_unit
+ORACLE_SQL["jn_push_unit"] = f"""{_PUSH_SQL},
+ot AS (SELECT o.question_id, count(*) AS n FROM x_option_translations t JOIN x_question_options o ON o.id = t.option_id GROUP BY o.question_id),
+gt AS (SELECT g.question_id, g.group_id, count(t.group_id) > 0 AS said FROM x_group_questions g LEFT JOIN x_question_group_translations t ON t.group_id = g.group_id GROUP BY ALL)
+SELECT q.id AS question_id, CASE WHEN EXISTS (SELECT 1 FROM x_paper_questions p WHERE p.question_id = q.id) THEN 'paper' ELSE 'test' END AS kind, 1 AS translations,
+  coalesce(o.n, 0)::INT AS options, coalesce(ot.n, 0)::INT AS option_translations, coalesce(t.n, 0)::INT AS tags, coalesce(mi.n, 0)::INT AS matching_items, coalesce(mp.n, 0)::INT AS matching_pairs,
+  CASE WHEN gt.group_id IS NULL THEN 0 ELSE 1 END AS group_links, CASE WHEN coalesce(gt.said, false) THEN 1 ELSE 0 END AS group_translations, gt.group_id, true AS bare
+FROM x_questions q LEFT JOIN {_N("question_options")} o ON o.question_id = q.id LEFT JOIN ot ON ot.question_id = q.id LEFT JOIN {_N("question_tags")} t ON t.question_id = q.id
+LEFT JOIN {_N("matching_items")} mi ON mi.question_id = q.id LEFT JOIN {_N("matching_pairs")} mp ON mp.question_id = q.id LEFT JOIN gt ON gt.question_id = q.id"""
+QUERIES["jn_presence"] = _presence
+ORACLE_SQL["jn_presence"] = f"""{_PUSH_SQL},
+ot AS (SELECT o.question_id, count(*) AS n FROM x_option_translations t JOIN x_question_options o ON o.id = t.option_id WHERE t.option_text <> 'a' GROUP BY o.question_id),
+gt AS (SELECT g.question_id, count(t.group_id) AS n FROM x_group_questions g LEFT JOIN x_question_group_translations t ON t.group_id = g.group_id GROUP BY g.question_id),
+l AS (SELECT question_id FROM x_paper_questions WHERE question_order % 3 > 0 UNION SELECT question_id FROM x_test_questions)
+SELECT q.id AS question_id, q.id IN (SELECT question_id FROM l) AS linked, 1 AS translations, coalesce(o.n, 0) AS options, coalesce(ot.n, 0) AS option_translations, coalesce(t.n, 0) AS tags,
+  coalesce(mi.n, 0) AS matching_items, coalesce(mp.n, 0) AS matching_pairs, coalesce(g.n, 0) AS group_links, coalesce(gt.n, 0) AS group_translations
+FROM x_questions q LEFT JOIN {_N("question_options", "display_order <> 2")} o ON o.question_id = q.id LEFT JOIN ot ON ot.question_id = q.id LEFT JOIN {_N("question_tags", "tag <> 'age'")} t ON t.question_id = q.id
+LEFT JOIN {_N("matching_items")} mi ON mi.question_id = q.id LEFT JOIN {_N("matching_pairs")} mp ON mp.question_id = q.id LEFT JOIN {_N("group_questions")} g ON g.question_id = q.id LEFT JOIN gt ON gt.question_id = q.id"""

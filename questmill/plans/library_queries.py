@@ -654,19 +654,6 @@ def jn_catalog_name(s, d):
     return asked.join(names, F.lower(F.trim("name")) == c("alias")).groupBy("p_partkey").agg(F.min("n_nationkey").alias("id"))
 
 
-@query("jn_push_unit", "SELECT o_orderkey, count(l_partkey) AS children, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
-def jn_push_unit(s, d):
-    kids = table(s, d, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list("l_partkey")).alias("k"))
-    out = table(s, d, "orders").select("o_orderkey").join(kids, "o_orderkey", "left")
-    return out.select("o_orderkey", F.coalesce(F.size("k"), F.lit(0)).cast("long").alias("children"), F.coalesce(F.array_join(c("k").cast("array<string>"), ","), F.lit("")).alias("parts"))
-
-
-@query("jn_presence", "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY l_orderkey")
-def jn_presence(s, d):
-    p = table(s, d, "lineitem").groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).count()
-    return p.select("l_orderkey", *[F.coalesce(x, F.lit(0)).alias(x.lower()) for x in ("A", "N", "R")])
-
-
 @query("jn_assert_ids", "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey <> 5)")
 def jn_assert_ids(s, d):
     known = table(s, d, "supplier").where("s_nationkey != 5").select(c("s_suppkey").alias("l_suppkey"))
