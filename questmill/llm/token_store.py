@@ -128,6 +128,23 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(rows, "doc_id long, start long, n_tokens long, tokens array<long>")
 
 
+def read_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """doc_id and tokens of the documents with these ids: only their blocks are read, and of these only their bits are unpacked."""
+    wanted = set(ids)
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    some = blocks.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in wanted]))) if wanted else blocks.where("false")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, 64):
+            for b in batch.to_pylist():
+                ends = np.cumsum(b["counts"])
+                at = [k for k, doc in enumerate(b["doc_ids"]) if doc in wanted]
+                found = [unpack(b["payload"], b["bits"], b["counts"][k], int(ends[k]) - b["counts"][k]).astype(np.int64) for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array([b["doc_ids"][k] for k in at], pa.int64()), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], names=["doc_id", "tokens"])
+
+    return some.select("doc_ids", "counts", "bits", "payload").mapInArrow(rows, "doc_id long, tokens array<long>")
+
+
 def crc_of_tokens(store: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
 

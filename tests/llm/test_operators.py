@@ -467,6 +467,10 @@ def test_token_store(spark, docs, rows):
         start += n
         want.add((i, crc))
     assert want == {(i, zlib.crc32(np.append(e.ids(t), np.uint32(0)).astype("<u4"))) for i, t in rows}
+    some = [7, 11, 3, 10_000]  # 3 stands there twice, the last nowhere
+    one = sorted((r.doc_id, r.tokens) for r in token_store.read_documents(spark, path, some).collect())
+    assert one == sorted((i, [*e.ids(t).tolist(), 0]) for i, t in rows if i in some)
+    assert token_store.read_documents(spark, path, []).count() == 0
     token_store.write_tokens(empty(spark, docs), path + "e", BYTE_BPE, 50_257, 0)
     assert token_store.read_tokens(spark, path + "e").count() == 0
 
