@@ -9,6 +9,7 @@ from questmill.operators import blocks, crops, figures, page_text
 from questmill.plans.library_queries import BOXES, _boxes
 from questmill.plans.text_queries import CUT, HEAD, TYPE_SQL, lit, trim
 from questmill.sources.driver_tables import PAGE_LINES_SQL, QUESTIONS_SQL, page_lines, questions
+from questmill.sources.question_trees import LIBRARY_QUESTIONS_SQL, library_questions
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -240,3 +241,31 @@ def gen_fractions(s, d):
 
 
 del ORACLE_SQL["gen_fractions"]
+
+
+# Every question of the library is read again: in other words, some without a number, some as comprehension, every fourth in graphics mode.
+@query(
+    "prj_apply_crop",
+    f"""WITH {LIBRARY_QUESTIONS_SQL}, k AS (SELECT *, CAST(substr(id, 2) AS BIGINT) AS k FROM lib)
+SELECT id, page, CASE WHEN k % 2 = 0 THEN number ELSE '9' END AS number, CASE WHEN k % 3 = 0 THEN 'comprehension' ELSE 'mcq' END AS type, upper(stem) AS stem, NULL::VARCHAR AS instructions,
+  array_to_string([o.key || '=' || o.text || CASE WHEN k % 4 = 0 THEN '@new.png' ELSE '' END FOR o IN options], '|') AS options,
+  CASE WHEN k % 4 = 0 THEN least(len(figures), 1) ELSE 0 END AS figures, CASE WHEN k % 3 = 0 THEN len(sub_questions) ELSE 0 END AS parts, CASE WHEN k % 5 > 0 THEN 0.5 ELSE 0.25 END AS confidence,
+  false AS approved, NULL::VARCHAR AS approval_status, NULL::VARCHAR AS hint, NULL::VARCHAR AS explanation, tags FROM k""",
+)
+def prj_apply_crop(s, d):
+    k = F.substr(c("id"), F.lit(2)).cast("bigint")
+    q = library_questions(s, d).withColumns({"k": k, "confidence": F.lit(0.25), "approved": F.lit(True)})
+    now = F.struct(*[c(x) for x in q.columns])
+    options = F.transform("options", lambda o: o.withField("image_path", F.lit("new.png")))
+    read = {
+        "id": F.lit("other"), "number": F.when(c("k") % 2 == 0, " ").otherwise("9"), "type": F.when(c("k") % 3 == 0, "comprehension").otherwise("mcq"), "stem": F.upper("stem"),
+        "instructions": F.lit(None).cast("string"), "options": options, "figures": F.slice("figures", 1, 1), "sub_questions": F.slice("sub_questions", 1, 0),
+        "confidence": F.when(c("k") % 5 > 0, 0.5), "hint": F.lit("read"), "approved": F.lit(True),
+    }
+    reading = F.struct(*[read.get(x, c(x)).alias(x) for x in q.columns])
+    done = q.select("k", now.alias("now"), reading.alias("reading")).select("k", crops.apply_reading(c("now"), c("reading"), c("k") % 4 == 0).alias("q"))
+    said = F.transform("q.options", lambda o: F.concat(o["key"], F.lit("="), o["text"], F.coalesce(F.concat(F.lit("@"), o["image_path"]), F.lit(""))))
+    return done.select(
+        "q.id", "q.page", "q.number", "q.type", "q.stem", "q.instructions", F.array_join(said, "|").alias("options"), F.size("q.figures").alias("figures"), F.size("q.sub_questions").alias("parts"),
+        "q.confidence", "q.approved", "q.approval_status", "q.hint", "q.explanation", "q.tags",
+    )

@@ -155,13 +155,6 @@ def prj_line_boxes(s, d):
     return page_lines(s, d).select("doc_id", c("ord").cast("long").alias("ord"), "line").where(F.trim("line") != "")
 
 
-@query("prj_apply_crop", "SELECT a.o_orderkey, CASE WHEN a.o_orderkey % 2 = 0 THEN 'crop' ELSE a.o_orderpriority END AS stem, CASE WHEN a.o_orderkey % 2 = 1 THEN a.o_orderstatus END AS hint FROM orders a")
-def prj_apply_crop(s, d):
-    crop = table(s, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("crop").alias("new"))
-    o = table(s, d, "orders").join(crop, "o_orderkey", "left")
-    return o.select("o_orderkey", F.coalesce("new", "o_orderpriority").alias("stem"), F.when(c("new").isNull(), c("o_orderstatus")).alias("hint"))
-
-
 @query("prj_repair_merge", "SELECT o_orderkey, CAST(least(3, 1 + o_custkey % 4) AS INT) AS passes FROM orders")
 def prj_repair_merge(s, d):
     return table(s, d, "orders").select("o_orderkey", F.least(F.lit(3), (c("o_custkey") % 4 + 1).cast("int")).alias("passes"))
