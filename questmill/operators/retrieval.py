@@ -50,16 +50,33 @@ def ladder(requests: DataFrame, index: DataFrame, levels: Sequence[Sequence[str]
 
     levels: the columns that must agree, from strict to loose, each set within the
     one before; a null in a request is a wildcard. The loosest level's first column
-    is the join key. One join and two windows replace a query per level.
+    must be given. What a request asks at a level is a set of columns with values:
+    the index keeps its first rows for each set of columns in use (at most two to
+    the power of the columns) and its values, and requests meet these few rows, not
+    the index.
     """
-    base = levels[-1][0]
-    asked = requests.select("request_id", *[F.col(c).alias(f"_{c}") for c in levels[0]])
-    pairs = index.join(asked, F.col(base) == F.col(f"_{base}"))
-    agrees = lambda cs: F.coalesce(*[F.when(F.col(f"_{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_{c}")), False) for c in cs], F.lit(True))
-    level = F.coalesce(*[F.when(agrees(cs), i) for i, cs in enumerate(levels)])
-    hit = pairs.withColumn("level", level).where("level is not null")
-    hit = hit.withColumn("_best", F.min("level").over(Window.partitionBy("request_id"))).where("level = _best")
-    return top_per(hit, ["request_id"], [F.col("is_mock"), F.desc("created_at"), F.col(key)], limit).drop("_best", *[f"_{c}" for c in levels[0]])
+    columns, base = list(levels[0]), levels[-1][0]
+    bit = {c: 1 << i for i, c in enumerate(columns)}
+    given = lambda cs: sum(F.when(F.col(c).isNotNull(), bit[c]).otherwise(0) for c in cs)
+    at = F.array(*[F.struct(F.lit(i).alias("level"), given(cs).alias("mask")) for i, cs in enumerate(levels)])
+    asked = requests.where(F.col(base).isNotNull()).select("request_id", *columns, F.explode(at).alias("at")).select("request_id", *columns, "at.*")
+    masks = [r.mask for r in asked.select("mask").distinct().collect()]  # sets of columns
+
+    def masked(c: str) -> Column:
+        return F.when(F.col("mask").bitwiseAND(F.lit(bit[c])) > 0, F.col(c))
+
+    asked = asked.select("request_id", "level", F.col("mask").alias("_mask"), *[masked(c).alias(f"_{c}") for c in columns])
+    each = index.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))) if masks else index.withColumn("mask", F.lit(0)).where("false")
+    for c in columns:  # a value that is asked for is never null
+        each = each.where((F.col("mask").bitwiseAND(F.lit(bit[c])) == 0) | F.col(c).isNotNull())
+    each = each.withColumns({f"_k{c}": masked(c) for c in columns})
+    order = [F.col("is_mock"), F.desc("created_at"), F.col(key)]
+    few = top_per(each, ["mask", *[f"_k{c}" for c in columns]], order, limit)
+    same = F.col("mask") == F.col("_mask")
+    for c in columns:
+        same = same & F.col(f"_k{c}").eqNullSafe(F.col(f"_{c}"))
+    hit = few.join(asked, same).withColumn("_best", F.min("level").over(Window.partitionBy("request_id"))).where("level = _best")
+    return hit.drop("_best", "mask", "_mask", *[f"_{c}" for c in columns], *[f"_k{c}" for c in columns])
 
 
 def latest(frame: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
