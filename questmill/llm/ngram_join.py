@@ -83,6 +83,16 @@ class _WordHash(dict):
 _hash = _WordHash()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices. Behind the last, the task's words are forgotten, so that an idle worker holds none."""
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        yield from batches
+        _hash.clear()
+
+    return in_slices(whole())
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of a text.
 
@@ -104,7 +114,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and digest of every set, then this task's sketch in slices."""
     names, kinds = ["id", "n", "digest", "slice", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
     sketch = np.zeros(SKETCH, np.int64)
-    for batch in in_slices(batches):
+    for batch in _slices(batches):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         sketch += np.bincount((every & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
@@ -150,7 +160,7 @@ def _entries(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, light: int,
     noise = float(np.median(sketch))
     beyond = noise + 4 * noise**0.5
     seen: dict[int, int] = {}
-    for batch in in_slices(batches):
+    for batch in _slices(batches):
         keys, most, oftens, docs = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             h = shingles(text)
@@ -304,7 +314,7 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in in_slices(batches):
+        for batch in _slices(batches):
             at = batch.column(2).to_numpy().astype(np.int64)
             hit = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
             digests, sets = [], []
