@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,42 +92,51 @@ WHOLE_TOUCHING, WHOLE_NEAR, WHOLE_SLACK = -0.004, 0.03, 0.01
 BAND, LEAST_BAND = 0.85, 0.012
 
 
-def stacked(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, integers: np.ndarray) -> list[tuple[int, int]]:
+def stacked(x: Sequence[float], y: Sequence[float], w: Sequence[float], h: Sequence[float], integers: Sequence[int]) -> list[tuple[int, int]]:
     """Pairs of integers that stand above each other like a fraction's, closest first, each integer once.
 
     Candidates for a numerator are looked up among the integers by height, as a
     denominator lies within a few heights of it.
     """
-    middle, centre = y + h / 2, x + w / 2
-    by_height = integers[np.argsort(middle[integers], kind="stable")]
-    low, high = (np.searchsorted(middle[by_height], middle[integers] + d) for d in (0.0, FARTHEST * h[integers] + 1e-9))
-    upper = np.repeat(integers, np.maximum(high - low, 0))
-    lower = np.concatenate([by_height[a:b] for a, b in zip(low, high, strict=True)] or [np.empty(0, int)])
-    gap, dx, height = y[lower] - (y[upper] + h[upper]), np.abs(centre[upper] - centre[lower]), np.minimum(h[upper], h[lower])
-    dy = middle[lower] - middle[upper]
-    fits = (upper != lower) & (dx <= np.maximum(np.minimum(w[upper], w[lower]) * ALIGNED, LEAST_ALIGNED))
-    fits &= (gap >= OVERLAP * h[lower]) & (gap <= LOWEST_GAP * height) & (dy >= NEAREST * height) & (dy <= FARTHEST * height)
-    upper, lower, score = upper[fits], lower[fits], (np.maximum(gap, 0) + 2 * dx)[fits]
-    free, out = np.ones(len(x), bool), []
-    for k in np.lexsort((lower, upper, score)).tolist():
-        if free[upper[k]] and free[lower[k]]:
-            free[upper[k]] = free[lower[k]] = False
-            out.append((int(upper[k]), int(lower[k])))
+    middle = {i: y[i] + h[i] / 2 for i in integers}
+    by_height = sorted((i for i in integers if middle[i] == middle[i]), key=middle.__getitem__)
+    heights, found = [middle[i] for i in by_height], []
+    for a in integers:
+        low, high = bisect_left(heights, middle[a]), bisect_left(heights, middle[a] + (FARTHEST * h[a] + 1e-9))
+        for b in by_height[low:high]:
+            height, dy = min(h[a], h[b]), middle[b] - middle[a]
+            if a == b or not NEAREST * height <= dy <= FARTHEST * height:
+                continue
+            gap, dx = y[b] - (y[a] + h[a]), abs((x[a] + w[a] / 2) - (x[b] + w[b] / 2))
+            if dx <= max(min(w[a], w[b]) * ALIGNED, LEAST_ALIGNED) and OVERLAP * h[b] <= gap <= LOWEST_GAP * height:
+                found.append((max(gap, 0.0) + 2 * dx, a, b))
+    used, out = set(), []
+    for _, a, b in sorted(found):
+        if a not in used and b not in used:
+            used |= {a, b}
+            out.append((a, b))
     return out
 
 
-def without_prose(pairs: list[tuple[int, int]], x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
+def without_prose(pairs: list[tuple[int, int]], x: Sequence[float], y: Sequence[float], w: Sequence[float], h: Sequence[float]) -> list[tuple[int, int]]:
     """Pairs whose numerator has no word beside it on its baseline that is no numerator itself; as pairs go, their neighbours may too."""
-    middle, tops = y + h / 2, {a for a, _ in pairs}
+    middle, tops = [a + b / 2 for a, b in zip(y, h, strict=True)], {a for a, _ in pairs}
+    by_height = sorted((i for i, m in enumerate(middle) if m == m), key=middle.__getitem__)
+    heights, tallest = [middle[i] for i in by_height], max((h[i] for i in by_height), default=0.0)
     beside: dict[int, list[int]] = {}
     for top in tops:
-        level = (np.abs(middle - middle[top]) <= np.maximum(np.maximum(h, h[top]), LEAST_BAND) * BESIDE) & (np.arange(len(x)) != top)
-        for gap in (x[top] - (x + w), x - (x[top] + w[top])):
-            at = np.flatnonzero(level & (gap >= TOUCHING))
-            if len(at):
-                k = int(at[gap[at].argmin()])
-                if gap[k] <= NEAR and abs(middle[top] - middle[k]) <= max(h[top], h[k], LEAST_BAND) * BASELINE:
-                    beside.setdefault(k, []).append(top)
+        reach = max(tallest, LEAST_BAND) * BESIDE + 1e-9
+        left = right = (np.inf, -1)
+        for k in by_height[bisect_left(heights, middle[top] - reach) : bisect_right(heights, middle[top] + reach)]:
+            if k != top and abs(middle[k] - middle[top]) <= max(h[k], h[top], LEAST_BAND) * BESIDE:
+                before, behind = x[top] - (x[k] + w[k]), x[k] - (x[top] + w[top])
+                if before >= TOUCHING:
+                    left = min(left, (before, k))
+                if behind >= TOUCHING:
+                    right = min(right, (behind, k))
+        for gap, k in (left, right):
+            if gap <= NEAR and abs(middle[top] - middle[k]) <= max(h[top], h[k], LEAST_BAND) * BASELINE:
+                beside.setdefault(k, []).append(top)
     # What a word beside it says of a numerator only changes when that word stops being one.
     lost = {t for k, at in beside.items() if k not in tops for t in at}
     open_ = list(lost)
@@ -143,24 +156,25 @@ def _join(parts: list[str]) -> str:
     return line
 
 
-def fraction_page(words: pd.DataFrame) -> tuple[str | None, list[dict]]:
-    """The text of a page's words (text, x, y, w, h) with fractions, and these; None if there are none."""
-    words = words[words["text"].str.strip() != ""]
-    texts = words["text"].str.strip().tolist()
-    x, y, w, h = (words[k].to_numpy(float) for k in "xywh")
-    integers = np.array([i for i, t in enumerate(texts) if INTEGER.fullmatch(t)], int)
-    pairs = without_prose(stacked(x, y, w, h, integers), x, y, w, h) if len(integers) > 1 else []
+def fraction_page(texts: list[str | None], *boxes: list[float | None]) -> tuple[str | None, list[dict]]:
+    """The text of a page's words (texts, x, y, w, h) with fractions, and these; None if there are none."""
+    texts = [(t or "").strip() for t in texts]
+    some = [i for i, t in enumerate(texts) if t]
+    texts = [texts[i] for i in some]
+    x, y, w, h = ([float("nan") if b[i] is None else b[i] for i in some] for b in boxes)
+    integers = [i for i, t in enumerate(texts) if INTEGER.fullmatch(t)]
+    pairs = stacked(x, y, w, h, integers) if len(integers) > 1 else []
+    pairs = without_prose(pairs, x, y, w, h) if pairs else []
     if not pairs:
         return None, []
     used = {k for p in pairs for k in p}
-    middle = y + h / 2
+    middle = [a + b / 2 for a, b in zip(y, h, strict=True)]
     found, tokens = [], []
     for top, bottom in pairs:
         left, high = min(x[top], x[bottom]), min(y[top], y[bottom])
         low, right = max(y[top] + h[top], y[bottom] + h[bottom]), max(x[top] + w[top], x[bottom] + w[bottom])
-        gap = left - (x[integers] + w[integers])
-        fits = (gap >= WHOLE_TOUCHING) & (gap <= WHOLE_NEAR) & (middle[integers] >= high - WHOLE_SLACK) & (middle[integers] <= low + WHOLE_SLACK)
-        near = [(g, i) for g, i in zip(gap[fits].tolist(), integers[fits].tolist(), strict=True) if i not in used]
+        level = (i for i in integers if i not in used and high - WHOLE_SLACK <= middle[i] <= low + WHOLE_SLACK)
+        near = [(g, i) for i in level if WHOLE_TOUCHING <= (g := left - (x[i] + w[i])) <= WHOLE_NEAR]
         whole = min(near)[1] if near else None
         body = rf"\frac{{{texts[top]}}}{{{texts[bottom]}}}"
         if whole is not None:
@@ -181,19 +195,40 @@ def fraction_page(words: pd.DataFrame) -> tuple[str | None, list[dict]]:
     return "\n".join(_join([t[0] for t in sorted(line, key=lambda t: (t[1], rank(t[0])))]) for line in lines), found
 
 
+FOUND = pa.list_(pa.struct([(k, pa.string()) for k in ("top", "bottom", "whole")]))
 FRACTIONS = "page long, text string, fractions array<struct<top:string,bottom:string,whole:string>>"
 
 
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of ordered batches anew, cut only between two pages (the first column)."""
+    held = None
+    for batch in batches:
+        held = pa.concat_tables([*([] if held is None else [held]), pa.Table.from_batches([batch])])
+        last = held.column(0)[-1] if held.num_rows else pa.scalar(None)
+        start = pc.index(held.column(0), last).as_py() if last.is_valid else 0
+        if start:
+            yield held.slice(0, start)
+            held = held.slice(start)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def stacked_fractions(words: DataFrame) -> DataFrame:
     """words (page, ord, text, x, y, w, h) to page, text (with stacked integers as fractions, null if there are none) and fractions.
 
     The closest pairs are taken first. A numerator beside a word on its line is a
     number of the sentence, and no fraction. A whole number close to the left of a
-    fraction belongs to it. A page is one group; its words bound the work.
+    fraction belongs to it. The pages of a partition stream by, one held at a time with
+    those of its batch.
     """
 
-    def page(group: pd.DataFrame) -> pd.DataFrame:
-        text, found = fraction_page(group.sort_values("ord", kind="stable").fillna({"text": ""}))
-        return pd.DataFrame({"page": group["page"].iloc[:1], "text": [text], "fractions": [found]})
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_pages(batches):
+            keys, *columns = (c.to_pylist() for c in whole.columns)
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            found = [fraction_page(*(c[i:j] for c in columns)) for i, j in pairwise(starts)]
+            rows = [pa.array([keys[i] for i in starts[:-1]], pa.int64()), pa.array([t for t, _ in found], pa.string()), pa.array([f for _, f in found], FOUND)]
+            yield pa.RecordBatch.from_arrays(rows, names=["page", "text", "fractions"])
 
-    return words.select("page", "ord", "text", "x", "y", "w", "h").groupBy("page").applyInPandas(page, FRACTIONS)
+    ordered = words.select(F.col("page").cast("long"), "ord", "text", *[F.col(c).cast("double") for c in "xywh"]).repartition("page").sortWithinPartitions("page", "ord")
+    return ordered.select("page", "text", "x", "y", "w", "h").mapInArrow(pages, FRACTIONS)

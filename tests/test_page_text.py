@@ -92,3 +92,22 @@ def test_pairs_equal_a_plain_matching():
         assert page_text.without_prose(want, x, y, w, h) == kept
 
 
+
+
+def test_pages_stream_by_in_batches(spark):
+    """Pages are read from batches that cut them, many of them in one task's stream, and come out whole."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"page": p, "v": v}) for p, v in (([1, 1], [1, 2]), ([1, 2], [3, 4]), ([2], [5]), ([3, 4, 4], [6, 7, 8]))]
+    whole = [t.to_pydict() for t in page_text.whole_pages(iter(batches))]
+    assert [(t["page"], t["v"]) for t in whole] == [([1, 1, 1], [1, 2, 3]), ([2, 2, 3], [4, 5, 6]), ([4, 4], [7, 8])]
+    words = [(p, k, t, 0.1 + dx, y, 0.02, 0.02) for p in range(50) for k, (t, dx, y) in enumerate((("1", 0.0, 0.1), ("2", 0.0, 0.13), ("word", 0.2, 0.115)))]
+    words.append((99, 0, None, None, None, None, None))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = page_text.stacked_fractions(spark.createDataFrame(words, "page long, ord long, text string, x double, y double, w double, h double")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.page, r.text) for r in found if r.page < 99) == [(p, r"$\frac{1}{2}$ word") for p in range(50)]
+    assert [(r.text, r.fractions) for r in found if r.page == 99] == [(None, [])]
