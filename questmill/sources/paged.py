@@ -9,8 +9,8 @@ Reading: the driver cuts the key's order into ranges, tasks walk through theirs
 two pages are neither repeated nor skipped. Filters on equality and lists of values
 go along.
 
-Writing: each task puts its rows, in chunks, into a staging table beside the
-target, under a name of its own attempt. Only when all tasks are done, one
+Writing: each task puts its rows, in chunks and many chunks a transaction, into a
+staging table beside the target, under a name of its own attempt. Only when all tasks are done, one
 transaction applies the rows of the attempts that Spark counts, and clears them. A
 task that dies leaves nothing in the target, and a write that is repeated changes no
 row.
@@ -34,6 +34,8 @@ from questmill.functions.text import TRANSIENT
 
 #: Rows of a page and of a chunk, tries, and the error codes and classes that a new try may mend; fixed values.
 PAGE, CHUNK, TRIES = 1000, 80, 5
+#: Chunks of a task that are staged in one transaction.
+CHUNKS_STAGED = 250
 RETRY_CODES = "40001 40P01 53300 53400 57014 57P01 57P03 58000 58030".split()
 #: Words of a busy server; fixed values.
 BUSY = r"timeout|temporarily unavailable|too many connections|502|503|504|429|database is locked"
@@ -82,15 +84,14 @@ class _Remote:
         module, function = self.connect.split(":")
         return with_retry(lambda: getattr(importlib.import_module(module), function)(self.target))
 
-    def run(self, con, sql: str, values: Sequence = ()) -> list[tuple]:
+    def once(self, con, sql: str, values: Sequence = ()) -> list[tuple]:
         mark = getattr(importlib.import_module(type(con).__module__.split(".")[0]), "paramstyle", "qmark")
+        cur = con.cursor()
+        cur.execute(sql if mark == "qmark" else sql.replace("?", "%s"), tuple(values))
+        return cur.fetchall() if cur.description else []
 
-        def once() -> list[tuple]:
-            cur = con.cursor()
-            cur.execute(sql if mark == "qmark" else sql.replace("?", "%s"), tuple(values))
-            return cur.fetchall() if cur.description else []
-
-        return with_retry(once)
+    def run(self, con, sql: str, values: Sequence = ()) -> list[tuple]:
+        return with_retry(lambda: self.once(con, sql, values))
 
     @property
     def keys(self) -> str:
@@ -201,17 +202,27 @@ class PagedWriter(DataSourceWriter):
         r, con, attempt, count, held = self.remote, self.remote.open(), uuid.uuid4().hex, 0, []
         width = len(self.names) + 1
 
+        def stage() -> None:
+            """The held rows in chunks, as one transaction: all of them or none."""
+            try:
+                for i in range(0, len(held), self.chunk):
+                    chunk = held[i : i + self.chunk]
+                    marks = ", ".join([f"({', '.join('?' * width)})"] * len(chunk))
+                    r.once(con, f"INSERT INTO {_name(r.staging(self.job))} VALUES {marks}", [v for row in chunk for v in row])
+                con.commit()
+            except Exception:
+                con.rollback()
+                raise
+
         def flush() -> None:
-            marks = ", ".join([f"({', '.join('?' * width)})"] * len(held))
-            r.run(con, f"INSERT INTO {_name(r.staging(self.job))} VALUES {marks}", [v for row in held for v in row])
-            con.commit()
+            with_retry(stage)
             held.clear()
 
         try:
             for row in rows:
                 held.append([*row, attempt])
                 count += 1
-                if len(held) == self.chunk:
+                if len(held) == self.chunk * CHUNKS_STAGED:
                     flush()
             if held:
                 flush()
@@ -224,7 +235,8 @@ class PagedWriter(DataSourceWriter):
         target, staged = _name(r.table), f"(SELECT * FROM {_name(r.staging(self.job))} WHERE _attempt IN ({attempts})) AS s"
         same = " AND ".join(f"s.{_name(k)} = {target}.{_name(k)}" for k in r.key)
         if self.mode == "delete":
-            return f"DELETE FROM {target} WHERE EXISTS (SELECT 1 FROM {staged} WHERE {same})"
+            # By a list that is made once; a test of each row would read the staging table anew.
+            return f"DELETE FROM {target} WHERE ({r.keys}) IN (SELECT {r.keys} FROM {staged})"
         rest = [n for n in self.names if n not in r.key]
         changed = " OR ".join(f"{{0}}.{_name(n)} IS DISTINCT FROM {{1}}.{_name(n)}" for n in rest)
         if self.mode == "update":

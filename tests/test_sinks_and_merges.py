@@ -176,3 +176,29 @@ def test_chat_answer(spark):
     table = spark.createDataFrame([(k,) for k in bodies], "body string")
     got = {r.body: (r.a.text, r.a.error) for r in table.select("body", loose.chat_answer(F.col("body")).alias("a")).collect()}
     assert got == bodies
+
+
+def test_staging_takes_few_commits_and_deletes_read_it_once(remote, monkeypatch):
+    """1,000 rows in chunks of 2 take no commit a chunk; a delete's plan holds no scan that is repeated for each row."""
+    from pyspark.sql.types import StructType
+
+    at = paged._Remote.of(remote)
+    writer = paged.PagedWriter(at, StructType().add("a", "long").add("b", "string"), "delete", 2)
+    commits = []
+
+    class Counted(sqlite3.Connection):
+        def commit(self):
+            commits.append(1)
+            super().commit()
+
+    with monkeypatch.context() as m:
+        m.setattr(paged, "sqlite", lambda path: sqlite3.connect(path, factory=Counted))
+        done = writer.write(iter([(i, "x") for i in range(1000)]))
+    con = sqlite3.connect(remote["target"])
+    assert done.rows == 1000 and len(commits) == 2
+    assert con.execute(f'SELECT count(DISTINCT a), count(*) FROM "{at.staging(writer.job)}"').fetchall() == [(1000, 1000)]
+    plan = [row[3] for row in con.execute("EXPLAIN QUERY PLAN " + writer._merge("?"), [done.attempt])]
+    con.close()
+    assert not any("CORRELATED" in line for line in plan), plan
+    writer.commit([done])
+    assert all(b != "x" for _, b, _ in rows(remote))
