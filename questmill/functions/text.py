@@ -21,9 +21,13 @@ MCQ_PROMPT = r"(?i)which of the following|choose the correct|select the (?:right
 OPTION_MARKER = r"\([A-Ha-h]\)|(?:^|\s)[A-Ha-h][.)]\s+\S"
 
 
+#: The characters with Unicode's White_Space property.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(s: Column) -> Column:
     """s without white space at its ends, no-break spaces included."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.btrim(s, F.lit(SPACES))
 
 
 def normalize_text(s: Column) -> Column:
@@ -31,27 +35,38 @@ def normalize_text(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often and deep in lambdas body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _tokens(normal: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(normal, " "), lambda t: F.length(t) > 1))
+
+
 def token_set(s: Column) -> Column:
     """Distinct normalised tokens of more than one character."""
-    return F.array_distinct(F.filter(F.split(normalize_text(s), " "), lambda t: F.length(t) > 1))
+    return _tokens(normalize_text(s))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct tokens, 0 if either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
+    """Jaccard similarity of two arrays of distinct tokens, 0 if either is empty. Each array is made once."""
+
+    def alike(x: Column, y: Column) -> Column:
+        both = let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(x) + F.size(y) - n))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(both)
+
+    return let(a, lambda x: let(b, lambda y: alike(x, y)))
 
 
 def is_copied(candidate: Column, reference: Column) -> Column:
-    """Equal, or one contains the other's 24 characters and more, or token sets 85 % alike."""
-    a, b = normalize_text(candidate), normalize_text(reference)
-    near = (a == b) | ((F.length(a) >= 24) & F.contains(b, a)) | ((F.length(b) >= 24) & F.contains(a, b))
-    return (a != "") & (b != "") & (near | (jaccard(token_set(a), token_set(b)) >= 0.85))
+    """Equal, or one contains the other's 24 characters and more, or token sets 85 % alike. Each text is normalised once."""
 
+    def copied(a: Column, b: Column) -> Column:
+        near = (a == b) | ((F.length(a) >= 24) & F.contains(b, a)) | ((F.length(b) >= 24) & F.contains(a, b))
+        return (a != "") & (b != "") & (near | (jaccard(_tokens(a), _tokens(b)) >= 0.85))
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often and deep in lambdas body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
+    return let(normalize_text(candidate), lambda a: let(normalize_text(reference), lambda b: copied(a, b)))
 
 
 def copies_phrase(source: Column, generated: Column, words: int = 8) -> Column:

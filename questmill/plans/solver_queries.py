@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from questmill.functions.build import BUILDERS, built
 from questmill.functions.solve import SOLVERS, parsed, solve
-from questmill.sources.driver_tables import table
+from questmill.sources.driver_tables import spread, table
 
 #: Skill, JSON fields in terms of a, b and e (three numbers of an event), and the answer in SQL.
 CASES: list[tuple[str, str, str]] = [
@@ -137,7 +137,7 @@ _BUILT = sorted(BUILDERS)
 def gen_checked(s: SparkSession, d: str) -> DataFrame:
     """A seeded question for every event, of all skills in turn; what the solver says of it, and how many options differ."""
     skill = F.get(F.array(*map(F.lit, _BUILT)), (F.col("event_id") % len(_BUILT)).cast("int"))
-    e = table(s, d, "events").select("event_id", skill.alias("skill"))
+    e = spread(s, d, "events", "event_id").select("event_id", skill.alias("skill"))
     made = e.select("event_id", "skill", F.inline(F.array(built(F.col("skill"), F.col("event_id")))))
     checked = made.select("*", F.inline(F.array(F.struct(solve(F.col("spec")).alias("solved")))))
     return checked.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questmill.functions import ids, rules, text
-from questmill.sources.driver_tables import QUESTIONS_SQL, questions, table
+from questmill.sources.driver_tables import QUESTIONS_SQL, questions, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,7 +53,7 @@ def _with_item(s: SparkSession, d: str) -> DataFrame:
     """Each document with the benchmark item its id points to."""
     items = table(s, d, "benchmark").select("item_id", c("text").alias("item"))
     n = items.agg(F.max("item_id")).first()[0] + 1
-    return table(s, d, "documents").select("doc_id", "text", (c("doc_id") % n).alias("item_id")).join(items, "item_id")
+    return spread(s, d, "documents", "doc_id").select("doc_id", "text", (c("doc_id") % n).alias("item_id")).join(items, "item_id")
 
 
 WITH_ITEM = "w AS (SELECT d.doc_id, d.text, b.text AS item FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))"

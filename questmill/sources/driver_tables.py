@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table dealt by its key, for much work on each row: a file with one row group is read by one task."""
+    return table(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def question_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The denormalised question index: one row a question, from events."""
     k = F.get_json_object("props", "$.k").cast("int")
