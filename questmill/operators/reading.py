@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from questmill.functions.text import let, trimmed
 from questmill.operators.structure import structured
+from questmill.sources.shared import kept
 
 #: A stem counts from so many characters on; an extra one is looked for in others from so many on; fixed values.
 USABLE, PIECE = 8, 12
@@ -27,8 +28,8 @@ def from_blocks(blocks: DataFrame) -> DataFrame:
     """
     said = blocks.where(F.col("type").isin("text", "formula")).select("doc_id", "ord", block_text(F.col("type"), F.col("text"), F.col("latex")).alias("line")).where("line is not null")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
-    pages = said.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"))
-    found = structured(pages)
+    pages = kept(said.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text")), "pages")
+    found = kept(structured(pages), "found")
     whole = pages.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     none = F.lit(None).cast("string")
     body = F.trim(F.regexp_replace("text", r"\s+", " "))
@@ -81,7 +82,8 @@ def clean_pages(pages: DataFrame, modeled: DataFrame, prefer: Column) -> DataFra
     The model's count if the split gave nothing, or where it is preferred and found
     as many. A page without a usable stem has none.
     """
-    split = structured(pages)
+    pages = kept(pages, "pages")
+    split = kept(structured(pages), "split")
     usable = lambda q: q.where(F.length(trimmed(F.col("body"))) >= USABLE)
     count = lambda q, name: usable(q).groupBy("doc_id").agg(F.count("*").alias(name))
     chosen = pages.select("doc_id", prefer.alias("prefer")).join(count(split, "offline"), "doc_id", "left").join(count(modeled, "model"), "doc_id", "left").na.fill(0, ["offline", "model"])

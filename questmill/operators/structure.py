@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from questmill.functions import text as T
+from questmill.sources.shared import kept
 
 #: How printed numbers, sections and choices look; fixed values.
 NUMBER_ONLY = r"^\(?(\d{1,3})\s*[.)]?$"
@@ -35,7 +36,11 @@ def numbered(lines: DataFrame) -> DataFrame:
 
 
 def _lines(pages: DataFrame) -> DataFrame:
-    """The lines of every page that hold anything, with what the look of each says."""
+    """The lines of every page that hold anything, with what the look of each says.
+
+    Pages are dealt before they are cut, so all that follows for a page stays in its task.
+    """
+    pages = pages.repartition("doc_id")
     split = F.split(T.separate_numbers(F.coalesce("text", F.lit(""))), "\n")
     lines = pages.select("doc_id", F.posexplode(split).alias("ord", "line")).withColumn("line", T.trimmed(F.col("line"))).where("line != ''")
     line = F.col("line")
@@ -125,6 +130,7 @@ def structured(pages: DataFrame) -> DataFrame:
             "directed": F.nullif(F.last(directed, True).over(w), F.lit("")),
         }
     )
+    runs = kept(runs, "runs")
     waiting = runs.where("mark = 'number'").select("doc_id", F.col("numbers").alias("used"), F.regexp_extract("first", NUMBER_ONLY, 1).alias("waiting"))
     runs = runs.where("opens").join(waiting, ["doc_id", "used"], "left")
     rest = F.regexp_extract("first", NUMBER_START, 2)
@@ -139,7 +145,8 @@ def structured(pages: DataFrame) -> DataFrame:
     instructions = F.when(F.col("directed").isNull() | (counted < low) | (counted > high), F.col("heading")).otherwise(F.col("directed"))
     asked = asked.where("body != ''").select("doc_id", F.col("run").alias("a"), F.col("nth").alias("b"), "number", "section", instructions.alias("instructions"), "body")
 
-    bare = unnumbered(lines.join(runs.select("doc_id").distinct(), "doc_id", "left_anti"))
+    # Only pages without a question are read again.
+    bare = unnumbered(_lines(pages.join(runs.select("doc_id").distinct(), "doc_id", "left_anti")))
     none = F.lit(None).cast("string")
     out = asked.union(bare.select("doc_id", F.lit(0).cast("long"), F.col("number").cast("int"), "number", none, "instructions", "body"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("a", "b")) - 1

@@ -10,7 +10,7 @@ from questmill.operators import questions as model, reading
 from questmill.operators import structure
 from questmill.plans.library_queries import BOXES, _boxes
 from questmill.plans.text_queries import SKILL, _skill_sql, norm
-from questmill.sources.driver_tables import PAGE_LINES_SQL, QUESTIONS_SQL, page_lines, questions, table
+from questmill.sources.driver_tables import PAGE_LINES_SQL, QUESTIONS_SQL, page_lines, questions, spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -282,7 +282,7 @@ def gen_unnumbered(s, d):
 
 def _sentences(s, d, kind):
     """Every document's sentences as blocks of a page."""
-    each = table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\. ")).alias("ord", "text"))
+    each = spread(s, d, "documents", "doc_id").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\. ")).alias("ord", "text"))
     return each.select("doc_id", "ord", kind.alias("type"), F.concat(F.when(c("ord") % 4 == 0, F.concat((c("ord") / 4 + 1).cast("int").cast("string"), F.lit(". "))).otherwise(""), "text").alias("text"), F.lit(None).cast("string").alias("latex"))
 
 

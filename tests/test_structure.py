@@ -75,3 +75,11 @@ def test_reading_order(spark):
     frame = spark.createDataFrame(boxes, "page long, ord long, x double, y double, h double")
     got = {(r.page, r.ord): (r.row, r.place) for r in structure.reading_order(frame).collect()}
     assert got == {(1, 0): (0, 0), (1, 1): (0, 1), (1, 3): (1, 0), (1, 2): (1, 1), (1, 4): (2, 0), (2, 0): (0, 0)}
+
+
+def test_structured_makes_its_runs_once(spark):
+    """Pages with questions are read once: what follows reads the runs that were kept."""
+    pages = spark.createDataFrame([(1, "1. What is this thing?\n2. And what is that one?"), (2, "no question"), (3, None)], "doc_id long, text string")
+    found = structure.structured(pages)
+    assert any("runs-" in f for f in found.inputFiles())
+    assert [(r.doc_id, r.number) for r in found.orderBy("doc_id", "ord").collect()] == [(1, "1"), (1, "2")]
