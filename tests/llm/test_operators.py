@@ -161,6 +161,65 @@ def test_symbols():
     assert len({tuple(spell(c)) for c in SCRIPTS["ru"]}) == len(SCRIPTS["ru"])
 
 
+def spelled_back(s):
+    """The text that symbols spell, read one after the other."""
+    out, i, mode = [], 0, 0
+    rare = [chr(k) for k in range(128) if not chr(k).isalpha() and chr(k) not in "1 ." + quality.MARKS]
+    run = start_capital = False
+    while i < len(s):
+        if not run:
+            capital = s[i] == 31
+            i += capital
+            x = s[i]
+            if x < 26:
+                out.append(chr((65 if capital else 97) + x))
+            elif x < 29:
+                out.append("1 ."[x - 26])
+            elif x == 29:
+                run, start_capital = True, capital
+            elif s[i + 1] < 30:
+                i += 1
+                out.append(quality.MARKS[s[i]])
+            else:
+                out.append(rare[(s[i + 1] - 30) * 32 + s[i + 2]])
+                i += 2
+            i += 1
+            continue
+        wide = mode >= quality.NARROW_MODES
+        if s[i] == (31 if wide else 0):
+            run = False
+            i += 1
+        elif s[i] == (30 if wide else 1):
+            mode = s[i + 1] * 32 + s[i + 2]
+            i += 3
+        else:
+            capital = start_capital or not wide and s[i] == 2
+            i += not wide and s[i] == 2
+            start_capital = False
+            if wide:
+                c = quality.WIDE + (mode - quality.NARROW_MODES) * quality.WIDE_SIZE + s[i] + 30 * (32 * s[i + 1] + s[i + 2])
+            else:
+                c = 128 + mode * quality.NARROW + 32 * (s[i] - 4) + s[i + 1]
+            i += 3 if wide else 2
+            for a, b, n in quality.SWAPPED:
+                c = c + b - a if a <= c < a + n else c + a - b if b <= c < b + n else c
+            out.append(chr(c - 32 if capital else c))
+    return "".join(out)
+
+
+def test_no_character_is_folded_into_another():
+    """Every character of Unicode, alone and among others, is read back from its symbols."""
+    spell = lambda t: quality.symbols(t)[quality.ORDER - 1 :]
+    assert len({tuple(spell(t)) for t in ("7", "8", "!", "%", "\n", " ", "中", "丮", "語", "\U0001f600")}) == 10
+    every = "".join(map(chr, range(0x110000)))
+    shuffled = random.Random(4).sample(every, len(every))
+    mixed = "".join(a + b for a, b in zip(shuffled, random.Random(5).choices("aB1 .,7~éÉ’中，я\n", k=len(every)), strict=True))
+    for text in (every, "".join(shuffled), mixed, "ÀÉ éÀa", "«Да» — 中文，好。 naïve’s"):
+        s = spell(text)
+        assert s.min() >= 0 and s.max() < quality.SYMBOLS
+        assert spelled_back(s.tolist()) == text
+
+
 def test_kneser_ney_shares(spark):
     """The shares and weights of an order against the formula."""
     counts = spark.createDataFrame([("xx", c, n) for c, n in ((33, 1), (34, 2), (35, 3), (66, 1), (67, 5), (99, 4))], "lang string, code long, n long")
