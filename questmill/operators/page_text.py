@@ -6,59 +6,58 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from itertools import pairwise
+from math import isfinite
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from questmill.functions.text import trimmed
-from questmill.operators.windows import two_columns
+from questmill.functions.text import SPACES
 
 #: How a question's number opens a line, and stands alone; fixed values.
 NUMBER_HEAD = r"^\(?(\d{1,3})\s*[.)](?:\s+\S|\s*$)"
 NUMBER_ALONE = r"^\(?(\d{1,3})\s*[.)]?\s*$"
 #: The least gap between columns, how far beyond a row's extent a line's middle may lie, the least height; fixed values.
 COLUMN_GAP, ROW_SLACK, LEAST_HEIGHT = 0.18, 0.25, 0.01
+_HEAD, _ALONE, _BLANKS = re.compile(NUMBER_HEAD, re.ASCII), re.compile(NUMBER_ALONE, re.ASCII), re.compile(r"\s+", re.ASCII)
+
+
+def middle_of(heads: list[tuple[float, float]]) -> float | None:
+    """Where a page's numbers (x, w) that open questions part into two columns: between the sides of their widest gap, if that is wide and each side has two."""
+    heads = sorted(heads)
+    gaps = [b - a if isfinite(b - a) else -1.0 for (a, _), (b, _) in pairwise(heads)]
+    if len(heads) < 4 or max(gaps) < COLUMN_GAP:
+        return None
+    cut = gaps.index(max(gaps)) + 1
+    if cut < 2 or len(heads) - cut < 2:
+        return None
+    left, right = max(x + w for x, w in heads[:cut]), heads[cut][0]
+    return max(0.0, min(1.0, (max(0.0, left) + min(1.0, right)) / 2))
+
+
+def rows_of(lines: list[tuple[float, float, float, str]]) -> list[list[tuple[float, str]]]:
+    """Lines (y, x, h, text) from the top in rows of x and text: a line whose middle lies in the extent of the row above shares it, and widens it."""
+    rows, top, bottom = [], 0.0, 0.0
+    for y, x, h, text in lines:
+        slack, middle = max(bottom - top, h, LEAST_HEIGHT) * ROW_SLACK, y + h / 2
+        if rows and top - slack <= middle <= bottom + slack:
+            rows[-1].append((x, text))
+            top, bottom = min(top, y), max(bottom, y + h)
+        else:
+            rows.append([(x, text)])
+            top, bottom = y, y + h
+    return rows
 
 
-def rows_of(lines: Column) -> Column:
-    """Lines (array of y, x, ord, h, text) from the top, each with its row: a line whose middle lies in the extent of the row above shares it, and widens it."""
-
-    def place(done: Column, f: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        height = F.greatest(last["bottom"] - last["top"], f["h"], F.lit(LEAST_HEIGHT))
-        middle = f["y"] + f["h"] / 2
-        same = (F.size(done) > 0) & middle.between(last["top"] - height * ROW_SLACK, last["bottom"] + height * ROW_SLACK)
-        low = f["y"] + f["h"]
-        return F.concat(
-            done,
-            F.array(
-                F.struct(
-                    F.when(F.size(done) == 0, 0).otherwise(last["row"] + (~same).cast("int")).alias("row"), f["x"].alias("x"), f["y"].alias("y"), f["ord"].alias("ord"), trimmed(f["text"]).alias("text"),
-                    F.when(same, F.least(last["top"], f["y"])).otherwise(f["y"]).alias("top"), F.when(same, F.greatest(last["bottom"], low)).otherwise(low).alias("bottom"),
-                )
-            ),
-        )
-
-    kind = "array<struct<row:int,x:double,y:double,ord:bigint,text:string,top:double,bottom:double>>"
-    return F.aggregate(F.array_sort(lines), F.array().cast(kind), place)
-
-
-def joined_rows(placed: Column) -> Column:
-    """The texts of placed lines, a line a row; a number that stands alone at the left is the row's."""
-    order = F.array_sort(placed)
-    rows = F.array_distinct(F.transform(order, lambda x: x["row"]))
-
-    def said(row: Column) -> Column:
-        parts = F.transform(F.filter(order, lambda x: x["row"] == row), lambda x: x["text"])
-        first = F.get(parts, 0)
-        number = F.regexp_replace(first, NUMBER_ALONE, "$1. ")
-        whole = F.when((F.size(parts) > 1) & first.rlike(NUMBER_ALONE), F.concat(number, F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " "))).otherwise(F.array_join(parts, " "))
-        return trimmed(F.regexp_replace(whole, r"\s+", " "))
-
-    return F.array_join(F.transform(rows, said), "\n")
+def joined_row(row: list[tuple[float, str]]) -> str:
+    """A row's texts from the left; a number that stands alone at the left is the row's."""
+    first, *rest = (t for _, t in sorted(row, key=lambda r: r[0]))
+    if rest and (number := _ALONE.match(first)):
+        first = f"{number[1]}."
+    return _BLANKS.sub(" ", " ".join([first, *rest])).strip(SPACES)
 
 
 def page_texts(lines: DataFrame) -> DataFrame:
@@ -67,20 +66,30 @@ def page_texts(lines: DataFrame) -> DataFrame:
     Where the numbers that open questions stand in two columns (four or more, two on
     each side of a gap), the page is cut between them and the left side comes first.
     In a side, lines go row by row and from the left in a row. Lines without text or
-    extent are left out; a page without any has no row.
+    extent are left out; a page without any has no row. A line without a height on the
+    page is a row of its own. The pages of a partition stream by, one held at a time
+    with those of its batch.
     """
-    usable = lines.where((trimmed(F.coalesce("text", F.lit(""))) != "") & (F.col("w") > 0) & (F.col("h") > 0))
-    heads = usable.where(trimmed(F.col("text")).rlike(NUMBER_HEAD)).select("page", "ord", "x", "w")
-    sides = two_columns(heads, "page", "x", COLUMN_GAP)
-    edges = sides.groupBy("page").agg(F.max(F.when(F.col("side") == 0, F.col("x") + F.col("w"))).alias("left"), F.min(F.when(F.col("side") == 1, F.col("x"))).alias("right"))
-    inside = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    middle = inside((F.greatest(F.lit(0.0), "left") + F.least(F.lit(1.0), "right")) / 2)
-    cuts = edges.where("right is not null").select("page", middle.alias("middle"))
-    right = F.coalesce(F.col("x") + F.col("w") / 2 >= F.col("middle"), F.lit(False)).cast("int")
-    sided = usable.join(cuts, "page", "left").withColumn("side", right)
-    texts = sided.groupBy("page", "side").agg(joined_rows(rows_of(F.collect_list(F.struct("y", "x", F.col("ord").cast("long").alias("ord"), "h", "text")))).alias("text"))
-    both = F.transform(F.array_sort(F.collect_list(F.struct("side", "text"))), lambda x: x["text"])
-    return texts.groupBy("page").agg(F.array_join(F.filter(both, lambda t: t != ""), "\n").alias("text"))
+    number = lambda v: F.when(F.isnan(v), float("inf")).otherwise(F.coalesce(v, F.lit(float("-inf"))))
+
+    def page_text(own: list[tuple[float, float, float, float, str]]) -> str:
+        middle = middle_of([(x, w) for _, x, w, _, t in own if _HEAD.match(t)])
+        right = [middle is not None and x + w / 2 >= middle for _, x, w, _, _ in own]
+        sides = ([(y, x, h, t) for (y, x, _, h, t), r in zip(own, right, strict=True) if r == side] for side in (False, True))
+        return "\n".join(joined_row(row) for side in sides for row in rows_of(side))
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_pages(batches):
+            keys, texts, *boxes = (c.to_pylist() for c in whole.columns)
+            rows = [*zip(*boxes, (t.strip(SPACES) for t in texts), strict=True)]
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            parts = [[r for r in rows[i:j] if r[4]] for i, j in pairwise(starts)]
+            some = [k for k, part in enumerate(parts) if part]
+            yield pa.RecordBatch.from_arrays([whole.column(0).combine_chunks().take(pa.array([starts[k] for k in some], pa.int64())), pa.array([page_text(parts[k]) for k in some], pa.string())], names=["page", "text"])
+
+    usable = lines.where("text is not null and w > 0 and h > 0").select("page", "ord", "text", *[number(F.col(c).cast("double")).alias(c) for c in "yxwh"])
+    ordered = usable.repartition("page").sortWithinPartitions("page", "y", "x", "ord")
+    return ordered.select("page", "text", *"yxwh").mapInArrow(pages, StructType([lines.schema["page"], StructField("text", StringType())]))
 
 
 # Stacked fractions. All measures are fixed values, in parts of the page or of a word's height.

@@ -27,6 +27,17 @@ def test_page_texts(spark):
     }
 
 
+def test_page_texts_of_a_long_page_and_lines_without_a_place(spark):
+    """No line is lost behind one without a place, and a page of many rows takes time in proportion to them."""
+    schema = "page long, ord long, text string, x double, y double, w double, h double"
+    odd = [(1, 0, "nowhere", 0.1, None, 0.1, 0.02), (1, 1, "below", 0.1, 0.5, 0.1, 0.02), (1, 2, "\u00a0beside\u2003", None, 0.5, 0.1, 0.02), (1, 3, None, 0.1, 0.1, 0.1, 0.1)]
+    long_ = [(2, i, f"line {i}", 0.1, float(i), 0.1, 0.02) for i in range(20_000)]
+    found = page_text.page_texts(spark.createDataFrame(odd + long_, schema))
+    assert {r.page: r.text for r in found.collect()} == {1: "nowhere\nbeside below", 2: "\n".join(f"line {i}" for i in range(20_000))}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
 PAGES = {
     "alone": ([("5", 0.3, 0.2, 0.02, 0.02), ("8", 0.3, 0.23, 0.02, 0.02)], r"$\frac{5}{8}$"),
     "mixed": ([("4", 0.2, 0.21, 0.02, 0.03), ("1", 0.24, 0.2, 0.015, 0.018), ("6", 0.24, 0.225, 0.015, 0.018)], r"$4\frac{1}{6}$"),
