@@ -108,3 +108,22 @@ def test_decorate(spark):
     assert got[3, 0].options == [] and len(got[3, 0].figures) == 3
     assert len(got[4, 0].figures) == 1 and got[4, 0].type == "mcq" and got[5, 0].type == "mcq"
     assert got[1, 0].key == "own" and len(got) == 7
+
+
+def test_decorate_streams_pages(spark):
+    """A figure without height keeps the rows after it; numbers at one height, pages of many figures and the plan: no windows, no folds over growing arrays."""
+    from questmill.operators import figures
+
+    option = "array<struct<key:string,text:string,is_correct:boolean>>"
+    asked = [(1, k, str(k), "mcq", "s", [], []) for k in (1, 2)] + [(2, 5, None, "mcq", "s", [], []), (3, 1, "1", "mcq", "s", [], []), (None, 1, "1", "mcq", "s", [], [])]
+    drawn = [(1, 1, 0.6, 0.5, 0.1, 0.05), (1, 2, 0.1, 0.9, 0.1, None)] + [(2, k, 0.2 * k, 0.3, 0.1, None if k == 0 else 0.05) for k in range(4)]
+    drawn += [(3, k, 0.0, 0.1 * k, 0.1, 0.05) for k in range(20_000)] + [(None, 1, 0.1, 0.1, 0.1, 0.1), (4, 1, 0.1, 0.1, 0.1, 0.1)]
+    q = spark.createDataFrame(asked, f"page int, ord int, number string, type string, stem string, options {option}, figures array<{figures.FIGURE}>")
+    f = spark.createDataFrame(drawn, "page long, id long, x double, y double, w double, h double")
+    n = spark.createDataFrame([(1, 2, "2. b", 0.6, 0.4, 0.1), (1, 1, "1. a", 0.6, 0.4, 0.1), (1, 3, "3. c", 0.1, 0.1, 0.1)], "page long, ord long, text string, x double, y double, w double")
+    done = figures.decorate(q, f, n)
+    got = {(r.page, r.ord): r for r in done.collect()}
+    assert [len(got[k].figures) for k in ((1, 1), (1, 2), (2, 5), (3, 1), (None, 1))] == [1, 0, 4, 20_000, 0]
+    assert [o.key for o in got[2, 5].options] == list("ABCD") and got[3, 1].options == [] and [x.y for x in got[3, 1].figures] == [0.1 * k for k in range(20_000)]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "aggregate(" not in plan
