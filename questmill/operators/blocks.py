@@ -9,7 +9,11 @@ from questmill.functions.text import let, trimmed
 
 #: A number inside a line, behind text and before the words of a question; a fixed value.
 SWALLOWED = r"""^(.*?[^\d\s])\s+(\d{1,3})\s*[.)]\s+([A-Za-z"'(].*)$"""
+#: A sign of such a number; where it begins, behind text; the number with its mark; what ends a line for SWALLOWED.
 _CANDIDATE = r"""\s\d{1,3}\s*[.)]\s+[A-Za-z"'(]"""
+_INNER = r"""(?=\s)(?<=[^\d\s])(?=\s+\d{1,3}\s*[.)]\s+[A-Za-z"'(])"""
+_MARK = r"^\s+(\d{1,3})\s*[.)]\s+"
+_ENDS = r"[\n\r\x{85}\x{2028}\x{2029}]"
 PIECE = "struct<head:string,text:string,x:double,y:double,w:double,h:double>"
 BOX = "array<struct<x:double,y:double,w:double,h:double>>"
 
@@ -18,24 +22,35 @@ def _cut_line(line: Column, own: Column) -> Column:
     """A line's pieces (head, text, x, y, w, h): what stands before its first inner number, then one for each number it holds.
 
     own is the number of the block that the line opens, null for other lines: where
-    a piece's inner number repeats the piece's own, the line is not cut further.
+    a piece's inner number repeats the piece's own, the line is not cut further. The
+    line is cut at all its numbers at once, in time in proportion to its length.
     """
     piece = lambda head, text: F.struct(head.alias("head"), text.alias("text"), *[line[c].alias(c) for c in "xywh"])
+    whole = F.array(piece(F.lit(None).cast("string"), line["text"]))
 
-    def step(state: Column, _: Column) -> Column:
-        rest = trimmed(state["rest"])
-        number, tail = F.regexp_extract(rest, SWALLOWED, 2), trimmed(F.regexp_extract(rest, SWALLOWED, 3))
-        cuts = state["open"] & rest.rlike(SWALLOWED) & ~F.coalesce(number == state["own"], F.lit(False))
-        before = trimmed(F.regexp_extract(rest, SWALLOWED, 1))
-        cut = F.struct(
-            F.concat(state["done"], F.array(piece(state["head"], before))).alias("done"), number.alias("head"), number.alias("own"),
-            F.concat(number, F.lit(". "), tail).alias("rest"), F.lit(True).alias("open"),
-        )
-        return F.when(cuts, cut).otherwise(state.withField("open", F.lit(False)))
+    def joined(parts: Column, numbers: Column) -> Column:
+        """The pieces of parts; the first number that repeats the one before it and all after it stay in one piece."""
+        repeats = F.transform(numbers, lambda n, i: F.coalesce(n == F.when(i == 0, own).otherwise(F.get(numbers, i - 1)), F.lit(False)))
+
+        def pieces(kept: Column) -> Column:
+            def one(n: Column, i: Column) -> Column:
+                tail = F.when(i + 1 < kept, F.get(parts, i + 1)).otherwise(F.array_join(F.slice(parts, i + 2, F.size(parts)), ""))
+                return piece(n, F.concat(n, F.lit(". "), trimmed(F.regexp_replace(tail, _MARK, ""))))
+
+            cut = F.concat(F.array(piece(F.lit(None).cast("string"), trimmed(F.get(parts, 0)))), F.transform(F.slice(numbers, F.lit(1), kept), one))
+            return F.when(kept > 0, cut).otherwise(whole)
+
+        first = F.array_position(repeats, True).cast("int")
+        return let(F.when(first > 0, first - 1).otherwise(F.size(numbers)), pieces)
 
-    start = F.struct(F.array().cast(f"array<{PIECE}>").alias("done"), F.lit(None).cast("string").alias("head"), own.alias("own"), line["text"].alias("rest"), F.lit(True).alias("open"))
-    tries = F.sequence(F.lit(1), F.regexp_count(line["text"], F.lit(_CANDIDATE)) + 1)
-    return F.aggregate(tries, start, step, lambda s: F.concat(s["done"], F.array(piece(s["head"], s["rest"]))))
+    def cut(text: Column) -> Column:
+        # With an end of a line inside, only the number beside it can be the first, as no part but the white space around numbers may hold one.
+        rest = F.concat(F.lit(" "), F.regexp_extract(text, SWALLOWED, 2), F.lit(". "), F.regexp_extract(text, SWALLOWED, 3))
+        ended = F.when(text.rlike(SWALLOWED), F.concat(F.array(F.regexp_extract(text, SWALLOWED, 1)), F.split(rest, _INNER))).otherwise(F.array(text))
+        parts = F.when(text.rlike(_ENDS), ended).otherwise(F.split(text, _INNER))
+        return let(parts, lambda p: let(F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x: F.regexp_extract(x, _MARK, 1)), lambda n: joined(p, n)))
+
+    return F.when(line["text"].rlike(_CANDIDATE), let(trimmed(line["text"]), cut)).otherwise(whole)
 
 
 def _boxes(box: Column, tops: Column) -> Column:
@@ -75,12 +90,14 @@ def split_swallowed(blocks: DataFrame) -> DataFrame:
     cut = cut.withColumn("_starts", F.concat(F.array(F.lit(0)), starts))
     heads = F.transform(F.slice("_starts", F.lit(2), F.size("_starts")), lambda i: F.get("_pieces", i))
     boxes = _boxes(F.struct("x", "y", "w", "h"), F.transform(heads, lambda p: p["y"].cast("double")))
-    cut = cut.withColumn("_boxes", boxes).select("*", F.posexplode("_starts").alias("part", "_from"))
-    until = F.coalesce(F.get("_starts", F.col("part") + 1), F.size("_pieces"))
-    own = F.slice("_pieces", F.col("_from") + 1, until - F.col("_from"))
-    number = F.when(F.col("part") == 0, F.col("number")).otherwise(F.get("_pieces", F.col("_from"))["head"])
-    box = F.get("_boxes", F.col("part"))
-    return cut.select(
-        "page", "block", "part", number.alias("number"), *[box[c].alias(c) for c in "xywh"],
-        F.transform(own, lambda p: F.struct(*[p[c].alias(c) for c in ("text", "x", "y", "w", "h")])).alias("lines"),
-    )
+    cut = cut.withColumn("_boxes", boxes)
+
+    def part(start: Column, i: Column) -> Column:
+        own = F.slice("_pieces", start + 1, F.coalesce(F.get("_starts", i + 1), F.size("_pieces")) - start)
+        number = F.when(i == 0, F.col("number")).otherwise(F.get("_pieces", start)["head"])
+        lines = F.transform(own, lambda p: F.struct(*[p[c].alias(c) for c in ("text", "x", "y", "w", "h")]))
+        return F.struct(number.alias("number"), *[F.get("_boxes", i)[c].alias(c) for c in "xywh"], lines.alias("lines"))
+
+    # Each part leaves with its own lines only.
+    parts = cut.select("page", "block", F.posexplode(F.transform("_starts", part)).alias("part", "_part"))
+    return parts.select("page", "block", "part", "_part.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from questmill.operators import blocks, crops, figures, page_text
 from questmill.plans.library_queries import BOXES, _boxes
 from questmill.plans.text_queries import CUT, HEAD, TYPE_SQL, lit, trim
-from questmill.sources.driver_tables import PAGE_LINES_SQL, QUESTIONS_SQL, page_lines, questions
+from questmill.sources.driver_tables import PAGE_LINES_SQL, QUESTIONS_SQL, questions, spread
 from questmill.sources.question_trees import LIBRARY_QUESTIONS_SQL, library_questions
 
 QUERIES: dict = {}
@@ -190,9 +190,12 @@ SELECT doc_id, part, number, CASE WHEN i IS NULL THEN top ELSE {_R(_IN("top"))}
   array_to_string(CASE WHEN i IS NULL THEN [z.text FOR z IN l] ELSE [z.text FOR z IN l[:i - 1]] || [{trim("regexp_extract(" + trim("l[i].text") + f", {_P}, 1)")}] END, chr(10)) AS text FROM w""",
 )
 def gen_split_swallowed(s, d):
-    said = F.expr(r"regexp_replace(line, '\\. ([A-Z])', concat(' ', ord % 3 + 1, '. $1'))")
-    line = F.struct("ord", said.alias("text"), F.lit(0.1).alias("x"), (c("ord") * 0.013 + 0.05).alias("y"), F.lit(0.5).alias("w"), F.lit(0.01).alias("h"))
-    whole = page_lines(s, d).groupBy(c("doc_id").alias("page")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    def line(text, i):
+        said = F.regexp_replace(text, F.lit(r"\. ([A-Z])"), F.concat(F.lit(" "), (i % 3 + 1).cast("string"), F.lit(". $1")))
+        return F.struct(said.alias("text"), F.lit(0.1).alias("x"), (i * 0.013 + 0.05).alias("y"), F.lit(0.5).alias("w"), F.lit(0.01).alias("h"))
+
+    docs = spread(s, d, "documents", "doc_id").where("text is not null")
+    whole = docs.select(c("doc_id").alias("page"), F.transform(F.split("text", "\n"), line).alias("lines"))
     box = {"x": 0.1, "y": 0.05, "w": 0.8, "h": 0.9}
     cut = blocks.split_swallowed(whole.withColumns({"block": F.lit(0), "number": (c("page") % 4).cast("string")} | {k: F.lit(v) for k, v in box.items()}))
     return cut.select(c("page").alias("doc_id"), "part", "number", "y", "h", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))

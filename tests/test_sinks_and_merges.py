@@ -168,6 +168,25 @@ def test_split_swallowed(spark):
     ]
 
 
+def test_split_swallowed_takes_long_lines_at_once(spark):
+    """2,000 numbers in a line, repeated numbers and ends of lines inside one; no part carries its block's other lines along."""
+    long = "1. One " + " ".join(f"{k % 900 + 2}. Word" for k in range(2000)) + "  "
+    texts = [long, "x 2. A y 2) B 3. C", "a\r5. Foo 6. Bar", "a\rb 5. Foo", "x 3. A y\r5. Foo ( 6. G", "\u00a0 5. Foo", " as it is "]
+    rows = [(1, k, "1", 0.1, 0.1, 0.8, 0.5, [(t, 0.1, 0.2, 0.5, 0.02)]) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "page int, block int, number string, x double, y double, w double, h double, lines array<struct<text:string,x:double,y:double,w:double,h:double>>")
+    done = blocks.split_swallowed(table)
+    got = {}
+    for r in sorted(done.collect(), key=lambda r: (r.block, r.part)):
+        got.setdefault(r.block, []).append((r.number, *[x.text for x in r.lines]))
+    assert got[0] == [("1", "1. One"), *[(str(k % 900 + 2), f"{k % 900 + 2}. Word") for k in range(2000)]]
+    assert [got[k] for k in range(1, 7)] == [
+        [("1", "x"), ("2", "2. A y 2) B 3. C")], [("1", "a"), ("5", "5. Foo"), ("6", "6. Bar")], [("1", "a\rb 5. Foo")],
+        [("1", "x 3. A y"), ("5", "5. Foo ("), ("6", "6. G")], [("1", "\u00a0 5. Foo")], [("1", " as it is ")],
+    ]
+    above, _, _ = done._jdf.queryExecution().optimizedPlan().toString().partition("Generate posexplode")
+    assert above and "_pieces" not in above
+
+
 def test_chat_answer(spark):
     bodies = {
         'data: {"choices":[{"delta":{"content":"a"}}]}\ndata: [DONE]': ("a", None), '{"choices":[{"message":{"content":["x",{"text":"y"}]}}]}': ("xy", None),
