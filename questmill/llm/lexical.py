@@ -34,6 +34,9 @@ from questmill.llm.common import FEW_ROWS, in_slices, terms_of, written, written
 ROW_DOCS, ROW_BYTES, LEAF = 64, 1 << 18, 4
 #: Bounds that a task holds at a time, and the blocks of each stretch that an item's first pass scores.
 MOST_BOUNDS, FIRST = 4_000_000, 8
+#: How the index is written. A scan decodes up to 4,096 rows of a row group at once, which is all of it as rows are that wide, so groups are
+#: small; and the writer looks at their size every few rows, where it waits for 100 otherwise.
+GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 4}
 
 INDEX = "docs int, total long, doc_ids array<long>, sizes array<int>, terms array<string>, dfs array<int>, counts array<int>, refs array<int>, tfs array<int>"
 CUT = "doc_ids array<long>, counts array<int>, terms array<int>, impacts array<int>, widths array<int>, bound_terms array<int>, maxima array<int>"
@@ -80,7 +83,7 @@ class Index:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The forward index of all rows. A null text has no terms; a row is a document, also where rows repeat an id or it is null."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks, total = written_with(rows.mapInArrow(_rows, INDEX), "lexical", {"n": F.sum("docs"), "l": F.sum("total")})
+    blocks, total = written_with(rows.mapInArrow(_rows, INDEX), "lexical", {"n": F.sum("docs"), "l": F.sum("total")}, GROUPS)
     return Index(blocks, total["n"] or 0, total["l"] or 0)
 
 
@@ -232,15 +235,16 @@ def _answer(index: Index, asked: list[tuple[int | None, str]], k: int) -> DataFr
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "df"])
 
     n, total = index.documents, index.terms
-    # One row for each term of the batch.
-    for row in index.blocks.select("terms", "dfs").mapInArrow(held, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    # Written, as that bounds the Arrow batches. One row for each term of the batch.
+    dfs = written(index.blocks.select("terms", "dfs").mapInArrow(held, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), "lexical-dfs")
+    for row in dfs.collect():
         items.weights[row.term] = math.floor(1000 * math.log((2 * n + 2) / (2 * row.df + 1)))
     given = spark.sparkContext.broadcast(items)
-    cut = written(index.blocks.mapInArrow(lambda b: _cut_down(b, given.value, n, total), CUT), "lexical-cut")
+    cut = written(index.blocks.mapInArrow(lambda b: _cut_down(b, given.value, n, total), CUT), "lexical-cut", GROUPS)
     none = np.ones(len(items.items), np.int64)
     first = _ranked(cut.mapInArrow(lambda b: _search(b, given.value, k, none, True), FOUND), k)
     floors = none.copy()
-    for row in first.where(F.col("rank") == k).select("item", "score").collect():  # at most one row an item of the batch
+    for row in written(first.where(F.col("rank") == k).select("item", "score"), "lexical-first").collect():  # at most one row an item of the batch
         floors[items.place[row["item"]]] = row.score
     return written(_ranked(cut.mapInArrow(lambda b: _search(b, given.value, k, floors, False), FOUND), k), "lexical-found")
 

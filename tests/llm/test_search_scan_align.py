@@ -93,6 +93,21 @@ def test_search_passes_blocks_over(monkeypatch):
     assert 0 < len(scored) < 40 and all("rares" in texts[i] for i in best.column("doc_id").to_pylist())
 
 
+def test_the_index_is_read_in_small_parts(spark, tmp_path, monkeypatch):
+    """A row group of the index, which a scan decodes at once, stays small however much a task writes."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr("questmill.llm.common.shared_dir", lambda _: str(tmp_path))
+    text = F.expr("array_join(transform(sequence(1, 300), k -> cast(pmod(xxhash64(id, k), 50000) as string)), ' ')")
+    docs = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    items = spark.createDataFrame([(0, " ".join(map(str, range(50_000))))], "item_id long, text string")
+    assert lexical.search(lexical.build_index(docs), items).count() == 10
+    for name in ("lexical", "lexical-cut"):
+        of = [f for f in tmp_path.glob(f"*/{name}-*/part-*.parquet") if len(f.parent.name) == len(name) + 33]
+        sizes = [g.total_byte_size for m in map(pq.read_metadata, of) for g in map(m.row_group, range(m.num_row_groups))]
+        assert sum(sizes) > 10 << 20 and max(sizes) < 9 << 20, name
+
+
 def test_search_of_nothing(spark, docs):
     none, item = spark.createDataFrame([], docs.schema), spark.createDataFrame([(1, "x")], "item_id long, text string")
     assert lexical.search(lexical.build_index(none), item).count() == 0
